@@ -16,7 +16,7 @@ _cust = iri_sql("Customer", "c_custkey")
 
 
 def _customers(spark, folder):
-    typed = shop_graph(spark, folder).where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.CUSTOMER))
+    typed = shop_graph(spark, folder, "type").where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.CUSTOMER))
     return triples.entity_keys(typed.select("subject"), shop.MAPPING, shop.CUSTOMER)
 
 

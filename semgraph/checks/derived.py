@@ -41,12 +41,12 @@ _nation_sql = f"SELECT DISTINCT {_order} AS subject, '{NS}orderNation' AS predic
 
 @query("rule_premium", _premium_sql)
 def rule_premium(spark, folder):
-    return rules.infer(shop_graph(spark, folder), [PREMIUM]).triples.select(*SPO)
+    return rules.infer(shop_graph(spark, folder, "type", "balance"), [PREMIUM]).triples.select(*SPO)
 
 
 @query("rule_order_nation", _nation_sql)
 def rule_order_nation(spark, folder):
-    return rules.infer(shop_graph(spark, folder), [NATION_OF]).triples.select(*SPO)
+    return rules.infer(shop_graph(spark, folder, "placedBy", "inNation"), [NATION_OF]).triples.select(*SPO)
 
 
 _chain_sql = f"""{_premium_sql} UNION ALL {_nation_sql}
@@ -58,14 +58,14 @@ _CHAIN = [REGION_OF, PREMIUM_ORDER, PREMIUM, NATION_OF]
 
 @query("rule_fixpoint", _chain_sql)
 def rule_fixpoint(spark, folder):
-    return rules.infer(shop_graph(spark, folder), _CHAIN).triples.select(*SPO)
+    return rules.infer(shop_graph(spark, folder, "type", "balance", "placedBy", "inNation", "inRegion"), _CHAIN).triples.select(*SPO)
 
 
 @query("rule_counts", f"""
 SELECT CASE predicate WHEN '{NS}orderNation' THEN 'orderNation' WHEN '{NS}orderRegion' THEN 'orderRegion' WHEN '{NS}tier' THEN 'premiumOrder'
  ELSE CASE object WHEN '{NS}Premium' THEN 'premium' ELSE 'premiumOrder' END END AS rule, count(*) AS n FROM ({_chain_sql}) GROUP BY 1""")
 def rule_counts(spark, folder):
-    return rules.infer(shop_graph(spark, folder), _CHAIN).per_rule
+    return rules.infer(shop_graph(spark, folder, "type", "balance", "placedBy", "inNation", "inRegion"), _CHAIN).per_rule
 
 
 @query("rule_violation", f"""
@@ -75,7 +75,7 @@ def rule_violation(spark, folder):
     rule = Rule("risky", (
         _has("placedBy", "?o", "?c"), _has("totalPrice", "?o", "?p"), _has("balance", "?c", "?b"),
         _test("greaterThan", "?p", 200000), _test("lessThan", "?b", 0)), (_is("Risky", "?o"),), mode="violation")
-    return rules.check(shop_graph(spark, folder), rule)
+    return rules.check(shop_graph(spark, folder, "placedBy", "totalPrice", "balance"), rule)
 
 
 @query("rule_equal_link", f"""
@@ -85,7 +85,7 @@ def rule_equal_link(spark, folder):
     rule = Rule("twins", (
         _is("Supplier", "?s"), _has("balance", "?s", "?a"), _is("Customer", "?c"), _has("balance", "?c", "?b"),
         _test("equal", "?a", "?b")), (_is("Twin", "?s"),), mode="violation")
-    return rules.check(shop_graph(spark, folder), rule)
+    return rules.check(shop_graph(spark, folder, "type", "balance"), rule)
 
 
 @query("rule_constants", f"""
@@ -93,7 +93,7 @@ SELECT {_order} AS subject, '{NS}flag' AS predicate, 'urgent and open' AS object
 WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'""")
 def rule_constants(spark, folder):
     rule = Rule("urgent", (_has("status", "?o", "O"), _has("priority", "?o", "1-URGENT")), (_has("flag", "?o", "urgent and open"),))
-    return rules.infer(shop_graph(spark, folder), [rule]).triples.select(*SPO)
+    return rules.infer(shop_graph(spark, folder, "status", "priority"), [rule]).triples.select(*SPO)
 
 
 # Rules reaching their own premises: who is served from which region, along derived links.
@@ -111,15 +111,13 @@ _closure_sql = f"""WITH RECURSIVE e AS ({_edges_sql}), w AS (SELECT a, b FROM e
 
 @query("rule_recursive", f"{_closure_sql} SELECT a AS subject, '{NS}within' AS predicate, b AS object FROM w")
 def rule_recursive(spark, folder):
-    return rules.infer(shop_graph(spark, folder), _RECURSIVE).triples.select(*SPO)
+    return rules.infer(shop_graph(spark, folder, "placedBy", "inNation", "inRegion"), _RECURSIVE).triples.select(*SPO)
 
 
 # -- OWL ------------------------------------------------------------------------------------------------------------
 
 def _closed(spark, folder, ontology, *names):
-    wanted = [RDF_TYPE if n == "type" else NS + n for n in names]
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(*wanted))
-    return owl.closure(found, ontology)
+    return owl.closure(shop_graph(spark, folder, *names), ontology)
 
 
 _family = Ontology((OntologyClass(shop.PARTY, parents=(NS + "Agent",)), OntologyClass(NS + "Agent"),
@@ -187,7 +185,7 @@ def owl_restrictions(spark, folder):
         (OntologyClass(shop.ORDER, restrictions=(Restriction(NS + "channel", "has_value", "web"),
                                                  Restriction(NS + "placedBy", "only", NS + "Buyer"))),),
         (ObjectProperty(NS + "placedBy"),))
-    found = shop_graph(spark, folder).where(
+    found = shop_graph(spark, folder, "type", "placedBy").where(
         ((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.ORDER)) | (F.col("predicate") == NS + "placedBy"))
     return owl.closure(found, ontology).triples.select(*SPO)
 

@@ -22,7 +22,7 @@ def graph_counts(spark, folder):
 
 @query("type_inventory", with_facts("SELECT object AS type, count(*) AS n FROM t GROUP BY 1", "type"))
 def type_inventory(spark, folder):
-    return graph.type_inventory(shop_graph(spark, folder))
+    return graph.type_inventory(shop_graph(spark, folder, "type"))
 
 
 @query("predicate_inventory", with_facts("SELECT predicate, count(*) AS n FROM t GROUP BY 1"))
@@ -89,7 +89,7 @@ WITH hits AS ({_search_sql('00001', 'contains', 'label', 'type', 'name')})
 SELECT h.subject, h.rank, h.length, coalesce(n.object, regexp_extract(h.subject, '[^/]+/[^/]+$')) AS label
 FROM hits h LEFT JOIN ({facts_sql('name')}) n ON n.subject = h.subject""")
 def search_labelled(spark, folder):
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(RDF_TYPE, NS + "name"))
+    found = shop_graph(spark, folder, "type", "name")
     return graph.search(found, "00001", field="label")
 
 
@@ -107,8 +107,7 @@ SELECT query, subject, rank, length, position FROM (
   SELECT *, row_number() OVER (PARTITION BY query ORDER BY rank, length, subject) AS position FROM best)
 WHERE position <= 20""", "name", "segment", "priority"))
 def search_many(spark, folder):
-    wanted = [NS + n for n in ("name", "segment", "priority")]
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(*wanted))
+    found = shop_graph(spark, folder, "name", "segment", "priority")
     return graph.search_many(found, _texts, field="label")
 
 
@@ -123,7 +122,7 @@ SELECT e.iri, coalesce(n.label, regexp_extract(e.iri, '[^/]+/[^/]+$')) AS label,
 FROM (SELECT DISTINCT subject AS iri FROM t WHERE predicate = '{RDF_TYPE}') e
 JOIN t ON t.subject = e.iri AND t.predicate = '{RDF_TYPE}' LEFT JOIN n ON n.subject = e.iri GROUP BY ALL""", "type", "name"))
 def entity_types(spark, folder):
-    found = shop_graph(spark, folder)
+    found = shop_graph(spark, folder, "type", "name")
     typed = found.where(F.col("predicate") == RDF_TYPE).select(F.col("subject").alias("iri"))
     out = graph.entities(found, typed)
     return out.withColumn("types", F.array_join("types", "|"))
@@ -179,7 +178,7 @@ _near = ("inRegion", "inNation", "placedBy")
 
 
 def _neighbourhood(spark, folder):
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(*[NS + n for n in _near]))
+    found = shop_graph(spark, folder, *_near)
     regions = tables(spark, folder)("region").select(F.concat(F.lit(BASE + "Region/"), "r_regionkey").alias("iri"))
     return graph.neighbourhood(found, regions, depth=2)
 
@@ -198,7 +197,7 @@ def neighbourhood_edges(spark, folder):
 @query("neighbourhood_capped", with_facts(_steps + """
 SELECT seed, node, distance FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS k FROM n) WHERE k <= 100""", *_near))
 def neighbourhood_capped(spark, folder):
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(*[NS + n for n in _near]))
+    found = shop_graph(spark, folder, *_near)
     regions = tables(spark, folder)("region").select(F.concat(F.lit(BASE + "Region/"), "r_regionkey").alias("iri"))
     return graph.neighbourhood(found, regions, depth=2, limit=100)[0]
 
@@ -207,21 +206,21 @@ def neighbourhood_capped(spark, folder):
 , r AS (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY md5(object), subject, object) AS k FROM t)
 SELECT subject, predicate, object FROM r WHERE k <= 300 // 6""", *LINK_NAMES))
 def overview_sample(spark, folder):
-    return graph.overview(shop_graph(spark, folder), 300)
+    return graph.overview(shop_graph(spark, folder, *LINK_NAMES), 300)
 
 
 @query("triples_page", with_facts("""
 SELECT subject, predicate, object, object_type, datatype, lang, inferred FROM t
 WHERE contains(lower(object), 'building') OR contains(lower(subject), 'building') OR contains(lower(predicate), 'building')
-ORDER BY object DESC, subject, predicate LIMIT 100 OFFSET 50"""))
+ORDER BY object DESC, subject, predicate LIMIT 100 OFFSET 5"""))
 def triples_page(spark, folder):
-    return graph.page(shop_graph(spark, folder), text="building", sort="object", descending=True, limit=100, offset=50)[1]
+    return graph.page(shop_graph(spark, folder), text="building", sort="object", descending=True, limit=100, offset=5)[1]
 
 
 @query("triples_page_total", with_facts(f"SELECT count(*) AS total FROM t WHERE predicate = '{NS}priority' AND contains(lower(object), 'urgent')",
                                         "priority"))
 def triples_page_total(spark, folder):
-    return graph.page(shop_graph(spark, folder), predicate=NS + "priority", text="urgent")[0]
+    return graph.page(shop_graph(spark, folder, "priority"), predicate=NS + "priority", text="urgent")[0]
 
 
 # -- aggregation ---------------------------------------------------------------------------------------------------------
@@ -235,7 +234,7 @@ SELECT {iri_sql('Nation', 'n_nationkey')} AS "group", count(*) AS count, {_measu
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
 def agg_by_relation(spark, folder):
     return graph.aggregate(
-        shop_graph(spark, folder), shop.ORDER, measure=NS + "totalPrice", group_by=[NS + "placedBy", NS + "inNation"]
+        shop_graph(spark, folder, "type", "name", "totalPrice", "placedBy", "inNation", layout="branches"), shop.ORDER, measure=NS + "totalPrice", group_by=[NS + "placedBy", NS + "inNation"]
     )
 
 
@@ -245,7 +244,7 @@ SELECT substr(CAST(o_orderdate AS VARCHAR), 1, {width}) AS "group", count(*) AS
 FROM orders GROUP BY 1 ORDER BY count DESC, 1 LIMIT 50""")
     def run(spark, folder):
         return graph.aggregate(
-            shop_graph(spark, folder), shop.ORDER, measure=NS + "totalPrice", group_by=NS + "orderDate",
+            shop_graph(spark, folder, "type", "totalPrice", "orderDate", layout="branches"), shop.ORDER, measure=NS + "totalPrice", group_by=NS + "orderDate",
             group_kind=kind, label=False,
         )
 
@@ -262,7 +261,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey =
 WHERE n_regionkey = 2 AND c_mktsegment = 'MACHINERY' GROUP BY 1""")
 def agg_path_filter(spark, folder):
     return graph.aggregate(
-        shop_graph(spark, folder), shop.ORDER, measure=NS + "totalPrice", group_by=NS + "status", label=False,
+        shop_graph(spark, folder, "type", "totalPrice", "status", "placedBy", "inNation", "inRegion", "segment", layout="branches"), shop.ORDER, measure=NS + "totalPrice", group_by=NS + "status", label=False,
         filters=[
             ([NS + "placedBy", NS + "inNation", NS + "inRegion"], BASE + "Region/2"),
             ([NS + "placedBy", NS + "segment"], "MACHINERY"),
@@ -275,7 +274,7 @@ SELECT o_orderpriority AS "group", count(DISTINCT c_custkey) AS count, {_measure
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
 def agg_inverse(spark, folder):
     return graph.aggregate(
-        shop_graph(spark, folder), shop.CUSTOMER, measure=NS + "balance", group_by=["^" + NS + "placedBy", NS + "priority"],
+        shop_graph(spark, folder, "type", "balance", "placedBy", "priority", layout="branches"), shop.CUSTOMER, measure=NS + "balance", group_by=["^" + NS + "placedBy", NS + "priority"],
         label=False,
     )
 
@@ -283,7 +282,7 @@ def agg_inverse(spark, folder):
 @query("agg_total", f"""
 SELECT CAST(NULL AS VARCHAR) AS "group", count(*) AS count, {_measures.format('p_retailprice')} FROM part""")
 def agg_total(spark, folder):
-    return graph.aggregate(shop_graph(spark, folder), shop.PART, measure=NS + "price", label=False)
+    return graph.aggregate(shop_graph(spark, folder, "type", "price", layout="branches"), shop.PART, measure=NS + "price", label=False)
 
 
 @query("agg_distinct_rows", f"""
@@ -294,7 +293,7 @@ SELECT p_brand AS "group", count(DISTINCT o) AS count, {_measures.format('v')} F
 GROUP BY 1""")
 def agg_distinct_rows(spark, folder):
     return graph.aggregate(
-        shop_graph(spark, folder), shop.ORDER, measure=NS + "totalPrice", group_by=[NS + "contains", NS + "brand"],
+        shop_graph(spark, folder, "type", "totalPrice", "contains", "brand", layout="branches"), shop.ORDER, measure=NS + "totalPrice", group_by=[NS + "contains", NS + "brand"],
         label=False, dedupe=True,
     )
 
@@ -304,7 +303,7 @@ WITH v AS (SELECT * FROM (VALUES ('ASIA'), ('europe'), ('nowhere')) x(value)),
 h AS (SELECT value, {iri_sql('Region', 'r_regionkey')} AS iri, r_name FROM v LEFT JOIN region ON contains(lower(r_name), lower(value)))
 SELECT value, min(iri) AS iri, CASE WHEN min(iri) IS NOT NULL THEN 'label' END AS how, count(iri) AS near FROM h GROUP BY value""")
 def resolve_values(spark, folder):
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(RDF_TYPE, NS + "name"))
+    found = shop_graph(spark, folder, "type", "name")
     return graph.resolve_values(found, ["ASIA", "europe", "nowhere"], type_iri=shop.REGION)
 
 
@@ -315,32 +314,26 @@ SELECT a.object AS source_class, t.predicate, b.object AS target_class, count(*)
 FROM t JOIN t a ON a.subject = t.subject AND a.predicate = '{RDF_TYPE}' JOIN t b ON b.subject = t.object AND b.predicate = '{RDF_TYPE}'
 WHERE t.predicate <> '{RDF_TYPE}' GROUP BY ALL""", "type", *LINK_NAMES))
 def class_edges(spark, folder):
-    return graph.class_edges(shop_graph(spark, folder))
+    return graph.class_edges(shop_graph(spark, folder, "type", *LINK_NAMES))
 
 
 @query("class_paths", f"""
-SELECT length, steps FROM (VALUES
- (2, '{NS}placedBy > {NS}inNation'), (4, '{NS}contains > {NS}suppliedBy > {NS}inNation > {NS}inRegion')) v(length, steps)
-WHERE false
-UNION ALL SELECT * FROM (
-  WITH e AS (SELECT DISTINCT * FROM (
-    SELECT 'Order' AS a, '{NS}placedBy' AS step, 'Customer' AS b FROM orders JOIN customer ON o_custkey = c_custkey
-    UNION ALL SELECT 'Customer', '{NS}inNation', 'Nation' FROM customer JOIN nation ON c_nationkey = n_nationkey
-    UNION ALL SELECT 'Supplier', '{NS}inNation', 'Nation' FROM supplier JOIN nation ON s_nationkey = n_nationkey
-    UNION ALL SELECT 'Order', '{NS}contains', 'Part' FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
-    UNION ALL SELECT 'Part', '{NS}suppliedBy', 'Supplier' FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
-    UNION ALL SELECT 'Event', '{NS}performedBy', 'Customer' FROM events JOIN customer ON user_id = c_custkey
-    UNION ALL SELECT 'Nation', '{NS}inRegion', 'Region' FROM nation JOIN region ON n_regionkey = r_regionkey)),
-  h AS (SELECT a, step, b FROM e UNION ALL SELECT b, '^' || step, a FROM e),
-  p AS (
-    WITH RECURSIVE w AS (
-      SELECT 1 AS length, step AS steps, [a, b] AS seen, b AS at FROM h WHERE a = 'Order'
-      UNION ALL SELECT length + 1, steps || ' > ' || step, list_append(seen, b), b FROM w JOIN h ON a = at
-      WHERE at <> 'Region' AND NOT list_contains(seen, b) AND length < 8)
-    SELECT length, steps FROM w WHERE at = 'Region')
-  SELECT length, steps FROM p ORDER BY length, steps LIMIT 5)""")
+WITH RECURSIVE e AS (
+  SELECT DISTINCT 'Order' AS a, '{NS}placedBy' AS step, 'Customer' AS b FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION SELECT 'Customer', '{NS}inNation', 'Nation' FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT 'Supplier', '{NS}inNation', 'Nation' FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION SELECT 'Order', '{NS}contains', 'Part' FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  UNION SELECT 'Part', '{NS}suppliedBy', 'Supplier' FROM part JOIN lineitem ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey
+  UNION SELECT 'Event', '{NS}performedBy', 'Customer' FROM events JOIN customer ON user_id = c_custkey
+  UNION SELECT 'Nation', '{NS}inRegion', 'Region' FROM nation JOIN region ON n_regionkey = r_regionkey),
+h AS (SELECT a, step, b FROM e UNION ALL SELECT b, '^' || step, a FROM e),
+w AS (
+  SELECT CAST(1 AS BIGINT) AS length, step AS steps, [a, b] AS seen, b AS at_ FROM h WHERE a = 'Order'
+  UNION ALL SELECT length + 1, steps || ' > ' || step, list_append(seen, b), b FROM w JOIN h ON a = at_
+  WHERE at_ <> 'Region' AND NOT list_contains(seen, b) AND length < 8)
+SELECT length, steps FROM w WHERE at_ = 'Region' ORDER BY length, steps LIMIT 5""")
 def class_paths(spark, folder):
-    found = graph.class_paths(graph.class_edges(shop_graph(spark, folder)), shop.ORDER, shop.REGION)
+    found = graph.class_paths(graph.class_edges(shop_graph(spark, folder, "type", *LINK_NAMES)), shop.ORDER, shop.REGION)
     return found.select("length", F.array_join("steps", " > ").alias("steps"))
 
 
@@ -348,7 +341,7 @@ def class_paths(spark, folder):
 SELECT {iri_sql('Customer', 'c_custkey')} AS id, c_name AS label, '{NS}Customer' AS types, c_name AS name, c_acctbal AS balance,
   c_mktsegment AS segment, {iri_sql('Nation', 'c_nationkey')} AS "inNation" FROM customer""")
 def class_view_customer(spark, folder):
-    out = graph.class_view(shop_graph(spark, folder), shop.ONTOLOGY, shop.CUSTOMER)
+    out = graph.class_view(shop_graph(spark, folder, "type", "name", "balance", "segment", "inNation"), shop.ONTOLOGY, shop.CUSTOMER)
     return out.withColumn("types", F.array_join("types", "|"))
 
 
@@ -356,15 +349,15 @@ def class_view_customer(spark, folder):
 SELECT {iri_sql('Customer', 'c_custkey')} AS id, c_name AS label, c_acctbal AS balance FROM customer
 UNION ALL SELECT {iri_sql('Supplier', 's_suppkey')}, s_name, s_acctbal FROM supplier""")
 def class_view_party(spark, folder):
-    return graph.class_view(shop_graph(spark, folder), shop.ONTOLOGY, shop.PARTY).select("id", "label", "balance")
+    return graph.class_view(shop_graph(spark, folder, "type", "name", "balance", "inNation"), shop.ONTOLOGY, shop.PARTY).select("id", "label", "balance")
 
 
 @query("class_view_search", f"""
 SELECT {iri_sql('Part', 'p_partkey')} AS id, p_name AS name, p_size AS size, p_retailprice AS price FROM part
-WHERE contains(lower(p_name), 'green') OR contains(lower(p_type), 'green') OR contains(lower(p_brand), 'green')
+WHERE contains(lower(p_name), 'bolt') OR contains(lower(p_type), 'bolt') OR contains(lower(p_brand), 'bolt')
 ORDER BY id LIMIT 50""")
 def class_view_search(spark, folder):
-    out = graph.class_view(shop_graph(spark, folder), shop.ONTOLOGY, shop.PART, search_text="green", limit=50)
+    out = graph.class_view(shop_graph(spark, folder, "type", "name", "brand", "partType", "size", "price"), shop.ONTOLOGY, shop.PART, search_text="bolt", limit=50)
     return out.select("id", "name", "size", "price")
 
 
@@ -372,7 +365,7 @@ def class_view_search(spark, folder):
 SELECT {iri_sql('Order', 'l_orderkey')} AS id, 'contains' AS relation, {iri_sql('Part', 'l_partkey')} AS target, p_name AS target_label
 FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey""")
 def class_relations(spark, folder):
-    return graph.class_relations(shop_graph(spark, folder), shop.ONTOLOGY, shop.ORDER)
+    return graph.class_relations(shop_graph(spark, folder, "type", "name", "contains"), shop.ONTOLOGY, shop.ORDER)
 
 
 @query("subclass_instances", " UNION ALL ".join(
@@ -381,4 +374,4 @@ def class_relations(spark, folder):
         ("Order", "orders"), ("Event", "events"))]
     + [f"SELECT '{NS}Party', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)"]))
 def subclass_instances(spark, folder):
-    return graph.instance_counts(shop_graph(spark, folder), shop.ONTOLOGY)
+    return graph.instance_counts(shop_graph(spark, folder, "type"), shop.ONTOLOGY)

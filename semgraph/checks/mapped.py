@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semgraph.checks.registry import BASE, NS, RDF_TYPE, XSD, facts_sql, iri_sql, query, shop_graph, tables
+from semgraph.checks.registry import BASE, NS, XSD, facts_sql, iri_sql, query, shop_graph, tables
 from semgraph.functions.terms import BNODE, LITERAL
 from semgraph.operators import graph, triples
 from semgraph.plans import shop
@@ -20,12 +20,6 @@ def _build(spark, folder, mapping, *columns):
     return triples.build(spark, mapping, tables(spark, folder)).select(*columns)
 
 
-def _restricted(spark, folder, *predicates):
-    wanted = {RDF_TYPE if p == "type" else NS + p for p in predicates}
-    maps = shop.MAPPING.restricted(wanted)
-    return triples.build(spark, shop.MAPPING, tables(spark, folder), maps=maps)
-
-
 # -- sources ---------------------------------------------------------------------------------------------------
 
 @query("source_query", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total "
@@ -73,30 +67,30 @@ def table_signatures(spark, folder):
 
 @query("triples_types", f"SELECT subject, predicate, object FROM ({facts_sql('type')})")
 def triples_types(spark, folder):
-    return _restricted(spark, folder, "type").select(*SHORT)
+    return shop_graph(spark, folder, "type").select(*SHORT)
 
 
 @query("triples_attributes", f"SELECT {FULL} FROM ({facts_sql('name', 'balance', 'segment', 'brand', 'size', 'price')})")
 def triples_attributes(spark, folder):
-    found = _restricted(spark, folder, "name", "balance", "segment", "brand", "size", "price")
+    found = shop_graph(spark, folder, "name", "balance", "segment", "brand", "size", "price")
     return found.select(*[c.strip() for c in FULL.split(",")])
 
 
 @query("triples_dates", f"SELECT {FULL} FROM ({facts_sql('orderDate', 'totalPrice', 'status')})")
 def triples_dates(spark, folder):
-    found = _restricted(spark, folder, "orderDate", "totalPrice", "status")
+    found = shop_graph(spark, folder, "orderDate", "totalPrice", "status")
     return found.select(*[c.strip() for c in FULL.split(",")])
 
 
 @query("triples_fk", f"SELECT {FULL} FROM ({facts_sql('inRegion', 'inNation', 'placedBy', 'performedBy')})")
 def triples_fk(spark, folder):
-    found = _restricted(spark, folder, "inRegion", "inNation", "placedBy", "performedBy")
+    found = shop_graph(spark, folder, "inRegion", "inNation", "placedBy", "performedBy")
     return found.select(*[c.strip() for c in FULL.split(",")])
 
 
 @query("triples_link", f"SELECT subject, predicate, object FROM ({facts_sql('contains', 'suppliedBy')})")
 def triples_link(spark, folder):
-    return _restricted(spark, folder, "contains", "suppliedBy").select(*SHORT)
+    return shop_graph(spark, folder, "contains", "suppliedBy").select(*SHORT)
 
 
 @query("triples_build", f"SELECT source_table, predicate, object_type, count(*) AS n, count(DISTINCT subject) AS subjects "
@@ -308,5 +302,4 @@ def iris_from_keys(spark, folder):
 
 @query("asserted_export", f"SELECT subject, predicate, object FROM ({facts_sql('segment', 'inRegion')}) WHERE NOT inferred")
 def asserted_export(spark, folder):
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(NS + "segment", NS + "inRegion"))
-    return graph.asserted(found).select(*SHORT)
+    return graph.asserted(shop_graph(spark, folder, "segment", "inRegion")).select(*SHORT)

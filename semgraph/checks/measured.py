@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from semgraph.checks.registry import BASE, NS, RDF_TYPE, query, shop_graph, tables, with_facts
+from semgraph.checks.registry import BASE, LINK_NAMES, NS, RDF_TYPE, query, shop_graph, tables, with_facts
 from semgraph.operators import analytics, communities, triples
 from semgraph.operators.components import connected_components
 from semgraph.plans import shop
@@ -14,8 +14,7 @@ _names = ("inRegion", "inNation", "placedBy")
 
 
 def _edges(spark, folder, *names: str):
-    wanted = [NS + n for n in names or _names]
-    return analytics.entity_edges(shop_graph(spark, folder).where(F.col("predicate").isin(*wanted)))
+    return analytics.entity_edges(shop_graph(spark, folder, *(names or _names)))
 
 
 _E = "e AS (SELECT DISTINCT subject AS src, object AS dst FROM t)"
@@ -24,7 +23,7 @@ _U = f"{_E}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b
 
 @query("entity_edges", with_facts(f", {_E} SELECT src, dst FROM e", "inRegion", "inNation", "placedBy", "contains", "suppliedBy", "performedBy"))
 def entity_edges(spark, folder):
-    return analytics.entity_edges(shop_graph(spark, folder))
+    return analytics.entity_edges(shop_graph(spark, folder, *LINK_NAMES))
 
 
 @query("degree", with_facts(f""", {_U}
@@ -78,8 +77,8 @@ _LINES = Mapping(
 
 
 def _line_edges(spark, folder):
-    found = triples.virtual(spark, _LINES, tables(spark, folder)).where(F.col("predicate") != RDF_TYPE)
-    return analytics.entity_edges(found)
+    links = _LINES.restricted({NS + "contains", NS + "suppliedBy", NS + "filledBy"})
+    return analytics.entity_edges(triples.build(spark, _LINES, tables(spark, folder), maps=links))
 
 
 @query("clustering", f"""
@@ -111,11 +110,11 @@ def degree_histogram(spark, folder):
 
 @query("top_entities")
 def top_entities(spark, folder):
-    found = shop_graph(spark, folder)
+    found = shop_graph(spark, folder, "name")
     edges = _edges(spark, folder)
     measured = analytics.degree(edges).select("node", F.col("centrality").alias("degree")).join(
         analytics.pagerank(edges), "node")
-    return analytics.top_entities(measured, found.where(F.col("predicate").isin(NS + "name", RDF_TYPE)), 20)
+    return analytics.top_entities(measured, found, 20)
 
 
 @query("graph_health", with_facts(f"""
@@ -125,7 +124,7 @@ h AS (SELECT type, count(DISTINCT y.subject) AS instances, count(DISTINCT predic
 SELECT *, CASE WHEN relation_predicates = 0 THEN 'flat' WHEN relation_predicates = 1 AND instances > 20 THEN 'time-series' END AS flag FROM h""",
     "type", "inRegion", "inNation", "placedBy", "contains", "suppliedBy", "performedBy"))
 def graph_health(spark, folder):
-    return analytics.health(shop_graph(spark, folder)).drop("advice")
+    return analytics.health(shop_graph(spark, folder, "type", *LINK_NAMES)).drop("advice")
 
 
 def _register_communities(algorithm: str) -> None:
@@ -141,7 +140,7 @@ for _algorithm in communities.ALGORITHMS:
 @query("community_summary")
 def community_summary(spark, folder):
     edges = _edges(spark, folder, "inRegion", "inNation")
-    found = shop_graph(spark, folder).where(F.col("predicate").isin(NS + "name", RDF_TYPE))
+    found = shop_graph(spark, folder, "name")
     member = communities.communities(edges, "label_propagation")
     return communities.summary(member, analytics.degree(edges), found)
 

@@ -302,13 +302,17 @@ def dq_overview(spark, folder):
                       "failing", "score")
 
 
-@query("dq_suggest", """
-SELECT 'c_custkey unique' AS name, 'unique' AS kind, 'c_custkey' AS "column", CAST(1.0 AS DOUBLE) AS threshold FROM customer HAVING count(*) = count(DISTINCT c_custkey)
-UNION ALL SELECT 'c_custkey present', 'not_null', 'c_custkey', 1.0 FROM customer HAVING count(*) = count(DISTINCT c_custkey)
-UNION ALL SELECT 'c_mktsegment present', 'not_null', 'c_mktsegment', 0.99 FROM customer HAVING count(*) = count(c_mktsegment)
-UNION ALL SELECT 'c_acctbal present', 'not_null', 'c_acctbal', 0.99 FROM customer HAVING count(*) = count(c_acctbal)
-UNION ALL SELECT 'c_mktsegment in its known set', 'in_set', 'c_mktsegment', 0.99 FROM customer HAVING count(DISTINCT c_mktsegment) <= 12
-UNION ALL SELECT 'c_acctbal within range', 'range', 'c_acctbal', 0.99 FROM customer""")
+_unique = "(SELECT count(*) = count(DISTINCT {0}) FROM customer)"
+_suggest_sql = " UNION ALL ".join(
+    [f"SELECT '{c} unique' AS name, 'unique' AS kind, '{c}' AS \"column\", CAST(1.0 AS DOUBLE) AS threshold WHERE {_unique.format(c)}"
+     for c in ("c_custkey", "c_acctbal")]
+    + [f"SELECT '{c} present', 'not_null', '{c}', CASE WHEN {_unique.format(c)} THEN 1.0 ELSE 0.99 END" for c in ("c_custkey", "c_acctbal")]
+    + [f"SELECT '{c} within range', 'range', '{c}', 0.99 WHERE NOT {_unique.format(c)}" for c in ("c_custkey", "c_acctbal")]
+    + ["SELECT 'c_mktsegment present', 'not_null', 'c_mktsegment', 0.99",
+       "SELECT 'c_mktsegment in its known set', 'in_set', 'c_mktsegment', 0.99 WHERE (SELECT count(DISTINCT c_mktsegment) <= 12 FROM customer)"])
+
+
+@query("dq_suggest", _suggest_sql)
 def dq_suggest(spark, folder):
     df = tables(spark, folder)("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     facts = profile(df, table="customer", sample_rows=None, exact=True, duplicates=False).column_facts

@@ -35,9 +35,14 @@ def tables(spark: SparkSession, folder: str) -> Resolver:
     return folder_tables(spark, folder)
 
 
-def shop_graph(spark: SparkSession, folder: str) -> DataFrame:
-    """The sample graph, unwritten: every question reads only the columns it needs."""
-    return triples.virtual(spark, shop.MAPPING, tables(spark, folder))
+def shop_graph(spark: SparkSession, folder: str, *names: str, layout: str = "rows") -> DataFrame:
+    """The sample graph, unwritten, or only the named facts (``type``, an attribute, a relation).
+
+    Naming what a question needs keeps the plan small: nothing else is scanned or even planned.
+    """
+    wanted = {RDF_TYPE if n == "type" else NS + n for n in names}
+    maps = shop.MAPPING.restricted(wanted) if names else None
+    return triples.build(spark, shop.MAPPING, tables(spark, folder), maps=maps, layout=layout)
 
 
 # -- the same graph in SQL -----------------------------------------------------------------------------------------

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 _local_roots: dict[str, str] = {}
@@ -47,3 +48,12 @@ class Scratch:
         out = df.sortWithinPartitions(*sort) if sort else df
         out.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
+
+    def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
+        """Save a step and report aggregates of it (``n`` counts rows), taken while it is written.
+
+        A loop learns whether to stop from the write itself instead of reading the step again.
+        """
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()])
+        return self.save(counted, name), seen.get

@@ -108,9 +108,9 @@ def pagerank(
     ranks = g.nodes.join(out, g.nodes.id == out.u, "left").select(
         "id", F.coalesce("out", F.lit(0)).alias("out"), F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("before")
     )
-    ranks = g.scratch.save(ranks, "ranks")
-    dangling = F.coalesce(F.sum(F.when(F.col("out") == 0, F.col("rank"))), F.lit(0.0)).alias("dangling")
-    loose = ranks.agg(dangling).first()["dangling"]
+    dangling = F.sum(F.when(F.col("out") == 0, F.col("rank")))
+    ranks, seen = g.scratch.measured(ranks, "ranks", dangling=dangling)
+    loose = seen["dangling"] or 0.0
     for _ in range(max_iterations):
         sent = g.links.join(ranks, g.links.u == ranks.id).groupBy("v").agg(
             F.sum(F.col("rank") / F.col("out")).alias("received")
@@ -120,10 +120,10 @@ def pagerank(
             "id", "out", (damping * F.coalesce("received", F.lit(0.0)) + base).alias("rank"),
             F.col("rank").alias("before"),
         )
-        ranks = g.scratch.save(ranks, "ranks")
-        change = ranks.agg(F.sum(F.abs(F.col("rank") - F.col("before"))).alias("moved"), dangling).first()
-        loose = change["dangling"]
-        if change["moved"] < n * tolerance:
+        change = F.sum(F.abs(F.col("rank") - F.col("before")))
+        ranks, seen = g.scratch.measured(ranks, "ranks", moved=change, dangling=dangling)
+        loose = seen["dangling"] or 0.0
+        if seen["moved"] < n * tolerance:
             return g.named(ranks.select("id", F.col("rank").alias("pagerank")))
     raise RuntimeError(f"PageRank did not settle in {max_iterations} rounds")
 
@@ -147,8 +147,8 @@ def _levels(g: Numbered, pivots: DataFrame) -> list[DataFrame]:
         # A neighbour of level d lies in d - 1, d or d + 1, so older levels need no look.
         for seen in levels[-2:]:
             reached = reached.join(seen.select("pivot", "id"), ["pivot", "id"], "left_anti")
-        level = g.scratch.save(reached, "level")
-        if level.isEmpty():
+        level, found = g.scratch.measured(reached, "level")
+        if not found["n"]:
             return levels
         levels.append(level)
 
@@ -266,7 +266,8 @@ def histograms(measured: DataFrame, metrics: Sequence[str]) -> DataFrame:
     width = (F.col("max") - F.col("min")) / BINS
     # One row per metric on the bounds side.
     placed = long.join(F.broadcast(bounds), "metric").withColumn(
-        "bin", F.coalesce(F.least(F.floor(F.try_divide(F.col("value") - F.col("min"), width)), F.lit(BINS - 1)), F.lit(0))
+        "bin",
+        F.when(width > 0, F.least(F.floor((F.col("value") - F.col("min")) / width), F.lit(BINS - 1))).otherwise(0),
     )
     counted = placed.groupBy("metric", "bin").agg(F.count("*").alias("n"))
     by_bin = [F.coalesce(F.sum(F.when(F.col("bin") == b, F.col("n"))), F.lit(0)) for b in range(BINS)]

@@ -46,23 +46,24 @@ def _replaced(text: str, spelled: dict[str, str]) -> str:
     return _PLACEHOLDER.sub(lambda m: f"k.{quoted(spelled[m.group(1).lower()])}", text)
 
 
-def virtual(
-    entities: DataFrame, keys: Sequence[str], attributes: dict[str, str], *, typed: DataFrame | None = None
-) -> DataFrame:
+def virtual(entities: DataFrame, keys: Sequence[str], attributes: dict[str, str]) -> DataFrame:
     """One text column per attribute: the SQL's value for each entity's key, NULL where it has no row.
 
     The statement is correlated once for all entities; the optimizer turns it into a join, so nothing
-    runs per entity. Statements refer to catalogued tables and views.
+    runs per entity. Statements refer to catalogued tables and views. Of several rows the smallest value
+    is taken, reduced before the join; an ORDER BY or LIMIT at the end is refused, because only an
+    aggregate (min_by, max_by) states that choice for all entities at once.
     """
-    out = typed if typed is not None else entities
+    out = entities
     for name, sql in attributes.items():
         body = _bound_to_keys(sql, keys)
-        column = read_query(out.sparkSession, re.sub(r"k\.`[^`]*`", "NULL", body)).columns[0]
-        query = (
-            f"SELECT k.*, CAST(v.{quoted(column)} AS STRING) AS {quoted(name)} "
-            f"FROM {{entities}} k LEFT JOIN LATERAL ({body}) v ON true"
+        if re.search(r"\b(order\s+by\s+[^()]*|limit\s+\S+)$", _STRING.sub("''", body), re.IGNORECASE):
+            raise AttachmentError(f"{name}: use an aggregate such as min_by instead of ORDER BY or LIMIT")
+        column = quoted(read_query(out.sparkSession, re.sub(r"k\.`[^`]*`", "NULL", body)).columns[0])
+        value = f"SELECT min(CAST(r.{column} AS STRING)) AS {quoted(name)} FROM ({body}) r"
+        out = out.sparkSession.sql(
+            f"SELECT k.*, v.{quoted(name)} FROM {{entities}} k LEFT JOIN LATERAL ({value}) v ON true", entities=out
         )
-        out = out.sparkSession.sql(query, entities=out)
     return out
 
 

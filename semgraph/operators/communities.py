@@ -64,7 +64,6 @@ def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> DataFra
     """Each node takes its neighbours' most frequent label, ties to the smallest; half of them per round."""
     labels = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     steps = links.where("u != v")
-    still = 0
     for round_ in range(MAX_ROUNDS):
         heard = steps.join(labels, steps.v == labels.id).groupBy("u", "label").agg(F.count("*").alias("votes"))
         best = heard.groupBy("u").agg(
@@ -78,10 +77,9 @@ def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> DataFra
             "id", F.when(takes, F.col("best.label")).otherwise(F.col("label")).alias("label"),
             F.coalesce(better, F.lit(False)).alias("_restless"),
         )
-        moved = scratch.save(moved, "labels")
-        still = 0 if moved.where("_restless").limit(1).count() else 1
+        moved, seen = scratch.measured(moved, "labels", restless=F.count_if("_restless"))
         labels = moved.drop("_restless")
-        if still:
+        if not seen["restless"]:
             break
     return labels
 
@@ -94,9 +92,11 @@ def modularity_of(links: DataFrame, labels: DataFrame, total: float, resolution:
     """Modularity of a labelling of a weighted link list read from both ends."""
     a = labels.select(F.col("id").alias("u"), F.col("label").alias("_a"))
     b = labels.select(F.col("id").alias("v"), F.col("label").alias("_b"))
-    inside = links.join(a, "u").join(b, "v").where("_a = _b").agg(F.sum("w").alias("w")).first()["w"] or 0.0
+    inner = links.join(a, "u").join(b, "v").where("_a = _b").agg(F.sum("w").alias("x")).withColumn("part", F.lit("in"))
     spread = _strengths(links).join(labels, "id").groupBy("label").agg(F.sum("k").alias("k"))
-    expected = spread.agg(F.sum(F.col("k") * F.col("k")).alias("s")).first()["s"] or 0.0
+    squares = spread.agg(F.sum(F.col("k") * F.col("k")).alias("x")).withColumn("part", F.lit("out"))
+    parts = {r["part"]: r["x"] or 0.0 for r in inner.unionByName(squares).collect()}
+    inside, expected = parts["in"], parts["out"]
     return inside / total - resolution * expected / (total * total)
 
 
@@ -142,7 +142,6 @@ def _local_moves(links: DataFrame, scratch: Scratch, total: float, resolution: f
     """Nodes change to the neighbouring community with the largest gain, about half of them per round."""
     strength = scratch.save(_strengths(links), "strength")
     labels = scratch.save(strength.select("id", F.col("id").alias("label")), "labels")
-    best_labels, best = labels, modularity_of(links, labels, total, resolution)
     for round_ in range(MAX_MOVES):
         held = labels.join(strength, "id")
         weight = held.groupBy("label").agg(F.sum("k").alias("tot"), F.count("*").alias("members"))
@@ -171,14 +170,11 @@ def _local_moves(links: DataFrame, scratch: Scratch, total: float, resolution: f
             "id", F.when(takes, F.col("best.label")).otherwise(F.col("label")).alias("label"),
             F.coalesce(better, F.lit(False)).alias("_better"),
         )
-        moved = scratch.save(moved, "labels")
+        moved, seen = scratch.measured(moved, "labels", better=F.count_if("_better"))
         labels = moved.drop("_better")
-        reached = modularity_of(links, labels, total, resolution)
-        if reached > best:
-            best, best_labels = reached, labels
-        if moved.where("_better").isEmpty():
+        if not seen["better"]:
             break
-    return best_labels
+    return labels
 
 
 def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> DataFrame:
@@ -202,8 +198,8 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
             F.min(F.struct((-F.col("gain")).alias("g"), F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"),
                            "v")).alias("c")
         ).select("u", F.col("c.v").alias("v"))
-        choice = scratch.save(choice, "choice")
-        if choice.isEmpty():
+        choice, seen = scratch.measured(choice, "choice")
+        if not seen["n"]:
             break
         back = choice.select(F.col("u").alias("v"), F.col("v").alias("_back"))
         judged = choice.join(back, "v", "left").withColumn("_mutual", F.coalesce(F.col("_back") == F.col("u"), F.lit(False)))
@@ -212,8 +208,8 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
         chosen = judged.where(goes).select("u", "v")
         # A receiver of a joining community must not leave itself in the same round.
         leaving = chosen.select(F.col("u").alias("v"))
-        chosen = scratch.save(chosen.join(leaving, "v", "left_anti").select("u", "v"), "merge")
-        if chosen.isEmpty():
+        chosen, seen = scratch.measured(chosen.join(leaving, "v", "left_anti").select("u", "v"), "merge")
+        if not seen["n"]:
             continue
         labels = strength.select("id").join(chosen, strength.id == chosen.u, "left").select(
             "id", F.coalesce("v", "id").alias("label")

@@ -291,8 +291,8 @@ def neighbourhood(
     for round_ in range(1, depth + 1):
         reached = frontier.select("seed", "node").join(steps, "node").select("seed", F.col("next").alias("node"))
         fresh = reached.distinct().join(seen, ["seed", "node"], "left_anti").withColumn("distance", F.lit(round_))
-        frontier = scratch.save(fresh, "frontier")
-        if frontier.isEmpty():
+        frontier, found = scratch.measured(fresh, "frontier")
+        if not found["n"]:
             break
         seen = seen.unionByName(frontier)
     nodes = seen
@@ -457,12 +457,13 @@ def class_paths(edges: DataFrame, start: str, goal: str, max_depth: int = 8, lim
     paths = hops.where(F.col("a") == start).select(
         F.array("step").alias("steps"), F.array("a", "b").alias("classes"), F.col("b").alias("at")
     )
-    found = None
+    found, complete = None, 0
     for depth in range(1, max_depth + 1):
-        paths = scratch.save(paths, "paths")
+        paths, seen = scratch.measured(paths, "paths", arrived=F.count_if(F.col("at") == goal))
         arrived = paths.where(F.col("at") == goal)
         found = arrived if found is None else found.unionByName(arrived)
-        if depth == max_depth or found.count() >= limit or paths.isEmpty():
+        complete += seen["arrived"]
+        if depth == max_depth or complete >= limit or not seen["n"]:
             break
         going = paths.where(F.col("at") != goal)
         paths = going.join(hops, going["at"] == hops["a"]).where(~F.array_contains("classes", F.col("b"))).select(

@@ -234,15 +234,15 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
                 break
             # The kind of a derived fact does not depend on how it was derived.
             found = reduce(DataFrame.unionByName, derived).dropDuplicates(KEY)
-            new = scratch.save(found.join(facts.select(*KEY), KEY, "left_anti"), "round")
-            if new.isEmpty():
+            new, seen = scratch.measured(found.join(facts.select(*KEY), KEY, "left_anti"), "round")
+            if not seen["n"]:
                 break
             facts = facts.unionByName(new)
         same = _same_pairs(facts, ax)
         if same is None:
             break
-        same = scratch.save(same, "same")
-        if same.isEmpty():
+        same, seen = scratch.measured(same, "same")
+        if not seen["n"]:
             break
         merged = connected_components(same)
         if canon is not None:

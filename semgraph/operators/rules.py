@@ -286,8 +286,8 @@ def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUND
         new = new.join(known, ["subject", "predicate", "object"], "left_anti").select(
             "subject", "predicate", "object", "_first.object_type", "_first.datatype", "_first.rule"
         )
-        new = scratch.save(new, "round")
-        if new.isEmpty():
+        new, seen = scratch.measured(new, "round")
+        if not seen["n"]:
             return _result(found, nothing, active, round_)
         found.append(new)
         if not recursive:
