@@ -225,7 +225,7 @@ def triples_page_total(spark, folder):
 
 # -- aggregation ---------------------------------------------------------------------------------------------------------
 
-_measures = ("round(sum({0}), 4) AS sum, round(avg({0}), 4) AS avg, round(min({0}), 4) AS min, round(max({0}), 4) AS max")
+_measures = ("round(sum({0}), 4) AS sum, round(round(round(sum({0}), 4) / nullif(count({0}), 0), 8), 4) AS avg, round(min({0}), 4) AS min, round(max({0}), 4) AS max")
 
 
 

@@ -209,29 +209,28 @@ def clustering(edges: DataFrame) -> DataFrame:
     square root of twice the number of links) and no neighbour list grows with its degree. Each triangle is
     found once, as a common neighbour of the ends of one link.
     """
-    scratch = Scratch(edges.sparkSession, "clustering")
-    single = undirected(edges).where("src != dst")
-    ends = single.select(F.col("src").alias("node")).unionByName(single.select(F.col("dst").alias("node")))
-    degrees = scratch.save(ends.groupBy("node").agg(F.count("*").alias("degree")), "degrees")
-    left = degrees.select(F.col("node").alias("src"), F.col("degree").alias("_a"))
-    right = degrees.select(F.col("node").alias("dst"), F.col("degree").alias("_b"))
-    ranked = single.join(left, "src").join(right, "dst")
-    low = F.struct(F.col("_a").alias("d"), F.col("src").alias("n"))
-    high = F.struct(F.col("_b").alias("d"), F.col("dst").alias("n"))
+    g = numbered(edges, "clustering", directed=False)
+    single = g.links.where("u != v")
+    ends = single.select(F.col("u").alias("id")).unionByName(single.select(F.col("v").alias("id")))
+    degrees = g.scratch.save(ends.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
+    left = degrees.select(F.col("id").alias("u"), F.col("degree").alias("_a"))
+    right = degrees.select(F.col("id").alias("v"), F.col("degree").alias("_b"))
+    ranked = single.join(left, "u").join(right, "v")
+    low = F.struct(F.col("_a").alias("d"), F.col("u").alias("n"))
+    high = F.struct(F.col("_b").alias("d"), F.col("v").alias("n"))
     turned = ranked.select(F.least(low, high)["n"].alias("u"), F.greatest(low, high)["n"].alias("v"))
-    turned = scratch.save(turned, "turned", sort=("u",))
+    turned = g.scratch.save(turned, "turned", sort=("u",))
     lists = turned.groupBy("u").agg(F.collect_list("v").alias("around"))
-    lists = scratch.save(lists, "lists")
+    lists = g.scratch.save(lists, "lists")
     other = lists.select(F.col("u").alias("v"), F.col("around").alias("_other"))
     common = turned.join(lists, "u").join(other, "v").select("u", "v", F.array_intersect("around", "_other").alias("w"))
     common = common.where(F.size("w") > 0)
-    third = F.transform("w", lambda x: F.struct(x.alias("node"), F.lit(1).alias("n")))
+    third = F.transform("w", lambda x: F.struct(x.alias("id"), F.lit(1).alias("n")))
     pair = F.array(
-        F.struct(F.col("u").alias("node"), F.size("w").alias("n")),
-        F.struct(F.col("v").alias("node"), F.size("w").alias("n")),
+        F.struct(F.col("u").alias("id"), F.size("w").alias("n")), F.struct(F.col("v").alias("id"), F.size("w").alias("n"))
     )
-    credit = common.select(F.inline(F.concat(pair, third))).groupBy("node").agg(F.sum("n").alias("triangles"))
-    found = edge_nodes(edges).join(degrees, "node", "left").join(credit, "node", "left")
+    credit = common.select(F.inline(F.concat(pair, third))).groupBy("id").agg(F.sum("n").alias("triangles"))
+    found = g.nodes.join(degrees, "id", "left").join(credit, "id", "left")
     triangles = F.coalesce("triangles", F.lit(0))
     ratio = F.try_divide(2.0 * triangles, F.col("degree") * (F.col("degree") - 1))
     return found.select("node", triangles.alias("triangles"), F.coalesce(ratio, F.lit(0.0)).alias("clustering"))

@@ -381,9 +381,12 @@ def aggregate(
     rows = rows.select("_i", group.alias("group"), "_v")
     if dedupe:
         rows = rows.distinct()
+    # A sum of doubles depends on the order of its rows in the last digits: those are rounded off first.
+    settled = lambda x: F.round(F.round(x, 8), 4)
+    total = settled(F.sum("_v"))
     out = rows.groupBy("group").agg(
         F.countDistinct("_i").alias("count"),
-        F.round(F.sum("_v"), 4).alias("sum"), F.round(F.avg("_v"), 4).alias("avg"),
+        total.alias("sum"), settled(F.try_divide(total, F.count("_v"))).alias("avg"),
         F.round(F.min("_v"), 4).alias("min"), F.round(F.max("_v"), 4).alias("max"),
     )
     if limit is not None:
