@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from semgraph.functions.scratch import Scratch
 from semgraph.functions.terms import IN_COMMUNITY, LITERAL, RDF_TYPE
 from semgraph.operators.components import connected_components
-from semgraph.operators.graph import with_label
+from semgraph.operators.graph import FEW, with_label
 from semgraph.operators.quantiles import exact_quantiles
 
 # Where centralities switch from exact to sampled, PageRank settings, histogram width.
@@ -277,7 +277,7 @@ def histograms(measured: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def top_entities(measured: DataFrame, triples: DataFrame, count: int = 20) -> DataFrame:
     """Best ranked nodes with labels and all measures to six digits."""
     best = measured.orderBy(F.desc("pagerank"), "node").limit(count)
-    named = with_label(best, triples, "node", few=True)
+    named = with_label(best, triples, "node", few=count <= FEW)
     return named.select(
         "node", "label", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in measured.columns if c != "node"]
     )

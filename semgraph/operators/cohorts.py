@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.functions.terms import IN_COHORT, IRI, LITERAL, TRIPLE_COLUMNS, iri_local_name, local_name
-from semgraph.operators.graph import instances, with_label
+from semgraph.operators.graph import FEW, instances, with_label
 from semgraph.plans.ontology import Ontology
 
 # Criterion kinds, operators and how an operator is written in an explanation.
@@ -135,7 +135,7 @@ def evaluate(
     members = members.where(F.col("_n") >= needed).select("subject", "explanation")
     if limit is not None:
         members = members.orderBy("subject").limit(limit)
-    return with_label(members, triples, "subject", few=limit is not None) if label else members
+    return with_label(members, triples, "subject", few=limit is not None and limit <= FEW) if label else members
 
 
 def size(triples: DataFrame, cohort: Cohort, ontology: Ontology | None = None) -> DataFrame:

@@ -19,6 +19,8 @@ LABEL_ENDINGS = ("name", "_label", "title")
 MATCHES = ("contains", "exact", "starts_with", "ends_with")
 FIELDS = ("any", "label", "iri")
 SORTABLE = ("subject", "predicate", "object", "inferred")
+# A result of at most this many rows is named by broadcasting it; a larger one is joined.
+FEW = 10_000
 # XSD types that become typed columns; everything else stays text.
 SCALARS = {
     XSD + "integer": "bigint", XSD + "int": "bigint", XSD + "long": "bigint", XSD + "decimal": "double",
@@ -191,7 +193,7 @@ def search(
         F.min(_rank(needle)).alias("rank"), F.min(F.length("object")).alias("length")
     )
     top = best.orderBy("rank", "length", "subject").limit(limit)
-    return with_label(top, triples, "subject", few=True) if label else top
+    return with_label(top, triples, "subject", few=limit <= FEW) if label else top
 
 
 def search_many(
@@ -394,7 +396,7 @@ def aggregate(
     if not label:
         return out
     iri = F.col("group").rlike("^(https?://|urn:)")
-    named = with_label(out, triples, "group", "_name", few=limit is not None)
+    named = with_label(out, triples, "group", "_name", few=limit is not None and limit <= FEW)
     return named.withColumn("label", F.when(iri, F.col("_name")).otherwise(F.col("group"))).drop("_name")
 
 
@@ -404,7 +406,7 @@ def resolve_values(triples: DataFrame, values: Sequence[str], type_iri: str | No
     Ambiguous and unknown values come back with a NULL IRI and the number of near ones.
     """
     hits = search_many(triples, list(dict.fromkeys(values)), type_iri=type_iri, limit=20)
-    named = with_label(hits, triples, "subject", few=True)
+    named = with_label(hits, triples, "subject", few=20 * len(values) <= FEW)
     exact = F.lower("label") == F.col("query")
     local = F.lower(local_name(F.col("subject"))) == F.col("query")
     picked = named.groupBy("query").agg(

@@ -61,7 +61,7 @@ def session(cores: str = "8"):
     spark = (
         SparkSession.builder.master(f"local[{cores}]").config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
     return spark
