@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semgraph.llm import chat, fingerprints, lines, packing, sharding
+from semgraph.llm import chat, fingerprints, lines, mixing, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,3 +94,17 @@ def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edited(spark, documents(spark, folder))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "source")
+    mixed = mixing.mix(spark, docs, budget_ratio=1.0, entropy_share=0.97, max_repeats=4.0, seed=7)
+    return mixed.select("doc_id", "source", "n_tokens", "weight", "copy", "stretch", "slot")
