@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semgraph.llm import chat, fingerprints, graph_search, lines, mixing, packing, sharding, toxicity
+from semgraph.llm import chat, fingerprints, graph_search, jaccard, lines, mixing, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,6 +91,11 @@ SELECT doc_id, CAST(coalesce(strlen(text), 0) + 8 AS BIGINT) AS size, 'rows' AS
   CAST(p // {shards} AS BIGINT) AS slot FROM r6"""
 
 
+@query
+def op8_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar(spark, documents(spark, folder))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     clean = lines.drop_repeated_lines(spark, documents(spark, folder))
