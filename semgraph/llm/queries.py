@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semgraph.llm import chat, fingerprints, graph_search, jaccard, lines, mixing, packing, sharding, toxicity
+from semgraph.llm import chat, fingerprints, graph_search, jaccard, language_model, lines, mixing, packing, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,6 +65,11 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(spark, documents(spark, folder), vocabulary, public_tokenizers.PATTERN)
 
 
+@query
+def op5_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.model_scores(spark, documents(spark, folder))
+
+
 @query
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.shard_table(spark, f"{folder}/documents.parquet", 24, seed=6)
