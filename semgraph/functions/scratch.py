@@ -41,12 +41,14 @@ class Scratch:
         self.spark = spark
         self.folder = f"{scratch_root(spark)}/{job}-{uuid.uuid4().hex}"
         self._step = 0
+        self._paths: dict[str, list[str]] = {}
 
     def save(self, df: DataFrame, name: str = "step", sort: tuple[str, ...] = ()) -> DataFrame:
         self._step += 1
         path = f"{self.folder}/{self._step:04d}-{name}"
         out = df.sortWithinPartitions(*sort) if sort else df
         out.write.parquet(path)
+        self._paths.setdefault(name, []).append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def measured(self, df: DataFrame, name: str, **measures: Column) -> tuple[DataFrame, dict]:
@@ -57,3 +59,12 @@ class Scratch:
         seen = Observation()
         counted = df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in measures.items()])
         return self.save(counted, name), seen.get
+
+    def forget(self, *names: str, keep: int = 0) -> None:
+        """Delete all but the last ``keep`` tables saved under these names; nothing may read them any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for name in names:
+            paths = self._paths.get(name, [])
+            for _ in range(len(paths) - keep):
+                path = jvm.org.apache.hadoop.fs.Path(paths.pop(0))
+                path.getFileSystem(conf).delete(path, True)
