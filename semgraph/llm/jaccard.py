@@ -371,12 +371,14 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80,
     key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("null")).alias("key")
     one = first.select("*", key("doc_id")).join(reps.select("class", key("rep")), ["class", "key"])
     one = scratch.save(one.select("class", "n", "counts", "prefix").dropDuplicates(["class"]), "first")
+    scratch.forget("prefixes")
     lists = scratch.save(lists_of_two(one.select(F.explode("prefix").alias("shingle"), "class")), "lists")
     parts = lists.filter("part > 0").groupBy("shingle").agg((F.max("part") + 1).alias("parts"))
     dealt = lists.join(parts, "shingle", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     dealt = dealt.select("shingle", "class", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     forests = scratch.save(possible_links(dealt.join(one.select("class", "n", "counts"), "class"), share), "possible")
     groups = components(spark, forests)
+    scratch.forget("first", "lists")
 
     members = scratch.save(reps.join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class"), "members")
     links = scratch.save(exact_links(docs, members, share), "links")
