@@ -29,16 +29,18 @@ def _solid_lines(text: Column) -> Column:
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per window: _ld_row, doc_id, at (window number), two hashes of its lines."""
-    n = F.size("_ld_lines") - (width - 1)
-    at = F.explode(F.sequence(F.lit(0), n - 1))
-    lines = docs.select("_ld_row", "doc_id", _solid_lines(F.col("text")).alias("_ld_lines")).filter(n > 0)
-    cut = lines.select("_ld_row", "doc_id", at.alias("at"), F.transform("_ld_lines", lambda x: F.xxhash64(x["s"])).alias("a"),
-                       F.transform("_ld_lines", lambda x: F.xxhash64(F.lit(7), x["s"])).alias("b"))
-    return cut.select(
-        "_ld_row", "doc_id", "at",
-        F.xxhash64(*[F.get("a", F.col("at") + k) for k in range(width)]).alias("h1"),
-        F.xxhash64(*[F.get("b", F.col("at") + k) for k in range(width)]).alias("h2"),
+    # the array is named twice or more below, so that it is made once a row
+    lines = docs.select("_ld_row", "doc_id", _solid_lines(F.col("text")).alias("_ld_lines"))
+    at = lambda k, i: F.get("_ld_lines", i + k)["s"]
+    window = F.transform(
+        F.sequence(F.lit(0), F.size("_ld_lines") - width),
+        lambda i: F.struct(
+            i.alias("at"), F.xxhash64(*[at(k, i) for k in range(width)]).alias("h1"),
+            F.xxhash64(F.lit(7), *[at(k, i) for k in range(width)]).alias("h2"),
+        ),
     )
+    enough = F.when(F.size("_ld_lines") >= width, window)
+    return lines.select("_ld_row", "doc_id", F.explode(enough).alias("w")).select("_ld_row", "doc_id", "w.at", "w.h1", "w.h2")
 
 
 def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> DataFrame:
@@ -65,14 +67,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = WINDO
     # a row is known by what it holds: rows alike in everything are treated alike
     keyed = docs.select(*names).withColumn("_ld_row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
     gone = scratch.save(covered(spark, keyed, scratch, width), "gone")
-    split = F.split("text", "\n")
-    joined = keyed.join(gone, "_ld_row", "left")
-    places = F.transform(_solid_lines(F.col("text")), lambda x: x["i"])
-    lost = F.transform("gone", lambda k: F.get("_ld_places", k))
-    def kept(line: Column, i: Column) -> Column:
-        return ~F.array_contains(F.col("_ld_lost"), i)
-
-    out = joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0))).withColumn("_ld_places", places)
-    out = out.withColumn("_ld_lost", lost)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, kept), "\n"))
-    return out.withColumn("text", text).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0))).select(*names, "n_lines", "n_removed")
+    joined = keyed.join(gone, "_ld_row", "left").drop("_ld_row").withColumn("_ld_split", F.split("text", "\n"))
+    numbered = F.transform("_ld_split", lambda line, i: F.struct(F.regexp_replace(line, r"\s+$", "").alias("s"), i.alias("i")))
+    solid = F.transform(F.filter(numbered, lambda x: x["s"] != ""), lambda x: x["i"])
+    found = joined.withColumn("_ld_solid", F.when(F.col("gone").isNotNull(), solid))
+    lost = F.transform("gone", lambda k: F.get("_ld_solid", k))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_split") - 1), lost)
+    text = F.array_join(F.transform(left, lambda i: F.get("_ld_split", i)), "\n")
+    return found.select(
+        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
+        F.coalesce(F.size("_ld_split"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+    )
