@@ -135,21 +135,21 @@ _RESTRICTED = Ontology(
 
 
 @query("shape_derived", f"""
-SELECT 'ontology:Customer.inNation.class' AS "constraint", count(*) AS violations FROM ({_SHAPES['class'][1]})
-UNION ALL SELECT 'ontology:Customer.inNation.max_count', 0
-UNION ALL SELECT 'ontology:Customer.inNation.min_count', count(*) FROM ({_SHAPES['min_count'][1]})
-UNION ALL SELECT 'ontology:Customer.segment.in', count(*) FROM {_C} WHERE segment <> 'HOUSEHOLD'
-UNION ALL SELECT 'ontology:Customer.segment.min_count', count(*) FROM {_C} WHERE segment IS NULL""")
+SELECT 'Customer/inNation: class' AS "constraint", count(*) AS violations FROM ({_SHAPES['class'][1]})
+UNION ALL SELECT 'Customer/inNation: max_count', 0
+UNION ALL SELECT 'Customer/inNation: min_count', count(*) FROM ({_SHAPES['min_count'][1]})
+UNION ALL SELECT 'Customer/segment: in', count(*) FROM {_C} WHERE segment <> 'HOUSEHOLD'
+UNION ALL SELECT 'Customer/segment: min_count', count(*) FROM {_C} WHERE segment IS NULL""")
 def shape_derived(spark, folder):
     derived = constraints.from_ontology(_RESTRICTED)
     return constraints.validate(flawed_graph(spark, folder), derived, _RESTRICTED)[0].select("constraint", "violations")
 
 
 @query("shape_validation_rows", f"""
-SELECT focus, '{NS}inNation' AS path, value, 'ontology:Customer.inNation.class' AS shape FROM ({_SHAPES['class'][1]})
-UNION ALL SELECT focus, '{NS}inNation', value, 'ontology:Customer.inNation.min_count' FROM ({_SHAPES['min_count'][1]})
-UNION ALL SELECT focus, '{NS}segment', NULL, 'ontology:Customer.segment.in' FROM ({_SHAPES['has_value'][1]})
-UNION ALL SELECT focus, '{NS}segment', '0', 'ontology:Customer.segment.min_count' FROM {_C} WHERE segment IS NULL""")
+SELECT focus, '{NS}inNation' AS path, value, 'Customer/inNation: class' AS shape FROM ({_SHAPES['class'][1]})
+UNION ALL SELECT focus, '{NS}inNation', value, 'Customer/inNation: min_count' FROM ({_SHAPES['min_count'][1]})
+UNION ALL SELECT focus, '{NS}segment', NULL, 'Customer/segment: in' FROM ({_SHAPES['has_value'][1]})
+UNION ALL SELECT focus, '{NS}segment', '0', 'Customer/segment: min_count' FROM {_C} WHERE segment IS NULL""")
 def shape_validation_rows(spark, folder):
     rows = constraints.validation_rows(flawed_graph(spark, folder), constraints.shapes(_RESTRICTED), _RESTRICTED)
     return rows.select("focus", "path", "value", "shape")
@@ -178,6 +178,17 @@ def _register_cohort(cohort: Cohort, where: str, why: str) -> None:
         return cohorts.size(_people(spark, folder), cohort, shop.ONTOLOGY)
 
 
+@query("cohort_not_a_number", f"SELECT {_cust} AS subject FROM customer WHERE c_acctbal > 100 AND c_mktsegment <> 'BUILDING'")
+def cohort_not_a_number(spark, folder):
+    """Balances of one segment read NaN: no number is above or below that."""
+    people = _people(spark, folder)
+    of = people.where((F.col("predicate") == NS + "segment") & (F.col("object") == "BUILDING")).select("subject", F.lit(True).alias("_of"))
+    value = F.when(F.col("_of") & (F.col("predicate") == NS + "balance"), "NaN").otherwise(F.col("object"))
+    changed = people.join(of, "subject", "left").withColumn("object", value).drop("_of")
+    above = Cohort("above", shop.CUSTOMER, (Criterion("attribute", NS + "balance", "gt", 100),))
+    return cohorts.evaluate(changed, above, shop.ONTOLOGY, label=False).select("subject")
+
+
 _rich = Criterion("attribute", NS + "balance", "gte", 5000)
 _near = Criterion("related_attribute", NS + "inNation", "contains", "on_1", NS + "name")
 _register_cohort(

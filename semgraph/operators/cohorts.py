@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.functions.terms import IN_COHORT, IRI, LITERAL, TRIPLE_COLUMNS, iri_local_name, local_name
+from semgraph.functions.terms import IN_COHORT, IRI, LITERAL, TRIPLE_COLUMNS, iri_local_name, local_name, number
 from semgraph.operators.graph import FEW, instances, with_label
 from semgraph.plans.ontology import Ontology
 
@@ -71,7 +71,7 @@ def _holds(value: Column, operator: str, expected: object) -> Column:
     if operator == "contains":
         return F.contains(F.lower(value), F.lit(str(expected).lower()))
     numeric = isinstance(expected, (int, float)) and not isinstance(expected, bool)
-    left = value.try_cast("double") if numeric else value
+    left = number(value) if numeric else value  # NaN and other words are no numbers
     right = F.lit(float(expected)) if numeric else F.lit(str(expected))
     test = {
         "eq": left == right, "neq": left != right, "gt": left > right, "gte": left >= right, "lt": left < right,
@@ -119,7 +119,7 @@ def hits(triples: DataFrame, c: Criterion, subjects: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    triples: DataFrame, cohort: Cohort, ontology: Ontology | None = None, *, limit: int | None = 1000,
+    triples: DataFrame, cohort: Cohort, ontology: Ontology | None = None, *, limit: int | None = None,
     label: bool = True,
 ) -> DataFrame:
     """Members with label and one explanation per satisfied criterion, in criterion order."""

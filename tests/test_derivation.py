@@ -53,9 +53,9 @@ def test_constraints_from_an_ontology():
         (ObjectProperty(EX + "w", EX + "P", EX + "D", characteristics=("functional",)),),
         (DataProperty(EX + "s", EX + "E", "xsd:decimal"),))
     got = {c.name: c.value for c in constraints.from_ontology(ontology)}
-    assert got["ontology:E.n.min_count"] == 5 and got["ontology:P.n.min_count"] == 1
-    assert got["ontology:E.w.class"] == EX + "D" and got["ontology:E.w.max_count"] == 1
-    assert got["ontology:E.s.datatype"] == "xsd:decimal" and "ontology:P.s.datatype" not in got
+    assert got["E/n: min_count"] == 5 and got["P/n: min_count"] == 1
+    assert got["E/w: class"] == EX + "D" and got["E/w: max_count"] == 1
+    assert got["E/s: datatype"] == "xsd:decimal" and "P/s: datatype" not in got
 
 
 def test_bad_constraints():
