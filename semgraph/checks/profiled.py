@@ -25,7 +25,7 @@ KEYS = {"customer": ("c_custkey",), "orders": ("o_orderkey",), "lineitem": ("l_o
 
 def _facts(spark, folder, table, columns, *wanted):
     df = tables(spark, folder)(table).select(*columns)
-    return profile(df, table=table, sample_rows=None, exact=True, duplicates=False).column_facts.select(*wanted)
+    return profile(df, table=table, exact=True, duplicates=False).column_facts.select(*wanted)
 
 
 def _numeric_sql(table: str, column: str) -> str:
@@ -134,7 +134,7 @@ SELECT '{table}' AS "table", (SELECT count(*) FROM {table}) AS row_count, CAST(0
  '{"|".join(key)}' AS row_key""")
     def run(spark, folder):
         df = tables(spark, folder)(table)
-        facts = profile(df, table=table, key=key, sample_rows=None).table_facts
+        facts = profile(df, table=table, key=key).table_facts
         return facts.select(
             "table", "row_count", "missing_cells", "duplicate_keys", "duplicate_rows",
             F.array_join("row_key", "|").alias("row_key"),
@@ -145,10 +145,35 @@ for _table, _key in KEYS.items():
     _register_table(_table, _key)
 
 
+_EDGE = "CASE WHEN l_returnflag = 'R' AND l_quantity = 1 THEN 0 ELSE l_quantity END"
+
+
+@query("profile_distinct_edge", f"""
+SELECT 'q' AS "column", count(DISTINCT v) AS "distinct", count(DISTINCT v) <= 50 AS listed,
+ (SELECT round(-sum(p * log2(p)), 4) FROM (SELECT count(*) / (SELECT count(*) FROM lineitem) AS p FROM lineitem GROUP BY {_EDGE})) AS entropy
+FROM (SELECT {_EDGE} AS v FROM lineitem)""".replace("AS entropy", "* CASE WHEN count(DISTINCT v) <= 50 THEN 1 END AS entropy"))
+def profile_distinct_edge(spark, folder):
+    """A column with one value more than a list shows: counted all the same."""
+    df = tables(spark, folder)("lineitem").select(F.expr(_EDGE).alias("q"))
+    found = profile(df, table="lineitem", duplicates=False).column_facts
+    return found.select("column", "distinct", F.col("values").isNotNull().alias("listed"), F.col("balance").alias("entropy"))
+
+
+def _register_default(table: str, columns: tuple[str, ...]) -> None:
+    @query(f"profile_default_{table}", " UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", count({c}) AS non_null, count(*) - count({c}) AS nulls, false AS sampled FROM {table}" for c in columns))
+    def run(spark, folder):
+        return profile(tables(spark, folder)(table), table=table).column_facts.select("column", "non_null", "nulls", "sampled")
+
+
+_register_default("customer", ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"))
+_register_default("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+
+
 @query("profile_sampled")
 def profile_sampled(spark, folder):
     df = tables(spark, folder)("lineitem").select("l_quantity", "l_discount", "l_returnflag")
-    found = profile(df, table="lineitem", sample_rows=1000, duplicates=False)
+    found = profile(df, table="lineitem", fraction=0.1, duplicates=False)
     return found.column_facts.select("column", "non_null", "distinct", "mean", "median", "role", "kind")
 
 

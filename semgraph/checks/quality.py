@@ -198,7 +198,20 @@ def dq_failing_referential(spark, folder):
     return dq.failing_rows(_gaps(spark, folder), _rule("referential"), tables(spark, folder), limit=None)
 
 
-@query("dq_failing_sample")
+_unsure = DqRule("unsure", "range", "l_quantity", {"min": 5, "max": 45, "filter": "nullif(l_returnflag, 'N') = 'R'"})
+_unsure_sql = "count(*) FILTER (NOT coalesce(NOT (nullif(l_returnflag, 'N') = 'R') OR l_quantity BETWEEN 5 AND 45, false))"
+
+
+@query("dq_null_filter", f"SELECT {_unsure_sql} AS counted, {_unsure_sql} AS flagged, {_unsure_sql} AS listed FROM lineitem")
+def dq_null_filter(spark, folder):
+    """A filter that is NULL leaves no way out: counts, flags and rows agree on it."""
+    df = tables(spark, folder)("lineitem")
+    counted = dq.evaluate(df, [_unsure]).select(F.col("failed").alias("counted"))
+    flagged = dq.flag_rows(df, [_unsure]).agg(F.count_if(F.size("failed_rules") > 0).alias("flagged"))
+    return counted.crossJoin(flagged).crossJoin(dq.failing_rows(df, _unsure).agg(F.count("*").alias("listed")))
+
+
+@query("dq_failing_sample", "SELECT * FROM (SELECT * FROM lineitem WHERE l_returnflag = 'R' AND NOT l_tax < 0.05 ORDER BY ALL LIMIT 20)")
 def dq_failing_sample(spark, folder):
     return dq.failing_rows(tables(spark, folder)("lineitem"), _rule("custom_filtered"), limit=20)
 
@@ -279,7 +292,7 @@ SELECT c AS "column", coalesce((SELECT round(avg(pass_rate), 4) FROM l WHERE l."
 FROM (VALUES ('event_id'), ('user_id'), ('event_type'), ('value')) v(c)""")
 def dq_column_scores(spark, folder):
     events = tables(spark, folder)("events").select("event_id", "user_id", "event_type", "value")
-    facts = profile(events, table="events", sample_rows=None, duplicates=False).column_facts
+    facts = profile(events, table="events", duplicates=False).column_facts
     return dq.column_scores(dq.latest(_history(spark, folder)), facts)
 
 
@@ -304,16 +317,16 @@ def dq_overview(spark, folder):
 
 _unique = "(SELECT count(*) = count(DISTINCT {0}) FROM customer)"
 _suggest_sql = " UNION ALL ".join(
-    [f"SELECT '{c} unique' AS name, 'unique' AS kind, '{c}' AS \"column\", CAST(1.0 AS DOUBLE) AS threshold WHERE {_unique.format(c)}"
+    [f"SELECT '{c} key is unique' AS name, 'unique' AS kind, '{c}' AS \"column\", CAST(1.0 AS DOUBLE) AS threshold WHERE {_unique.format(c)}"
      for c in ("c_custkey", "c_acctbal")]
-    + [f"SELECT '{c} present', 'not_null', '{c}', CASE WHEN {_unique.format(c)} THEN 1.0 ELSE 0.99 END" for c in ("c_custkey", "c_acctbal")]
-    + [f"SELECT '{c} within range', 'range', '{c}', 0.99 WHERE NOT {_unique.format(c)}" for c in ("c_custkey", "c_acctbal")]
-    + ["SELECT 'c_mktsegment present', 'not_null', 'c_mktsegment', 0.99",
-       "SELECT 'c_mktsegment in its known set', 'in_set', 'c_mktsegment', 0.99 WHERE (SELECT count(DISTINCT c_mktsegment) <= 12 FROM customer)"])
+    + [f"SELECT CASE WHEN {_unique.format(c)} THEN '{c} key is filled' ELSE '{c} is filled' END, 'not_null', '{c}', CASE WHEN {_unique.format(c)} THEN 1.0 ELSE 0.99 END" for c in ("c_custkey", "c_acctbal")]
+    + [f"SELECT '{c} stays near its range', 'range', '{c}', 0.99 WHERE NOT {_unique.format(c)}" for c in ("c_custkey", "c_acctbal")]
+    + ["SELECT 'c_mktsegment is filled', 'not_null', 'c_mktsegment', 0.99",
+       "SELECT 'c_mktsegment keeps to its values', 'in_set', 'c_mktsegment', 0.99 WHERE (SELECT count(DISTINCT c_mktsegment) <= 12 FROM customer)"])
 
 
 @query("dq_suggest", _suggest_sql)
 def dq_suggest(spark, folder):
     df = tables(spark, folder)("customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    facts = profile(df, table="customer", sample_rows=None, exact=True, duplicates=False).column_facts
+    facts = profile(df, table="customer", exact=True, duplicates=False).column_facts
     return dq.suggest(facts, 0).select("name", "kind", "column", "threshold")

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from semgraph.functions.terms import quoted
 
@@ -328,11 +329,12 @@ def _finished(spark: SparkSession, rules: Sequence[DqRule], measured: DataFrame,
 def evaluate(
     df: DataFrame, rules: Sequence[DqRule], refs: References | None = None, as_of: dt.datetime | None = None
 ) -> DataFrame:
-    """One result row per enabled rule. A rule the analyser rejects comes back as ``error``."""
+    """One result row per enabled rule. A rule that is not valid, or the analyser rejects, comes back as ``error``."""
     active = _active(rules)
     valid, errors = [], {}
     for r in active:
         try:
+            r = validate(r, df.columns)
             for part in _measured(df, [r], refs, as_of):
                 part.schema  # noqa: B018 - analyses the plan without running it
             valid.append(r)
@@ -388,11 +390,11 @@ def score(results: DataFrame) -> DataFrame:
 
 def failing_rows(
     df: DataFrame, rule: DqRule, refs: References | None = None, as_of: dt.datetime | None = None,
-    limit: int | None = 20,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Rows that break a rule; ``limit`` between 1 and 200, or None for all of them.
+    """Rows that break a rule, all of them or the first ``limit`` by all columns.
 
-    A row whose check is NULL breaks the rule, here as in the counts.
+    A row whose check or filter is NULL breaks the rule, here as in the counts.
     """
     if rule.kind in TABLE_LEVEL:
         raise RuleError(f"{rule.kind} is about the whole table and has no failing rows")
@@ -407,10 +409,13 @@ def failing_rows(
         value = F.col(quoted(rule.column))
         bad = df.where(value.isNotNull()).join(known, value == F.col("_ref"), "left_anti")
     else:
-        bad = df.where(~F.coalesce(row_predicate(rule, as_of), F.lit(False)))
-    if condition and rule.kind != "unique":
-        bad = bad.where(F.expr(str(condition)))
-    return bad if limit is None else bad.limit(max(1, min(int(limit), 200)))
+        bad = df.where(~F.coalesce(_scoped(rule, row_predicate(rule, as_of)), F.lit(False)))
+    if condition and rule.kind == "referential":
+        bad = bad.where(F.coalesce(F.expr(str(condition)), F.lit(True)))
+    if limit is None:
+        return bad
+    sortable = [F.col(quoted(f.name)) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    return bad.orderBy(*sortable).limit(limit)
 
 
 def flag_rows(
@@ -533,64 +538,55 @@ def overview(rules: DataFrame, history: DataFrame) -> DataFrame:
 
 # -- suggestions ----------------------------------------------------------------------------------------------
 
+#: What a profile justifies as (kind, condition, parameters, threshold, name), conditions, parameters and names in
+#: SQL over a column's facts and the helpers ``low``, ``high``, ``pad`` and ``age``. The numbers are fixed values.
+PROPOSALS = (
+    ("not_null", "role = 'row key'", "'{}'", 1.0, "'key is filled'"),
+    ("unique", "role = 'row key'", "'{}'", 1.0, "'key is unique'"),
+    ("not_null", "role <> 'row key' AND nulls = 0 AND non_null > 0", "'{}'", 0.99, "'is filled'"),
+    ("range", "role <> 'row key' AND kind = 'numeric' AND high >= low",
+     "to_json(named_struct('min', round(if(low >= 0, greatest(0.0D, low - pad), low - pad), 4), 'max', round(high + pad, 4)))",
+     0.99, "'stays near its range'"),
+    ("in_set", "role <> 'row key' AND kind = 'categorical' AND size(values) > 0 AND distinct <= 12 AND try_divide(distinct, non_null) < 0.5",
+     "to_json(named_struct('values', transform(values, v -> v.value)))", 0.99, "'keeps to its values'"),
+    ("regex", "role <> 'row key' AND kind = 'categorical' AND guid AND unique_pct > 0.9", "guid_params", 0.99, "'is an identifier'"),
+    ("freshness", "role <> 'row key' AND kind = 'date' AND lower(column) rlike 'modif|updat|load|ingest' AND age <= 30",
+     "'{\"hours\":48}'", 0.99, "'is loaded daily'"),
+)
+
+
 def suggest(
     column_facts: DataFrame, row_count: int, existing: Sequence[tuple[str, str | None]] = (),
     as_of: dt.datetime | None = None,
 ) -> DataFrame:
     """Rules a profile justifies: (name, kind, column, params as JSON, threshold)."""
-    column, kind, role = F.col("column"), F.col("kind"), F.col("role")
-    is_key = role == "row key"
-
-    def rule(condition, ending: str, rule_kind: str, params: Column, threshold: float) -> Column:
-        return F.when(
-            condition,
+    spark = column_facts.sparkSession
+    tenth = F.expr("CASE WHEN high <> low THEN (high - low) / 10 WHEN high <> 0 THEN abs(high) / 10 ELSE 1 END")
+    facts = (
+        column_facts.withColumn("low", F.expr("try_cast(min AS double)")).withColumn("high", F.expr("try_cast(max AS double)"))
+        .withColumn("pad", tenth).withColumn("guid", F.coalesce(F.col("top").rlike(GUID_PATTERN), F.lit(False)))
+        .withColumn("guid_params", F.lit(json.dumps({"pattern": GUID_PATTERN})))
+        .withColumn("age", F.datediff(_now(as_of).cast("date"), F.substring("max", 1, 10).try_cast("date")))
+    )
+    proposed = [
+        F.when(
+            F.expr(condition),
             F.struct(
-                F.concat(column, F.lit(ending)).alias("name"), F.lit(rule_kind).alias("kind"),
-                column.alias("column"), params.alias("params"), F.lit(threshold).alias("threshold"),
+                F.concat_ws(" ", "column", F.expr(name)).alias("name"), F.lit(kind).alias("kind"), F.col("column"),
+                F.expr(params).alias("params"), F.lit(threshold).alias("threshold"),
             ),
         )
-
-    none = F.lit("{}")
-    low, high = F.col("min").try_cast("double"), F.col("max").try_cast("double")
-    width = (high - low) * 0.1
-    pad = F.when(width != 0, width).when(high != 0, F.abs(high) * 0.1).otherwise(1.0)
-    least = F.when(low >= 0, F.greatest(F.lit(0.0), low - pad)).otherwise(low - pad)
-    bounds = F.to_json(F.struct(_tidy(least).alias("min"), _tidy(high + pad).alias("max")))
-    values = F.to_json(F.struct(F.transform("values", lambda v: v["value"]).alias("values")))
-    few = (F.size("values") > 0) & (F.col("distinct") <= 12) & (F.try_divide("distinct", "non_null") < 0.5)
-    guid = F.col("top").rlike(GUID_PATTERN) & (F.col("unique_pct") > 0.9)
-    age = F.datediff(_now(as_of).cast("date"), F.to_date(F.substring("max", 1, 10)))
-    loaded = F.lower(column).rlike("modif|updat|load|ingest") & (age <= 30)
-    proposals = F.array_compact(
-        F.array(
-            rule(is_key, " unique", "unique", none, 1.0),
-            rule(is_key, " present", "not_null", none, 1.0),
-            rule(~is_key & (F.col("nulls") == 0) & (F.col("non_null") > 0), " present", "not_null", none, 0.99),
-            rule(~is_key & (kind == "categorical") & few, " in its known set", "in_set", values, 0.99),
-            rule(~is_key & (kind == "numeric") & (high >= low), " within range", "range", bounds, 0.99),
-            rule(~is_key & (kind == "categorical") & guid, " is a GUID", "regex",
-                 F.lit(json.dumps({"pattern": GUID_PATTERN})), 0.99),
-            rule(~is_key & (kind == "date") & loaded, " fresh within 2 days", "freshness", F.lit('{"hours":48}'), 0.99),
-        )
-    )
-    found = column_facts.select(F.inline(proposals))
-    spark = column_facts.sparkSession
+        for kind, condition, params, threshold, name in PROPOSALS
+    ]
+    found = facts.select(F.inline(F.array_compact(F.array(*proposed))))
     if row_count:
-        limits = json.dumps({"min": max(0, int(row_count * 0.8)), "max": int(row_count * 1.2) + 1})
-        volume = [("Row count within range", "row_count", None, limits, 1.0)]
-        found = found.unionByName(spark.createDataFrame(volume, found.schema))
+        about = json.dumps({"min": row_count * 4 // 5, "max": row_count * 6 // 5 + 1})
+        found = found.unionByName(spark.createDataFrame([("table keeps its size", "row_count", None, about, 1.0)], found.schema))
     if not existing:
         return found
-    have = spark.createDataFrame(
-        [(k, (c or "").lower()) for k, c in existing], "_kind string, _column string"
-    )
+    have = spark.createDataFrame([(k, (c or "").lower()) for k, c in existing], "_kind string, _column string")
     taken = (F.col("kind") == F.col("_kind")) & (F.lower(F.coalesce("column", F.lit(""))) == F.col("_column"))
-    return found.join(F.broadcast(have), taken, "left_anti")
-
-
-def _tidy(x: Column) -> Column:
-    """Numbers printed without a needless fraction; the JSON keeps them numbers."""
-    return F.round(x, 4)
+    return found.join(have, taken, "left_anti")
 
 
 def parsed_rules(suggested: DataFrame) -> list[DqRule]:

@@ -15,7 +15,7 @@ from semgraph.operators.quantiles import exact_quantiles
 
 @pytest.fixture(scope="module")
 def facts(hr):
-    return profile(hr.tables["employees"], table="employees", key=("empno",), sample_rows=None)
+    return profile(hr.tables["employees"], table="employees", key=("empno",))
 
 
 def test_profile_golden(facts):
