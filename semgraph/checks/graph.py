@@ -241,7 +241,7 @@ def agg_by_relation(spark, folder):
 def _dated(name: str, width: int, kind: str):
     @query(name, f"""
 SELECT substr(CAST(o_orderdate AS VARCHAR), 1, {width}) AS "group", count(*) AS count, {_measures.format('o_totalprice')}
-FROM orders GROUP BY 1 ORDER BY count DESC, 1 LIMIT 50""")
+FROM orders GROUP BY 1""")
     def run(spark, folder):
         return graph.aggregate(
             shop_graph(spark, folder, "type", "totalPrice", "orderDate", layout="branches"), shop.ORDER, measure=NS + "totalPrice", group_by=NS + "orderDate",
@@ -307,6 +307,20 @@ def resolve_values(spark, folder):
     return graph.resolve_values(found, ["ASIA", "europe", "nowhere"], type_iri=shop.REGION)
 
 
+@query("resolve_ambiguous", f"""
+WITH v AS (SELECT DISTINCT substr(c_name, 1, length(c_name) - 1) AS value FROM customer UNION SELECT min(c_name) FROM customer),
+h AS (SELECT value, {iri_sql('Customer', 'c_custkey')} AS iri, lower(c_name) = lower(value) AS same FROM v JOIN customer ON contains(lower(c_name), lower(value)))
+SELECT value, coalesce(min(iri) FILTER (same), CASE WHEN count(*) = 1 THEN min(iri) END) AS iri,
+ CASE WHEN count(*) FILTER (same) > 0 THEN 'label' WHEN count(*) = 1 THEN 'single hit' END AS how, count(*) AS near
+FROM h WHERE value IN (SELECT value FROM v ORDER BY value LIMIT 12) GROUP BY value""")
+def resolve_ambiguous(spark, folder):
+    """Beginnings of names, each with many hits, and a whole name among them."""
+    names = tables(spark, folder)("customer").select("c_name")
+    starts = names.select(F.expr("substr(c_name, 1, length(c_name) - 1)").alias("v")).union(names.agg(F.min("c_name").alias("v")))
+    values = [r["v"] for r in starts.distinct().orderBy("v").limit(12).collect()]  # a report on the first twelve
+    return graph.resolve_values(shop_graph(spark, folder, "type", "name"), values, type_iri=shop.CUSTOMER)
+
+
 # -- classes ----------------------------------------------------------------------------------------------------------------
 
 @query("class_edges", with_facts(f"""

@@ -14,7 +14,6 @@ from semgraph.operators.triples import entity_keys, iris_for
 from semgraph.plans.mapping import Mapping
 from semgraph.sources.tables import guard_select, read_query
 
-ACTION_ROWS = 500
 _PLACEHOLDER = re.compile(r"(?<![:\w]):([A-Za-z_]\w*)")
 _STRING = re.compile(r"'(?:[^']|'')*'")
 
@@ -78,8 +77,8 @@ def virtual_all(entities: DataFrame, keys: Sequence[str], attributes: dict[str,
     return out, refused
 
 
-def action(spark: SparkSession, sql: str, keys: dict, *, scalar: bool = False) -> DataFrame:
-    """Run a statement for one entity with its key values bound as parameters."""
+def action(spark: SparkSession, sql: str, keys: dict, *, scalar: bool = False, limit: int | None = None) -> DataFrame:
+    """Run a statement for one entity with its key values bound as parameters; all its rows, or ``limit`` of them."""
     names = placeholders(guard_select(sql))
     lower = {k.lower(): v for k, v in keys.items()}
     unknown = [n for n in names if n.lower() not in lower]
@@ -88,7 +87,7 @@ def action(spark: SparkSession, sql: str, keys: dict, *, scalar: bool = False) -
     found = read_query(spark, sql, {n: lower[n.lower()] for n in names} or None)
     if scalar:
         return found.select(found[quoted(found.columns[0])].cast("string").alias("value")).limit(1)
-    return found.limit(ACTION_ROWS)
+    return found if limit is None else found.limit(limit)
 
 
 def action_all(entities: DataFrame, keys: Sequence[str], sql: str) -> DataFrame:
@@ -98,9 +97,9 @@ def action_all(entities: DataFrame, keys: Sequence[str], sql: str) -> DataFrame:
 
 
 def dataset(
-    entities: DataFrame, keys: Sequence[str], table: DataFrame, key_columns: Sequence[str], limit: int | None = 100
+    entities: DataFrame, keys: Sequence[str], table: DataFrame, key_columns: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Table rows belonging to each entity, first ``limit`` by all columns, numbered from 1."""
+    """Table rows belonging to each entity; with a ``limit`` the first by all columns, numbered from 1."""
     if len(keys) != len(key_columns):
         raise AttachmentError("a dataset names one key column per entity key")
     wanted = entities.select("subject", *[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)])

@@ -197,10 +197,13 @@ def search(
 
 
 def search_many(
-    triples: DataFrame, texts: Sequence[str], *, type_iri: str | None = None, limit: int = 20,
+    triples: DataFrame, texts: Sequence[str], *, type_iri: str | None = None, limit: int | None = 20,
     match: str = "contains", field: str = "any",
 ) -> DataFrame:
-    """``search`` for a configured list of texts in one pass: each triple is tested against every text."""
+    """``search`` for a configured list of texts in one pass: each triple is tested against every text.
+
+    The ``limit`` best of each text, numbered by ``position``; without one all, unnumbered.
+    """
     _check_search(match, field)
     asked = F.array(*[F.lit(t.lower()) for t in texts])
     matching = F.filter(asked, lambda q: _field_hit(q, match, field))
@@ -208,6 +211,8 @@ def search_many(
     best = found.groupBy("query", "subject").agg(
         F.min(_rank(F.col("query"))).alias("rank"), F.min(F.length("object")).alias("length")
     )
+    if limit is None:
+        return best
     order = Window.partitionBy("query").orderBy("rank", "length", "subject")
     return best.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit)
 
@@ -276,14 +281,13 @@ def neighbourhood(
 ) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) within ``depth`` undirected steps of every seed.
 
-    ``limit`` keeps the nearest nodes per seed, ties by IRI; edges join kept nodes. Each round joins
-    the new frontier only, so work follows the edges touched.
+    ``limit`` keeps the nearest nodes per seed, ties by IRI; edges join kept nodes. Each round joins the new
+    frontier to the links as they stand; only what was touched is made distinct.
     """
     if not 0 <= depth <= 6:
         raise ValueError("depth lies between 0 and 6")
     scratch = Scratch(triples.sparkSession, "neighbourhood")
-    links = relationships(triples).select("subject", "predicate", "object").distinct()
-    links = scratch.save(links, "links")
+    links = relationships(triples).select("subject", "predicate", "object")
     steps = links.select(F.col("subject").alias("node"), F.col("object").alias("next")).unionByName(
         links.select(F.col("object").alias("node"), F.col("subject").alias("next"))
     )
@@ -353,7 +357,7 @@ def instances(triples: DataFrame, classes: Iterable[str]) -> DataFrame:
 
 def aggregate(
     triples: DataFrame, class_iri: str, *, measure: str | None = None, group_by: str | Sequence[str] = (),
-    group_kind: str = "value", filters: Sequence[tuple[Sequence[str], str]] = (), limit: int | None = 50,
+    group_kind: str = "value", filters: Sequence[tuple[Sequence[str], str]] = (), limit: int | None = None,
     label: bool = True, dedupe: bool = False,
 ) -> DataFrame:
     """Count instances of a class and sum up a numeric attribute, grouped by the end of a path.
@@ -403,10 +407,10 @@ def aggregate(
 def resolve_values(triples: DataFrame, values: Sequence[str], type_iri: str | None = None) -> DataFrame:
     """(value, iri, how) of plain values naming entities: by label, by local name, else by a single hit.
 
-    Ambiguous and unknown values come back with a NULL IRI and the number of near ones.
+    Every hit is looked at. Ambiguous and unknown values come back with a NULL IRI and the number of near ones.
     """
-    hits = search_many(triples, list(dict.fromkeys(values)), type_iri=type_iri, limit=20)
-    named = with_label(hits, triples, "subject", few=20 * len(values) <= FEW)
+    hits = search_many(triples, list(dict.fromkeys(values)), type_iri=type_iri, limit=None)
+    named = with_label(hits, triples, "subject")
     exact = F.lower("label") == F.col("query")
     local = F.lower(local_name(F.col("subject"))) == F.col("query")
     picked = named.groupBy("query").agg(
@@ -495,7 +499,7 @@ def class_view(
         hits = triples.where(_field_hit(F.lit(search_text.lower()), "contains", "any")).select("subject")
         found = found.join(hits, "subject", "left_semi")
     if limit is not None:
-        found = found.orderBy("subject").limit(min(limit, 500))
+        found = found.orderBy("subject").limit(limit)
     wanted = [p.iri for p in (*attributes, *single)] + [RDF_TYPE]
     rank = label_rank(F.col("predicate"))
     is_name = (F.col("object_type") == LITERAL) & rank.isNotNull()
