@@ -122,7 +122,17 @@ def reference_evidence(spark, folder):
     return keys.reference_evidence(_all(spark, folder), found)
 
 
-@query("keys_discovered")
+_one_key = {t: c[0] for t, c in _key_columns.items() if t != "lineitem"}
+_points = {t: [(c, r, k) for x, c, r, k in _refs if x == t] for t in _key_columns}
+
+
+def _found_sql(t: str) -> str:
+    key = f"CASE WHEN (SELECT count(*) = count(DISTINCT {_one_key[t]}) FROM {t}) THEN '{_one_key[t]}' END" if t in _one_key else "'" + ",".join(c for c, _, _ in _points[t]) + "'"
+    held = [f"CASE WHEN NOT EXISTS (SELECT 1 FROM {t} WHERE {c} NOT IN (SELECT {k} FROM {r})) THEN '{c}->{r}' END" for c, r, k in sorted(_points[t])]
+    return f"SELECT '{t}' AS \"table\", {key} AS key, concat_ws(';', {', '.join(held) or 'NULL'}) AS foreign_keys"
+
+
+@query("keys_discovered", " UNION ALL ".join(map(_found_sql, _key_columns)))
 def keys_discovered(spark, folder):
     found = keys.discover(_all(spark, folder))
     rows = [(t, ",".join(k.key), ";".join(f"{','.join(f.columns)}->{f.table}" for f in k.foreign)) for t, k in found.items()]

@@ -59,9 +59,38 @@ def pagerank(spark, folder):
     return analytics.pagerank(_edges(spark, folder))
 
 
+@query("pagerank_balance", with_facts(f", {_E} SELECT count(DISTINCT node) AS nodes, CAST(1 AS DOUBLE) AS total, true AS settled "
+                                       "FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)", *_names))
+def pagerank_balance(spark, folder):
+    """Ranks sum to one, and one more step of the definition leaves every rank where it is."""
+    edges = _edges(spark, folder)
+    ranks = analytics.pagerank(edges, tolerance=1e-8)
+    out = edges.groupBy("src").agg(F.count("*").alias("out"))
+    n = F.lit(float(analytics.edge_nodes(edges).count()))
+    held = ranks.join(out, ranks.node == out.src, "left")
+    loose = held.where("out IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
+    sent = edges.join(held.select(F.col("node").alias("src"), (F.col("pagerank") / F.col("out")).alias("s")), "src").groupBy("dst").agg(F.sum("s").alias("s"))
+    again = ranks.join(sent, ranks.node == sent.dst, "left").crossJoin(F.broadcast(loose))
+    step = 0.85 * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n) + 0.15 / n
+    return again.agg(
+        F.count("*").alias("nodes"), F.round(F.sum("pagerank"), 6).alias("total"),
+        (F.max(F.abs(step - F.col("pagerank"))) < 1e-6).alias("settled"),
+    )
+
+
+@query("path_centralities_stars", f"""
+WITH s AS (SELECT n_regionkey AS k, count(*) AS c FROM nation GROUP BY 1), n AS (SELECT sum(c) + count(*) AS n FROM s)
+SELECT '{BASE}Region/' || k AS node, round(c * (c - 1) / ((n - 1) * (n - 2)), 9) AS betweenness, round(c / (n - 1), 9) AS closeness, false AS estimated FROM s, n
+UNION ALL SELECT '{BASE}Nation/' || n_nationkey, 0.0, round(c / (2 * c - 1) * c / (n - 1), 9), false FROM nation JOIN s ON k = n_regionkey, n""")
+def path_centralities_stars(spark, folder):
+    """Regions and their nations are stars, where ways are counted by hand."""
+    found = analytics.path_centralities(_edges(spark, folder, "inRegion"), None)
+    return found.select("node", F.round("betweenness", 9).alias("betweenness"), F.round("closeness", 9).alias("closeness"), "estimated")
+
+
 @query("path_centralities")
 def path_centralities(spark, folder):
-    return analytics.path_centralities(_edges(spark, folder, "inRegion", "inNation"), pivots=analytics.PIVOTS)
+    return analytics.path_centralities(_edges(spark, folder, "inRegion", "inNation"), pivots=64)
 
 
 _LINES = Mapping(
@@ -137,6 +166,20 @@ for _algorithm in communities.ALGORITHMS:
     _register_communities(_algorithm)
 
 
+@query("community_quality", with_facts(f""", {_U}
+SELECT algorithm, count(DISTINCT node) AS nodes, true AS good FROM x, (VALUES ('louvain'), ('label_propagation'), ('greedy_modularity')) a(algorithm)
+GROUP BY 1""", *_names))
+def community_quality(spark, folder):
+    """Every node is in one community, and modularity reaches what the links of this graph give."""
+    edges, rows = _edges(spark, folder), None
+    for algorithm, least in (("louvain", 0.5), ("label_propagation", 0.3), ("greedy_modularity", 0.4)):
+        found = communities.communities(edges, algorithm)
+        good = communities.modularity(edges, found) >= least
+        row = found.agg(F.countDistinct("node").alias("nodes")).select(F.lit(algorithm).alias("algorithm"), "nodes", F.lit(good).alias("good"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("community_summary")
 def community_summary(spark, folder):
     edges = _edges(spark, folder, "inRegion", "inNation")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
@@ -14,9 +14,7 @@ from semgraph.operators.components import connected_components
 from semgraph.operators.graph import FEW, with_label
 from semgraph.operators.quantiles import exact_quantiles
 
-# Where centralities switch from exact to sampled, PageRank settings, histogram width.
-EXACT_NODES = 5_000
-PIVOTS = 64
+# PageRank settings, histogram width.
 DAMPING, TOLERANCE, MAX_ITERATIONS = 0.85, 1e-6, 100
 BINS = 20
 
@@ -42,7 +40,10 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Numbered:
-    """A graph with dense long ids, written once for the rounds of an iterative measure."""
+    """A graph with ids in the order of its node names, written once for the rounds of an iterative measure.
+
+    Ids do not depend on partitions: what is decided by an id repeats exactly.
+    """
 
     nodes: DataFrame
     links: DataFrame
@@ -52,10 +53,21 @@ class Numbered:
         return self.nodes.join(measured, "id").drop("id")
 
 
+def positions(ordered: DataFrame, column: str, out: str, scratch: Scratch) -> DataFrame:
+    """0-based positions of a sorted frame without gathering it: offsets of sorted partitions are summed."""
+    placed = scratch.save(
+        ordered.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "placed"
+    )
+    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    return placed.join(starts, "_part").select(column, (F.col("_before") + F.col("_at") - F.col("_from")).alias(out))
+
+
 def numbered(edges: DataFrame, job: str, *, directed: bool = True) -> Numbered:
     scratch = Scratch(edges.sparkSession, job)
     plain = edges.select("src", "dst") if directed else undirected(edges)
-    nodes = scratch.save(edge_nodes(plain).withColumn("id", F.monotonically_increasing_id()), "nodes")
+    nodes = scratch.save(positions(edge_nodes(plain).orderBy("node"), "node", "id", scratch), "nodes")
     left = nodes.select(F.col("node").alias("src"), F.col("id").alias("u"))
     right = nodes.select(F.col("node").alias("dst"), F.col("id").alias("v"))
     links = scratch.save(plain.join(left, "src").join(right, "dst").select("u", "v"), "links", sort=("u",))
@@ -153,8 +165,10 @@ def _levels(g: Numbered, pivots: DataFrame) -> list[DataFrame]:
         levels.append(level)
 
 
-def path_centralities(edges: DataFrame, pivots: int | None = None, seed: int = 42) -> DataFrame:
-    """(node, betweenness, closeness) of the undirected graph, from all nodes or from sampled pivots.
+def path_centralities(edges: DataFrame, pivots: int | None, seed: int = 42) -> DataFrame:
+    """(node, betweenness, closeness, estimated) of the undirected graph.
+
+    ``pivots``: None reads ways from every node, whose number is squared; a number estimates from so many nodes.
 
     The forward pass counts shortest ways level by level, the backward pass hands dependencies back one
     level at a time; every step is a join on (pivot, node).
@@ -198,7 +212,8 @@ def path_centralities(edges: DataFrame, pivots: int | None = None, seed: int = 4
     out = g.nodes.join(between, "id", "left").join(closeness, "id", "left")
     zero = F.lit(0.0)
     return out.select(
-        "node", F.coalesce("betweenness", zero).alias("betweenness"), F.coalesce("closeness", zero).alias("closeness")
+        "node", F.coalesce("betweenness", zero).alias("betweenness"), F.coalesce("closeness", zero).alias("closeness"),
+        F.lit(sampled).alias("estimated"),
     )
 
 
@@ -236,11 +251,9 @@ def clustering(edges: DataFrame) -> DataFrame:
     return found.select("node", triangles.alias("triangles"), F.coalesce(ratio, F.lit(0.0)).alias("clustering"))
 
 
-def centralities(edges: DataFrame) -> DataFrame:
-    """All five measures per node; path measures are sampled above EXACT_NODES nodes."""
+def centralities(edges: DataFrame, pivots: int | None) -> DataFrame:
+    """All five measures per node; ``pivots`` as for the path measures, of which ``estimated`` tells."""
     degrees = degree(edges)
-    n = degrees.count()
-    pivots = PIVOTS if n > EXACT_NODES else None
     out = degrees.select("node", F.col("centrality").alias("degree"))
     for part in (pagerank(edges), path_centralities(edges, pivots), clustering(edges).select("node", "clustering")):
         out = out.join(part, "node", "left")

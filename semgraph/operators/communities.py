@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
 from semgraph.functions.terms import IN_COMMUNITY, IRI, TRIPLE_COLUMNS
-from semgraph.operators.analytics import numbered, undirected
+from semgraph.operators.analytics import numbered, positions, undirected
 from semgraph.operators.graph import with_label
 
 ALGORITHMS = ("louvain", "label_propagation", "greedy_modularity")
@@ -16,9 +16,10 @@ SMALLEST_GAIN = 1e-6
 
 
 def communities(edges: DataFrame, algorithm: str = "louvain", resolution: float = 1.0, seed: int = 42) -> DataFrame:
-    """(node, community) with communities numbered by size, then by first member.
+    """(node, community, converged) with communities numbered by size, then by first member.
 
-    Which nodes move in a round is decided by a hash of node, round and seed, so runs repeat exactly.
+    Which nodes move in a round is decided by a hash of the node's place in the order of names, round and seed, so
+    runs repeat exactly, however rows are partitioned. ``converged`` is false where a phase used up its rounds.
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
@@ -30,37 +31,24 @@ def communities(edges: DataFrame, algorithm: str = "louvain", resolution: float
     )
     weighted = g.scratch.save(pairs.unionByName(loops), "weighted", sort=("u",))
     if algorithm == "label_propagation":
-        found = _label_propagation(weighted, g.scratch, seed)
+        found, settled = _label_propagation(weighted, g.scratch, seed)
     elif algorithm == "louvain":
-        found = _louvain(weighted, g.scratch, resolution, seed)
+        found, settled = _louvain(weighted, g.scratch, resolution, seed)
     else:
-        found = _agglomerate(weighted, g.scratch, resolution, seed)
+        found, settled = _agglomerate(weighted, g.scratch, resolution, seed)
     named = g.scratch.save(g.nodes.join(found, "id").select("node", F.col("label")), "named")
     sizes = named.groupBy("label").agg(F.count("*").alias("_size"), F.min("node").alias("_first"))
     # Numbering sorts one row per community.
     ordered = sizes.orderBy(F.desc("_size"), "_first").select("label")
-    indexed = _positions(ordered, g.scratch)
-    return named.join(indexed, "label").select("node", F.col("position").alias("community"))
-
-
-def _positions(ordered: DataFrame, scratch: Scratch) -> DataFrame:
-    """0-based positions of a sorted frame without gathering it: offsets of sorted partitions are summed."""
-    placed = scratch.save(
-        ordered.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "placed"
-    )
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    return placed.join(F.broadcast(starts), "_part").select(
-        "label", (F.col("_before") + F.col("_at") - F.col("_from")).alias("position")
-    )
+    indexed = positions(ordered, "label", "community", g.scratch)
+    return named.join(indexed, "label").select("node", "community", F.lit(settled).alias("converged"))
 
 
 def _coin(node: Column, round_: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(round_), F.lit(seed)), F.lit(2)) == 0
 
 
-def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> tuple[DataFrame, bool]:
     """Each node takes its neighbours' most frequent label, ties to the smallest; half of them per round."""
     labels = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
     steps = links.where("u != v")
@@ -79,9 +67,10 @@ def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> DataFra
         )
         moved, seen = scratch.measured(moved, "labels", restless=F.count_if("_restless"))
         labels = moved.drop("_restless")
+        scratch.forget("labels", keep=1)
         if not seen["restless"]:
-            break
-    return labels
+            return labels, True
+    return labels, False
 
 
 def _strengths(links: DataFrame) -> DataFrame:
@@ -111,23 +100,23 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
     return modularity_of(links, labels, links.count() + loops.count(), resolution)
 
 
-def _louvain(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> DataFrame:
+def _louvain(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> tuple[DataFrame, bool]:
     total = links.agg(F.sum("w").alias("w")).first()["w"] or 1.0
     membership = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "member")
     best = modularity_of(links, membership, total, resolution)
-    level_links = links
+    level_links, settled = links, True
     for level in range(MAX_LEVELS):
-        labels = _local_moves(level_links, scratch, total, resolution, seed + level)
+        labels, quiet = _local_moves(level_links, scratch, total, resolution, seed + level)
         gained = modularity_of(level_links, labels, total, resolution)
         if gained < best + SMALLEST_GAIN:
-            break
-        best = gained
+            return membership, settled
+        best, settled = gained, settled and quiet
         onward = labels.select(F.col("id").alias("label"), F.col("label").alias("_to"))
         membership = scratch.save(
             membership.join(onward, "label").select("id", F.col("_to").alias("label")), "member"
         )
         level_links = scratch.save(_contracted(level_links, labels), "contracted")
-    return membership
+    return membership, False
 
 
 def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -138,7 +127,9 @@ def _contracted(links: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def _local_moves(links: DataFrame, scratch: Scratch, total: float, resolution: float, seed: int) -> DataFrame:
+def _local_moves(
+    links: DataFrame, scratch: Scratch, total: float, resolution: float, seed: int
+) -> tuple[DataFrame, bool]:
     """Nodes change to the neighbouring community with the largest gain, about half of them per round."""
     strength = scratch.save(_strengths(links), "strength")
     labels = scratch.save(strength.select("id", F.col("id").alias("label")), "labels")
@@ -173,11 +164,11 @@ def _local_moves(links: DataFrame, scratch: Scratch, total: float, resolution: f
         moved, seen = scratch.measured(moved, "labels", better=F.count_if("_better"))
         labels = moved.drop("_better")
         if not seen["better"]:
-            break
-    return labels
+            return labels, True
+    return labels, False
 
 
-def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> DataFrame:
+def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> tuple[DataFrame, bool]:
     """Merge communities with the pair gain that raises modularity most, many pairs per round.
 
     Every community names its best partner; mutual choices merge, and others join a partner that receives
@@ -200,7 +191,7 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
         ).select("u", F.col("c.v").alias("v"))
         choice, seen = scratch.measured(choice, "choice")
         if not seen["n"]:
-            break
+            return best_membership, True
         back = choice.select(F.col("u").alias("v"), F.col("v").alias("_back"))
         judged = choice.join(back, "v", "left").withColumn("_mutual", F.coalesce(F.col("_back") == F.col("u"), F.lit(False)))
         sends = ~_coin(F.col("u"), round_, seed) & _coin(F.col("v"), round_, seed)
@@ -221,7 +212,7 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
         reached = modularity_of(links, membership, total, resolution)
         if reached > best:
             best, best_membership = reached, membership
-    return best_membership
+    return best_membership, False
 
 
 def summary(membership: DataFrame, degrees: DataFrame, triples: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def test_long_path_is_one_component(spark):
 
 def test_exact_path_centralities(edges):
     want = brute_paths()
-    for r in analytics.path_centralities(edges).collect():
+    for r in analytics.path_centralities(edges, None).collect():
         assert (r["betweenness"], r["closeness"]) == pytest.approx(want[r["node"]], abs=1e-9)
     assert analytics.path_centralities(edges, pivots=5).count() == 17
 
