@@ -188,6 +188,19 @@ def neighbourhood_nodes(spark, folder):
     return _neighbourhood(spark, folder)[0]
 
 
+_named = {"Region": ("region", "r_regionkey", "r_name"), "Nation": ("nation", "n_nationkey", "n_name"),
+          "Customer": ("customer", "c_custkey", "c_name"), "Supplier": ("supplier", "s_suppkey", "s_name")}
+_names_sql = " UNION ALL ".join(f"SELECT {iri_sql(c, k)} AS node, {n} AS label, '{NS}{c}' AS types FROM {t}" for c, (t, k, n) in _named.items())
+
+
+@query("neighbourhood_labelled", with_facts(_steps + f"SELECT seed, node, distance, label, types FROM n JOIN ({_names_sql}) USING (node)", *_near))
+def neighbourhood_labelled(spark, folder):
+    """Nodes within two steps of every region, by name and type."""
+    nodes = _neighbourhood(spark, folder)[0]
+    found = graph.described(shop_graph(spark, folder, "type", "name"), nodes)
+    return found.select("seed", "node", "distance", "label", F.array_join("types", " ").alias("types"))
+
+
 @query("neighbourhood_edges", with_facts(_steps + """
 SELECT DISTINCT seed, subject, predicate, object FROM e JOIN n ON (n.node = e.subject OR n.node = e.object) AND n.distance < 2""", *_near))
 def neighbourhood_edges(spark, folder):
@@ -209,6 +222,17 @@ def overview_sample(spark, folder):
     return graph.overview(shop_graph(spark, folder, *LINK_NAMES), 300)
 
 
+@query("overview_nodes", with_facts(f"""
+, r AS (SELECT *, row_number() OVER (PARTITION BY predicate ORDER BY md5(object), subject, object) AS k FROM t)
+SELECT DISTINCT object AS node, label, types FROM r JOIN ({_names_sql} UNION ALL SELECT {iri_sql('Part', 'p_partkey')}, p_name, '{NS}Part' FROM part) x ON x.node = object
+WHERE k <= 300 // 6""", *LINK_NAMES))
+def overview_nodes(spark, folder):
+    """What the sampled relationships point at, by name and type."""
+    sample = graph.overview(shop_graph(spark, folder, *LINK_NAMES), 300)
+    ends = sample.select(F.col("object").alias("node")).distinct()
+    return graph.described(shop_graph(spark, folder, "type", "name"), ends).select("node", "label", F.array_join("types", " ").alias("types"))
+
+
 @query("triples_page", with_facts("""
 SELECT subject, predicate, object, object_type, datatype, lang, inferred FROM t
 WHERE contains(lower(object), 'building') OR contains(lower(subject), 'building') OR contains(lower(predicate), 'building')

@@ -68,10 +68,10 @@ def pagerank_balance(spark, folder):
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     n = F.lit(float(analytics.edge_nodes(edges).count()))
     held = ranks.join(out, ranks.node == out.src, "left")
-    loose = held.where("out IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
+    loose = held.where("out IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose")).first()["loose"]
     sent = edges.join(held.select(F.col("node").alias("src"), (F.col("pagerank") / F.col("out")).alias("s")), "src").groupBy("dst").agg(F.sum("s").alias("s"))
-    again = ranks.join(sent, ranks.node == sent.dst, "left").crossJoin(F.broadcast(loose))
-    step = 0.85 * (F.coalesce("s", F.lit(0.0)) + F.col("loose") / n) + 0.15 / n
+    again = ranks.join(sent, ranks.node == sent.dst, "left")
+    step = 0.85 * (F.coalesce("s", F.lit(0.0)) + F.lit(loose) / n) + 0.15 / n
     return again.agg(
         F.count("*").alias("nodes"), F.round(F.sum("pagerank"), 6).alias("total"),
         (F.max(F.abs(step - F.col("pagerank"))) < 1e-6).alias("settled"),

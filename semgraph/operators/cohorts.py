@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from semgraph.functions.skew import split_join
 from semgraph.functions.terms import IN_COHORT, IRI, LITERAL, TRIPLE_COLUMNS, iri_local_name, local_name, number
 from semgraph.operators.graph import FEW, instances, with_label
 from semgraph.plans.ontology import Ontology
@@ -115,7 +116,7 @@ def hits(triples: DataFrame, c: Criterion, subjects: DataFrame) -> DataFrame:
     facts = triples.where(F.col("predicate") == c.via).select("subject", "object", "object_type")
     found = _by_value(facts, targets, c, f"{name} -> {iri_local_name(c.via)}")
     found = found.select(F.col("subject").alias("object"), "why")
-    return reached.join(found, "object").groupBy("subject").agg(F.min_by("why", "object").alias("why"))
+    return split_join(reached, found, ["object"]).groupBy("subject").agg(F.min_by("why", "object").alias("why"))
 
 
 def evaluate(

@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     Nodes get dense long ids first, so rounds move numbers instead of text. Every round hangs the larger
     neighbours of a node onto its smallest neighbour, then the smaller ones; the number of rounds grows
-    with the logarithm of the graph, not with its longest path. Minima combine before the shuffle.
+    with the logarithm of the graph, not with its longest path. Minima combine before the shuffle and are written,
+    so that the join after them is between two plain scans and the centre of a giant star can be split.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -29,7 +30,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     links, before = scratch.measured(_ordered(links), "links", digest=digest)
     for _ in range(MAX_ROUNDS):
-        links, now = scratch.measured(_small_star(_large_star(links)), "stars", digest=digest)
+        wide = scratch.save(_large_star(links, scratch), "wide")
+        links, now = scratch.measured(_small_star(wide, scratch), "stars", digest=digest)
+        scratch.forget("wide", "least")
+        scratch.forget("stars", keep=1)
         if now == before:
             break
         before = now
@@ -38,7 +42,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     roots = nodes.join(links.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select(
         "node", F.coalesce("root", "id").alias("root")
     )
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
+    roots = scratch.save(roots, "roots")
+    smallest = scratch.save(roots.groupBy("root").agg(F.min("node").alias("component")), "smallest")
     return roots.join(smallest, "root").select("node", "component")
 
 
@@ -47,16 +52,16 @@ def _ordered(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node's larger neighbours hang on the smallest of the node and its neighbours."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return _ordered(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, scratch: Scratch) -> DataFrame:
     """Each node and its smaller neighbours hang on the smallest of those neighbours."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = scratch.save(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     own = least.select("u", F.col("m").alias("v"))
     others = links.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _ordered(own.unionByName(others))

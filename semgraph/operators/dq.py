@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from semgraph.functions.skew import split_join
 from semgraph.functions.terms import quoted
 
 # Rule kinds with their quality dimension, and the parameters each cannot do without.
@@ -402,12 +403,12 @@ def failing_rows(
     if rule.kind == "unique":
         keys = rule.key_columns
         present = reduce(lambda a, b: a & b, [F.col(quoted(c)).isNotNull() for c in keys])
-        repeated = df.where(present).groupBy(*[F.col(quoted(c)) for c in keys]).agg(F.count("*").alias("_n"))
-        bad = df.join(repeated.where(F.col("_n") > 1).drop("_n"), keys, "left_semi")
+        repeated = df.where(present).groupBy(*[F.col(quoted(c)) for c in keys]).agg(F.count("*").alias("_times"))
+        bad = split_join(df, repeated.where(F.col("_times") > 1).drop("_times"), keys, "left_semi").select(*df.columns)
     elif rule.kind == "referential":
-        known = _ref_keys(rule, refs, "_ref")
         value = F.col(quoted(rule.column))
-        bad = df.where(value.isNotNull()).join(known, value == F.col("_ref"), "left_anti")
+        keyed = df.where(value.isNotNull()).withColumn("_ref", value)
+        bad = split_join(keyed, _ref_keys(rule, refs, "_ref"), ["_ref"], "left_anti").select(*df.columns)
     else:
         bad = df.where(~F.coalesce(_scoped(rule, row_predicate(rule, as_of)), F.lit(False)))
     if condition and rule.kind == "referential":
@@ -430,21 +431,19 @@ def flag_rows(
             keys = r.key_columns
             present = reduce(lambda a, b: a & b, [F.col(quoted(c)).isNotNull() for c in keys])
             groups = df.where(present).groupBy(*[F.col(quoted(c)).alias(f"_u{i}_{n}") for n, c in enumerate(keys)]).agg(
-                F.count("*").alias("_n")
+                F.count("*").alias("_times")
             )
-            repeated = groups.where(F.col("_n") > 1).withColumn(f"_bad{i}", F.lit(True)).drop("_n")
-            match = reduce(
-                lambda a, b: a & b, [F.col(quoted(c)) == F.col(f"_u{i}_{n}") for n, c in enumerate(keys)]
-            )
-            out = out.join(repeated, match, "left")
-            extra += [f"_u{i}_{n}" for n in range(len(keys))] + [f"_bad{i}"]
+            repeated = groups.where(F.col("_times") > 1).withColumn(f"_bad{i}", F.lit(True)).drop("_times")
+            named = {f"_u{i}_{n}": F.col(quoted(c)) for n, c in enumerate(keys)}
+            out = split_join(out.withColumns(named), repeated, list(named), "left")
+            extra += [*named, f"_bad{i}"]
             bad = F.col(f"_bad{i}").isNotNull()
         elif r.kind == "referential":
-            known = _ref_keys(r, refs, f"_ref{i}")
+            known = _ref_keys(r, refs, f"_ref{i}").withColumn(f"_known{i}", F.lit(True))
             value = F.col(quoted(r.column))
-            out = out.join(known, value == F.col(f"_ref{i}"), "left")
-            extra.append(f"_ref{i}")
-            bad = value.isNotNull() & F.col(f"_ref{i}").isNull()
+            out = split_join(out.withColumn(f"_ref{i}", value), known, [f"_ref{i}"], "left")
+            extra += [f"_ref{i}", f"_known{i}"]
+            bad = value.isNotNull() & F.col(f"_known{i}").isNull()
             if r.params.get("filter"):
                 bad = bad & F.coalesce(F.expr(str(r.params["filter"])), F.lit(True))
         else:

@@ -144,6 +144,12 @@ def entities(triples: DataFrame, iris: DataFrame, column: str = "iri") -> DataFr
     return out.withColumn("types", F.coalesce("types", F.array().cast("array<string>")))
 
 
+def described(triples: DataFrame, nodes: DataFrame, column: str = "node") -> DataFrame:
+    """The rows with ``label`` and ``types`` of the entity in a column: nodes of a neighbourhood, ends of an overview."""
+    about = entities(triples, nodes, column).withColumnRenamed("iri", column)
+    return nodes.join(about, column, "left")
+
+
 # -- search ----------------------------------------------------------------------------------------------
 
 def _hit(col: Column, needle: Column, match: str) -> Column:
