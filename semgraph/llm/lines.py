@@ -44,7 +44,7 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 
 
 def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> DataFrame:
-    """_ld_row and the window numbers' lines to remove: ``gone``, places among the solid lines."""
+    """_ld_row and the window numbers' lines to remove: ``_ld_gone``, places among the solid lines."""
     found = scratch.save(windows(docs, width), "windows")
     repeated = found.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")
@@ -56,7 +56,7 @@ def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int =
     start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + width)).otherwise(F.col("at"))
     spans = late.select("_ld_row", start.alias("lo"), (F.col("at") + width - 1).alias("hi")).filter("lo <= hi")
     return spans.groupBy("_ld_row").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi"))))).alias("gone")
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi"))))).alias("_ld_gone")
     )
 
 
@@ -67,14 +67,15 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = WINDO
     # a row is known by what it holds: rows alike in everything are treated alike
     keyed = docs.select(*names).withColumn("_ld_row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
     gone = scratch.save(covered(spark, keyed, scratch, width), "gone")
-    joined = keyed.join(gone, "_ld_row", "left").drop("_ld_row").withColumn("_ld_split", F.split("text", "\n"))
+    # one plan at every size: rows with removed lines grow with the table
+    joined = keyed.join(gone.hint("merge"), "_ld_row", "left").drop("_ld_row").withColumn("_ld_split", F.split("text", "\n"))
     numbered = F.transform("_ld_split", lambda line, i: F.struct(F.regexp_replace(line, r"\s+$", "").alias("s"), i.alias("i")))
     solid = F.transform(F.filter(numbered, lambda x: x["s"] != ""), lambda x: x["i"])
-    found = joined.withColumn("_ld_solid", F.when(F.col("gone").isNotNull(), solid))
-    lost = F.transform("gone", lambda k: F.get("_ld_solid", k))
+    found = joined.withColumn("_ld_solid", F.when(F.col("_ld_gone").isNotNull(), solid))
+    lost = F.transform("_ld_gone", lambda k: F.get("_ld_solid", k))
     left = F.array_except(F.sequence(F.lit(0), F.size("_ld_split") - 1), lost)
     text = F.array_join(F.transform(left, lambda i: F.get("_ld_split", i)), "\n")
     return found.select(
-        *[F.when(F.col("gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size("_ld_split"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
+        *[F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
+        F.coalesce(F.size("_ld_split"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).alias("n_removed"),
     )
