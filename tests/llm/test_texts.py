@@ -271,7 +271,7 @@ def test_lines_equal_brute_force(spark):
     r = random.Random(6)
     pool = [f"line {i}" for i in range(12)] + ["", "  ", "line 3  "]
     docs = [(i, "\n".join(r.choices(pool, k=r.randint(0, 14)))) for i in range(80)] + [(80, None), (81, ""), (82, "a\na\na\na\na"), (83, "z\n" * 5000)]
-    df = spark.createDataFrame(docs, DOCS).withColumn("n_lines", F.lit("clash")).withColumn("at", F.lit(1))
+    df = spark.createDataFrame(docs, DOCS).withColumn("n_lines", F.lit("clash")).withColumn("at", F.lit(1)).withColumn("gone", F.lit(2))
     got = {r["doc_id"]: r for r in lines.drop_repeated_lines(spark, df).collect()}
     want = expected_lines(docs)
     assert {i: r["text"] for i, r in got.items()} == want
