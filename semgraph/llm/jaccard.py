@@ -9,7 +9,9 @@ lists the pairs of a group:
    other end there.
 3. In every list that is left, pairs that cannot reach the threshold go: the differences of two sets are at
    least those of their counts by hash bucket. What remains is kept as a forest of possible links.
-4. The forests' components are small groups of classes. In each, DivideSkip finds the links: lists of a set's
+4. Groups of possible links are looked through once more with finer counts, one row a class, whose buckets follow the
+   size of the set: what a passage in common had tied together comes apart.
+5. What is left are small groups of classes. In each, DivideSkip finds the links: lists of a set's
    shingles are merged but for the longest, which are probed by binary search for the candidates that the
    merged lists bring near the required overlap T. A count over positions does the work of the heap, and classes
    already joined are not tested again.
@@ -23,7 +25,7 @@ of their own and share its component if their texts link. Other columns are not
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -40,9 +42,11 @@ WIDTH = 5
 #: Counters of the sketch, and counters in a row of its table.
 SKETCH, ROW = 1 << 20, 1 << 10
 #: Buckets of the counts that bound differences.
-BUCKETS = 128
+BUCKETS = 64
 #: Postings of a list, and shingles of a group, that one task compares at a time.
 LIST_PART, GROUP_PART = 8_192, 2_000_000
+#: Bits of the filter before texts are moved, at most.
+MARKS = 1 << 28
 #: Weight of a probe against a merge step in DivideSkip.
 PROBE = 0.01
 
@@ -110,17 +114,19 @@ def levels(counters: np.ndarray) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, level: np.ndarray, share: tuple[int, int]) -> DataFrame:
-    """doc_id, class, n, counts by bucket and prefix of every text with words."""
-    ddl = "doc_id long, class long, n long, counts binary, prefix array<long>"
+    """class, n, counts by bucket, fine counts and prefix of every text with words; a task gives each class once."""
+    ddl = "class long, n long, counts binary, fine binary, prefix array<long>"
     shared = docs.sparkSession.sparkContext.broadcast(level)  # SKETCH bytes
     num, den = share
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
-        for b, sets in _sets(batches, 1):
-            keep = [i for i, s in enumerate(sets) if len(s)]
-            counts, lists = [], []
-            for s in (sets[i] for i in keep):
+        level, met = shared.value, set()
+        for _, sets in _sets(batches, 1):
+            new = {d: s for s in sets if len(s) and (d := _digest(s)) not in met}
+            met.update(new)
+            counts, fine, lists = [], [], []
+            for s in new.values():
+                fine.append(fine_counts(s).tobytes())
                 counts.append(np.minimum(np.bincount((s & np.uint64(BUCKETS - 1)).astype(int), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
                 n = len(s) - -(-num * len(s) // den) + 1
                 order = np.argsort(level[(s >> np.uint64(44)).astype(np.int64)], kind="stable")[:n]
@@ -128,17 +134,16 @@ def prefixes(docs: DataFrame, level: np.ndarray, share: tuple[int, int]) -> Data
             offsets = np.concatenate([[0], np.cumsum([len(v) for v in lists])]).astype(np.int32)
             flat = np.concatenate(lists) if lists else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(keep, pa.int32())), pa.array([_digest(sets[i]) for i in keep], pa.int64()),
-                 pa.array([len(sets[i]) for i in keep], pa.int64()), pa.array(counts, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
-                names=["doc_id", "class", "n", "counts", "prefix"],
+                [pa.array(list(new), pa.int64()), pa.array([len(s) for s in new.values()], pa.int64()), pa.array(counts, pa.binary()),
+                 pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
+                names=["class", "n", "counts", "fine", "prefix"],
             )
 
     return texts_of(docs).mapInArrow(run, ddl)
 
 
 def lists_of_two(postings: DataFrame) -> DataFrame:
-    """Postings (shingle, class) whose list has at least two; ``part`` numbers LIST_PART of a list at a time."""
+    """Postings (shingle, class) of lists of at least two classes, each once; ``part`` numbers LIST_PART of a list at a time."""
     ddl = "shingle long, class long, part int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +154,8 @@ def lists_of_two(postings: DataFrame) -> DataFrame:
             owner = np.concatenate([held[1], b.column(1).to_numpy(zero_copy_only=False)])
             if not len(token):
                 continue
+            once = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
+            token, owner = token[once], owner[once]
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             place = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
             place[: first[1] if len(first) > 1 else len(token)] += before
@@ -164,7 +171,7 @@ def lists_of_two(postings: DataFrame) -> DataFrame:
                 [pa.array(held[0]), pa.array(held[1]), pa.array([before // LIST_PART], pa.int32())], names=["shingle", "class", "part"]
             )
 
-    return postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(run, ddl)
+    return postings.repartition("shingle").sortWithinPartitions("shingle", "class").mapInArrow(run, ddl)
 
 
 class Forest:
@@ -262,6 +269,96 @@ def possible_links(lists: DataFrame, share: tuple[int, int]) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def fine_buckets(n: int) -> int:
+    """About eight shingles a bucket, so that sets that have little in common differ by more than links allow."""
+    return max(16, 1 << max(0, (n - 1) // 8).bit_length())
+
+
+def fine_counts(s: np.ndarray) -> np.ndarray:
+    b = fine_buckets(len(s))
+    return np.bincount((s & np.uint64(b - 1)).astype(np.int64), minlength=b).clip(0, 65535).astype("<u2")
+
+
+def loosened(n: list[int], fine: list[np.ndarray], sides: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
+    """A forest of the pairs that the fine counts leave possible. Sizes that may link differ by one halving at most."""
+    size, side = np.array(n), np.array(sides)
+    two = len(set(sides)) > 1
+    buckets = np.array([len(f) for f in fine])
+    tables, at = {}, np.zeros(len(n), np.int64)
+    for b in np.unique(buckets).tolist():
+        rows = np.flatnonzero(buckets == b)
+        at[rows] = np.arange(len(rows))
+        whole = np.stack([fine[i] for i in rows]).astype(np.int32)
+        tables[b] = (whole, whole[:, : b // 2] + whole[:, b // 2 :])
+
+    def apart(i: int, others: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(others), np.int64)
+        b, own = int(buckets[i]), at[i]
+        for mine, theirs, other in ((0, 0, b), (0, 1, 2 * b), (1, 0, b // 2)):
+            k = np.flatnonzero(buckets[others] == other)
+            for lo in range(0, len(k), 512):
+                part = k[lo : lo + 512]
+                out[part] = np.abs(tables[other][theirs][at[others[part]]] - tables[b][mine][own]).sum(axis=1)
+        return out
+
+    num, den = share
+    waiting, out = np.argsort(size, kind="stable"), []
+    while len(waiting):
+        reached, waiting = [int(waiting[0])], waiting[1:]
+        while reached and len(waiting):
+            i = reached.pop()
+            lo, hi = np.searchsorted(size[waiting], [-(-num * size[i] // den), den * size[i] // num + 1])
+            window = waiting[lo:hi]
+            if two:
+                window = window[side[window] != side[i]]
+            near = window[_possible(size[window], int(size[i]), apart(i, window), share)] if len(window) else window
+            out += [(i, int(j)) for j in near]
+            reached += near.tolist()
+            waiting = waiting[~np.isin(waiting, near)]
+    return out
+
+
+def _by_group(
+    rows: DataFrame, members: DataFrame, most: int, value: str,
+    links_of: Callable[[list[int], list[bytes], list[int]], list[tuple[int, int]]],
+) -> DataFrame:
+    """Links within groups: rows (class, group, n, value) of a group go to one task, or to parts that meet two by two
+    where the sizes of its ``members`` sum up to more than ``most``. ``links_of`` gets sizes, values and parts."""
+    parts = members.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = rows.join(parts, "group").withColumn("part", part).withColumn("other", other).select(
+        "class", "group", "n", value, "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+
+        def links() -> Iterator[pa.RecordBatch]:
+            if len(held) < 2:
+                return
+            ids = sorted(held)  # a class met in several rows is held once
+            got = links_of([held[c][0] for c in ids], [held[c][1] for c in ids], [held[c][2] for c in ids])
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], names=["a", "b"])
+
+        for b in batches:
+            c = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
+            for g, p, q, cls, n, raw, side in zip(c["group"], c["p"], c["q"], c["class"], c["n"], c[value], c["part"], strict=True):
+                if (g, p, q) != now:
+                    yield from links()
+                    now, held = (g, p, q), {}
+                held[cls] = (n, raw, side)
+        yield from links()
+
+    return dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def loosened_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Forests of what stays possible in each group by the fine counts. ``rows``: class, group, n, fine."""
+    return _by_group(rows, rows, 64 * GROUP_PART, "fine", lambda n, raw, sides: loosened(n, [np.frombuffer(f, "<u2") for f in raw], sides, share))
+
+
 def divide_skip(sets: list[np.ndarray], sides: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
     """A forest of the links among sets (sorted, without repeats): pairs of positions.
 
@@ -310,6 +407,44 @@ def divide_skip(sets: list[np.ndarray], sides: list[int], share: tuple[int, int]
     return out
 
 
+def marks(wanted: DataFrame) -> np.ndarray:
+    """Bits set at the hashes ``mark``: 16 a row or more, at most MARKS; rows beyond share bits, which only lets more pass."""
+    size = min(MARKS, 1 << max(16, (16 * wanted.count()).bit_length()))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[b["mark"].to_numpy().astype(np.int64) & (size - 1)] = True
+        parts = bits.reshape(-1, 8 * ROW)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pd.DataFrame({"at": some.astype(np.int32), "bits": [np.packbits(parts[i]).tobytes() for i in some]})
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, bits in zip(b["at"], b["bits"], strict=True):
+                total[at] = total.get(at, 0) | np.frombuffer(bits, np.uint8)
+        yield pd.DataFrame({"at": list(total), "bits": [v.tobytes() for v in total.values()]})
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in wanted.mapInPandas(run, "at int, bits binary").repartition("at").mapInPandas(merged, "at int, bits binary").collect():
+        out[r["at"] * ROW : (r["at"] + 1) * ROW] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """Rows (doc_id, text) whose ``mark`` has its bit set."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # MARKS bits at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for b in batches:
+            place = b.column(2).to_numpy(zero_copy_only=False) & (8 * len(bits) - 1)
+            yield b.filter(pa.array((bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1)).select(["doc_id", "text"])
+
+    return texts.mapInArrow(run, "doc_id long, text binary")
+
+
 def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links among the classes of each group, as forests: a, b. ``members``: class, n, rep (a doc_id that has it), group."""
     ddl = "class long, group long, n long, shingles binary"
@@ -324,38 +459,12 @@ def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) ->
                  pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["class", "group", "n", "shingles"],
             )
 
-    parts = members.groupBy("group").agg(F.ceil(F.sum("n") / GROUP_PART).cast("int").alias("parts"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # a bit for each wanted row first, so that the texts of others are not moved
+    texts = marked(texts_of(docs).withColumn("mark", F.xxhash64("doc_id")), marks(members.select(F.xxhash64("rep").alias("mark"))))
     wanted = members.withColumn("key", F.coalesce(F.col("rep").cast("string"), F.lit("null"))).select("key", "class", "group")
-    found = texts_of(docs).withColumn("key", key).join(wanted, "key").select("class", "text", "group").mapInArrow(run, ddl)
-    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    dealt = found.join(parts, "group").withColumn("part", part).withColumn("other", other)
-    dealt = dealt.select("class", "group", "shingles", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-
-    def group(rows: list[tuple]) -> list[tuple[int, int]]:
-        once = {c: (s, side) for c, s, side in rows}  # a class met in several rows of one doc_id
-        ids = sorted(once)
-        sets = [np.frombuffer(once[c][0], np.uint64) for c in ids]
-        return [(ids[i], ids[j]) for i, j in divide_skip(sets, [once[c][1] for c in ids], share)]
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
-
-        def links() -> Iterator[pa.RecordBatch]:
-            if len(rows) > 1 and (got := group(rows)):
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            c = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-            for g, p, q, cls, raw, side in zip(c["group"], c["p"], c["q"], c["class"], c["shingles"], c["part"], strict=True):
-                if (g, p, q) != now:
-                    yield from links()
-                    now, rows = (g, p, q), []
-                rows.append((cls, raw, side))
-        yield from links()
-
-    return dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(joined, "a long, b long")
+    found = texts.withColumn("key", key).join(wanted.hint("merge"), "key").select("class", "text", "group").mapInArrow(run, ddl)
+    return _by_group(found, members, GROUP_PART, "shingles", lambda n, raw, sides: divide_skip([np.frombuffer(s, np.uint64) for s in raw], sides, share))
 
 
 def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -366,21 +475,19 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80,
     texts = facts.filter("at IS NULL").select("doc_id", "n", "class")
     reps = scratch.save(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
 
-    first = scratch.save(prefixes(docs, level, share), "prefixes")
-    # one row of each class: the copies end here; with the doc_id among the keys they are spread
-    key = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("null")).alias("key")
-    one = first.select("*", key("doc_id")).join(reps.select("class", key("rep")), ["class", "key"])
-    one = scratch.save(one.select("class", "n", "counts", "prefix").dropDuplicates(["class"]), "first")
-    scratch.forget("prefixes")
-    lists = scratch.save(lists_of_two(one.select(F.explode("prefix").alias("shingle"), "class")), "lists")
+    first = scratch.save(prefixes(docs, level, share), "first")
+    lists = scratch.save(lists_of_two(first.select(F.explode("prefix").alias("shingle"), "class")), "lists")
+    one = first.select("class", "n", "counts").dropDuplicates(["class"])
     parts = lists.filter("part > 0").groupBy("shingle").agg((F.max("part") + 1).alias("parts"))
     dealt = lists.join(parts, "shingle", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
     dealt = dealt.select("shingle", "class", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
-    forests = scratch.save(possible_links(dealt.join(one.select("class", "n", "counts"), "class"), share), "possible")
-    groups = components(spark, forests)
+    forests = scratch.save(possible_links(dealt.join(one, "class"), share), "possible")
+    named_group = lambda found: found.select(F.col("node").alias("class"), F.col("root").alias("group"))
+    fine = first.select("class", "n", "fine").join(named_group(components(spark, forests)), "class").dropDuplicates(["class"])
+    groups = components(spark, loosened_links(scratch.save(fine, "fine"), share))
     scratch.forget("first", "lists")
 
-    members = scratch.save(reps.join(groups.select(F.col("node").alias("class"), F.col("root").alias("group")), "class"), "members")
+    members = scratch.save(reps.join(named_group(groups), "class"), "members")
     links = scratch.save(exact_links(docs, members, share), "links")
     joined = components(spark, links).select(F.col("node").alias("class"), "root")
     roots = scratch.save(reps.join(joined, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root")), "roots")
