@@ -18,6 +18,7 @@ results are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from semgraph.functions.scratch import Scratch
 
 ROUNDS = 6
+#: Rows of a file that share a join key.
+PART = 65_536
 #: A row walks at most so often; that it needs more has a chance below n * (1/16)**16 for any n of 256 and more,
 #: and for less there are no 16 pairs beyond n. A row that did would stop the job.
 WALKS = 16
@@ -32,9 +35,15 @@ _PRIME = (1 << 31) - 1
 _STEP = 1_103_515_245  # multiplier of the rounds, below the prime
 
 
-def number_rows(spark: SparkSession, path: str, column: str = "row_number") -> DataFrame:
-    """The parquet table at ``path`` with a global row number from 0."""
-    return _numbered(spark.read.parquet(path), column)
+def number_rows(
+    spark: SparkSession, path: str, add: Callable[[DataFrame], DataFrame] = lambda df: df, column: str = "row_number"
+) -> DataFrame:
+    """The parquet table at ``path`` with a global row number from 0.
+
+    ``add`` derives columns where the rows are read, before file offsets are joined: what is derived and not the
+    text is then moved, where only that is asked for.
+    """
+    return _numbered(spark.read.parquet(path), column, add)
 
 
 def number_frame(spark: SparkSession, df: DataFrame, column: str = "row_number") -> DataFrame:
@@ -42,14 +51,17 @@ def number_frame(spark: SparkSession, df: DataFrame, column: str = "row_number")
     return _numbered(Scratch(spark, "numbered").save(df.drop(column), "rows"), column)
 
 
-def _numbered(table: DataFrame, column: str) -> DataFrame:
+def _numbered(table: DataFrame, column: str, add: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    keep = [c for c in table.columns if c.lower() not in (column.lower(), "_file", "_place", "_before")]
+    keep = [F.col(f"`{c}`") for c in table.columns if c.lower() not in (column.lower(), "_file", "_place", "_part", "_before")]
     counts = table.select(path.alias("_file")).groupBy("_file").agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_file", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("_before"))
-    rows = table.select(*[F.col(f"`{c}`") for c in keep], path.alias("_file"), place.alias("_place"))
-    return rows.join(before, "_file").select(*[F.col(f"`{c}`") for c in keep], (F.col("_before") + F.col("_place")).alias(column))
+    # each file's offset once for every PART rows of it, so that one large file is many join keys
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") / PART)))
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(order), F.lit(0))).select("_file", "_before", parts.alias("_part"))
+    rows = add(table.select(*keep, path.alias("_file"), place.alias("_place"), F.floor(place / PART).alias("_part")))
+    own = [F.col(f"`{c}`") for c in rows.columns if c not in ("_file", "_place", "_part")]
+    return rows.join(before, ["_file", "_part"]).select(*own, (F.col("_before") + F.col("_place")).alias(column))
 
 
 def sides(n: int) -> tuple[int, int]:
@@ -116,9 +128,7 @@ def shard_table(spark: SparkSession, path: str, shards: int, seed: int = 0) -> D
     ``grown_shard`` is null: with one more shard the law deals all rows anew. Equal texts are not kept together,
     for a text that holds a third of all rows could not be with sizes one apart.
     """
-    rows = shard(number_rows(spark, path), shards, seed)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return (
-        rows.withColumn("size", text_size(F.col("text"))).withColumn("text_crc32", F.crc32(text.cast("binary")))
-        .withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
-    )
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    facts = lambda docs: docs.withColumn("size", text_size(F.col("text"))).withColumn("text_crc32", F.crc32(text))
+    rows = shard(number_rows(spark, path, facts), shards, seed)
+    return rows.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
