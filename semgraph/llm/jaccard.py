@@ -12,9 +12,10 @@ lists the pairs of a group:
 4. Groups of possible links are looked through once more with finer counts, one row a class, whose buckets follow the
    size of the set: what a passage in common had tied together comes apart.
 5. What is left are small groups of classes. In each, DivideSkip finds the links: lists of a set's
-   shingles are merged but for the longest, which are probed by binary search for the candidates that the
-   merged lists bring near the required overlap T. A count over positions does the work of the heap, and classes
-   already joined are not tested again.
+   shingles are merged but for the longest, in which the candidates that the merged lists bring near the required
+   overlap T are looked up. A count over positions does the work of the heap. Every candidate is verified: links
+   are counted by class where they are found, in the one task where the two classes' parts meet, and of the
+   pairs only a forest is written.
 
 A group too large for a task is dealt into parts that meet two by two; a list likewise. Words, and texts
 with fewer words than a shingle: see text.py. Texts without words link with nothing and are their own
@@ -49,6 +50,8 @@ LIST_PART, GROUP_PART = 8_192, 2_000_000
 MARKS = 1 << 28
 #: Weight of a probe against a merge step in DivideSkip.
 PROBE = 0.01
+#: A look-up of a candidate in a list costs as much as so many steps of merging it.
+LOOKUP = 20
 
 
 def _sets(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
@@ -320,54 +323,69 @@ def loosened(n: list[int], fine: list[np.ndarray], sides: list[int], share: tupl
 
 def _by_group(
     rows: DataFrame, members: DataFrame, most: int, value: str,
-    links_of: Callable[[list[int], list[bytes], list[int]], list[tuple[int, int]]],
+    links_of: Callable[[list[int], list[bytes], list[int], list[int]], tuple[list[tuple[int, int]], np.ndarray]],
 ) -> DataFrame:
-    """Links within groups: rows (class, group, n, value) of a group go to one task, or to parts that meet two by two
-    where the sizes of its ``members`` sum up to more than ``most``. ``links_of`` gets sizes, values and parts."""
+    """Links within groups: rows (class, group, n, value, copies) of a group go to one task, or to parts that meet two by
+    two where the sizes of its ``members`` sum up to more than ``most``. ``links_of`` gets sizes, values, parts and copies
+    and returns a forest and how many links each has found. Out come the forest (a, b) and, as (a, a), counts of links."""
     parts = members.groupBy("group").agg(F.ceil(F.sum("n") / most).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     dealt = rows.join(parts, "group").withColumn("part", part).withColumn("other", other).select(
-        "class", "group", "n", value, "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
+        "class", "group", "n", value, "copies", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
 
         def links() -> Iterator[pa.RecordBatch]:
-            if len(held) < 2:
-                return
+            if len(held) < 2 or now[1] != now[2] and len({side for _, _, side, _ in held.values()}) < 2:
+                return  # of two parts one is empty: the other meets itself elsewhere
             ids = sorted(held)  # a class met in several rows is held once
-            got = links_of([held[c][0] for c in ids], [held[c][1] for c in ids], [held[c][2] for c in ids])
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in got], pa.int64()), pa.array([ids[j] for _, j in got], pa.int64())], names=["a", "b"])
+            got, found = links_of(*map(list, zip(*(held[c] for c in ids), strict=True)))
+            some = np.flatnonzero(found).tolist()
+            if got or some:
+                a, b = [ids[i] for i, _ in got] + [ids[i] for i in some], [ids[j] for _, j in got] + [ids[i] for i in some]
+                counts = [0] * len(got) + found[some].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(counts, pa.int64())], names=["a", "b", "links"])
 
         for b in batches:
             c = {name: b.column(i).to_pylist() for i, name in enumerate(b.schema.names)}
-            for g, p, q, cls, n, raw, side in zip(c["group"], c["p"], c["q"], c["class"], c["n"], c[value], c["part"], strict=True):
+            for g, p, q, cls, *of in zip(*(c[k] for k in ("group", "p", "q", "class", "n", value, "part", "copies")), strict=True):
                 if (g, p, q) != now:
                     yield from links()
                     now, held = (g, p, q), {}
-                held[cls] = (n, raw, side)
+                held[cls] = of
         yield from links()
 
-    return dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long")
+    return dealt.repartition("group", "p", "q").sortWithinPartitions("group", "p", "q").mapInArrow(run, "a long, b long, links long")
 
 
 def loosened_links(rows: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Forests of what stays possible in each group by the fine counts. ``rows``: class, group, n, fine."""
-    return _by_group(rows, rows, 64 * GROUP_PART, "fine", lambda n, raw, sides: loosened(n, [np.frombuffer(f, "<u2") for f in raw], sides, share))
+
+    def links_of(n: list[int], raw: list[bytes], sides: list[int], copies: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        return loosened(n, [np.frombuffer(f, "<u2") for f in raw], sides, share), np.zeros(len(n), np.int64)
+
+    return _by_group(rows.withColumn("copies", F.lit(1)), rows, 64 * GROUP_PART, "fine", links_of).select("a", "b")
 
 
 def divide_skip(sets: list[np.ndarray], sides: list[int], share: tuple[int, int]) -> list[tuple[int, int]]:
-    """A forest of the links among sets (sorted, without repeats): pairs of positions.
+    """A forest of the links among sets (sorted, without repeats): pairs of positions."""
+    return counted_links(sets, sides, [1] * len(sets), share)[0]
+
+
+def counted_links(
+    sets: list[np.ndarray], sides: list[int], copies: list[int], share: tuple[int, int]
+) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A forest of the links among sets (sorted, without repeats) and for each set the copies of all sets it links with.
 
     Where sides differ at all, only pairs of different sides are looked at.
     """
     num, den = share
     n = np.array([len(s) for s in sets])
     order = np.argsort(n, kind="stable")
-    side = np.array(sides)[order]
+    side, weight = np.array(sides)[order], np.array(copies, np.int64)[order]
     two = len(set(sides)) > 1
     size = n[order]
     tokens, index = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
@@ -378,7 +396,13 @@ def divide_skip(sets: list[np.ndarray], sides: list[int], share: tuple[int, int]
     start = np.searchsorted(index[by], np.arange(len(tokens) + 1))
     length = np.diff(start)
     mine = np.split(index, np.cumsum(size)[:-1])
-    forest, out = Forest(), []
+    root, found, out = np.arange(len(sets)), np.zeros(len(sets), np.int64), []
+
+    def merged(lists: np.ndarray, ends: np.ndarray, x: int) -> np.ndarray:
+        """How many of the lists each set before x stands in."""
+        parts = [postings[a:b] for a, b in zip(start[lists].tolist(), ends.tolist(), strict=True)]
+        return np.bincount(np.concatenate(parts) if parts else np.empty(0, np.int64), minlength=x)
+
     for x in range(1, len(sets)):
         own = mine[x]
         own = own[length[own] > 1]
@@ -386,25 +410,36 @@ def divide_skip(sets: list[np.ndarray], sides: list[int], share: tuple[int, int]
         if len(own) < need:
             continue
         own = own[np.argsort(length[own], kind="stable")]
+        ends = np.searchsorted(keys, own * len(sets) + x)  # its own place in its lists: smaller sets stand before
         skipped = min(int(need / (PROBE * np.log2(int(length[own[-1]]) + 1) + 1)), need - 1)
-        short, long = own[: len(own) - skipped], own[len(own) - skipped :]
-        merged = np.concatenate([postings[start[t] : start[t + 1]] for t in short.tolist()])
-        seen = np.bincount(merged[merged < x], minlength=x)
-        least = np.searchsorted(size, -(-num * int(size[x]) // den))
-        near = np.flatnonzero(seen >= need - skipped)
-        near = near[near >= least]
+        cut = len(own) - skipped
+        seen = merged(own[:cut], ends[:cut], x)
+        least = np.searchsorted(size[:x], -(-num * int(size[x]) // den))
+        near = np.flatnonzero(seen[least:] >= need - skipped) + least
         if two:
             near = near[side[near] != side[x]]
-        for c in near[np.argsort(-seen[near], kind="stable")].tolist():
-            if forest.find(x) == forest.find(c):
-                continue
-            probe = long * len(sets) + c
-            at = np.searchsorted(keys, probe)
-            common = int(seen[c]) + int((keys[np.minimum(at, len(keys) - 1)] == probe).sum())
-            if den * common >= num * (int(size[x]) + int(size[c]) - common):
-                forest.join(x, c)
-                out.append((int(order[x]), int(order[c])))
-    return out
+        if not len(near):
+            continue
+        long = own[cut:]
+        if int((ends[cut:] - start[long]).sum()) <= LOOKUP * len(long) * len(near):
+            common = seen[near] + merged(long, ends[cut:], x)[near]
+        else:
+            probe = long[:, None] * len(sets) + near
+            at = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+            common = seen[near] + (keys[at] == probe).sum(axis=0)
+        linked = near[den * common >= num * (int(size[x]) + size[near] - common)]
+        if not len(linked):
+            continue
+        found[x] += weight[linked].sum()
+        found[linked] += weight[x]
+        roots, first = np.unique(root[linked], return_index=True)
+        out += [(int(order[x]), int(order[c])) for c in linked[first].tolist()]
+        root[x] = roots[0]
+        if len(roots) > 1:
+            root[np.isin(root, roots)] = roots[0]
+    back = np.zeros(len(sets), np.int64)
+    back[order] = found
+    return out, back
 
 
 def marks(wanted: DataFrame) -> np.ndarray:
@@ -446,8 +481,11 @@ def marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 
 
 def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Links among the classes of each group, as forests: a, b. ``members``: class, n, rep (a doc_id that has it), group."""
-    ddl = "class long, group long, n long, shingles binary"
+    """Links among the classes of each group: forests (a, b) and counts (a, a, links), as _by_group has them.
+
+    ``members``: class, n, rep (a doc_id that has it), copies (rows that have it), group.
+    """
+    ddl = "class long, group long, n long, shingles binary, copies long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, sets in _sets(batches, 1):
@@ -456,24 +494,29 @@ def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) ->
             take = pa.array(keep, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(take), b.column(2).take(take), pa.array([len(sets[i]) for i in keep], pa.int64()),
-                 pa.array([sets[i].tobytes() for i in keep], pa.binary())], names=["class", "group", "n", "shingles"],
+                 pa.array([sets[i].tobytes() for i in keep], pa.binary()), b.column(3).take(take)], names=["class", "group", "n", "shingles", "copies"],
             )
 
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     # a bit for each wanted row first, so that the texts of others are not moved
     texts = marked(texts_of(docs).withColumn("mark", F.xxhash64("doc_id")), marks(members.select(F.xxhash64("rep").alias("mark"))))
-    wanted = members.withColumn("key", F.coalesce(F.col("rep").cast("string"), F.lit("null"))).select("key", "class", "group")
-    found = texts.withColumn("key", key).join(wanted.hint("merge"), "key").select("class", "text", "group").mapInArrow(run, ddl)
-    return _by_group(found, members, GROUP_PART, "shingles", lambda n, raw, sides: divide_skip([np.frombuffer(s, np.uint64) for s in raw], sides, share))
+    wanted = members.withColumn("key", F.coalesce(F.col("rep").cast("string"), F.lit("null"))).select("key", "class", "group", "copies")
+    found = texts.withColumn("key", key).join(wanted.hint("merge"), "key").select("class", "text", "group", "copies").mapInArrow(run, ddl)
+
+    def links_of(n: list[int], raw: list[bytes], sides: list[int], copies: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
+        return counted_links([np.frombuffer(s, np.uint64) for s in raw], sides, copies, share)
+
+    return _by_group(found, members, GROUP_PART, "shingles", links_of)
 
 
 def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links) of every row."""
+    """doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links (how many other rows
+    the row links with, equal texts among them) of every row."""
     scratch = Scratch(spark, "jaccard")
     facts = scratch.save(facts_and_sketch(docs), "facts")
     level = levels(summed(facts.filter("at IS NOT NULL")))
     texts = facts.filter("at IS NULL").select("doc_id", "n", "class")
-    reps = scratch.save(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")), "classes")
+    reps = scratch.save(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
     first = scratch.save(prefixes(docs, level, share), "first")
     lists = scratch.save(lists_of_two(first.select(F.explode("prefix").alias("shingle"), "class")), "lists")
@@ -489,10 +532,15 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80,
 
     members = scratch.save(reps.join(named_group(groups), "class"), "members")
     links = scratch.save(exact_links(docs, members, share), "links")
-    joined = components(spark, links).select(F.col("node").alias("class"), "root")
-    roots = scratch.save(reps.join(joined, "class", "left").select("class", "rep", F.coalesce("root", "class").alias("root")), "roots")
+    joined = components(spark, links.select("a", "b")).select(F.col("node").alias("class"), "root")
+    counts = links.filter("a = b").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
+    n_links = F.coalesce("links", F.lit(0)) + F.col("copies") - 1
+    roots = reps.join(joined, "class", "left").join(counts, "class", "left").select(
+        "class", "rep", F.coalesce("root", "class").alias("root"), n_links.alias("n_links")
+    )
+    roots = scratch.save(roots, "roots")
     least = scratch.save(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
-    named = scratch.save(roots.join(least, "root").select("class", "component_id"), "named")
-    linked = texts.filter("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = texts.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    named = scratch.save(roots.join(least, "root").select("class", "component_id", "n_links"), "named")
+    linked = texts.filter("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    alone = texts.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return linked.unionByName(alone)

@@ -238,6 +238,35 @@ def test_divide_skip_against_brute_force():
         assert [forest.find(i) for i in range(25)] == [want.find(i) for i in range(25)]
 
 
+@pytest.mark.parametrize("part", [2_000_000, 150])
+def test_join_counts_every_link(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "GROUP_PART", part)
+    docs = near_texts()
+    copy = prose(160, seed=500).split()
+    for i in range(12):  # all link with all, some of them twice in the table
+        docs += [(1000 + 10 * i + k, " ".join([*copy[: 5 * i], f"x{i}", *copy[5 * i + 1 :]])) for k in range(1 + i % 2)]
+    sets = shingle_sets(docs)
+    want = {a: sum(a != b and bool(x) and 100 * len(x & y) >= 80 * len(x | y) for b, y in sets.items()) for a, x in sets.items()}
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.similar(spark, spark.createDataFrame(docs, DOCS)).collect()}
+    assert got == want and max(want.values()) >= 17
+
+
+@pytest.mark.parametrize("lookup", [0, 20, 10**9])
+def test_counted_links_against_brute_force(monkeypatch, lookup):
+    monkeypatch.setattr(jaccard, "LOOKUP", lookup)
+    r = np.random.default_rng(5)
+    for k in range(20):
+        core = r.integers(0, 400, 60)
+        sets = [np.unique(np.concatenate([core[r.random(60) < 0.95], r.integers(0, 400, r.integers(0, 8))])).astype(np.uint64) for _ in range(25)]
+        sides, copies, want = r.integers(0, 1 + k % 2, 25), r.integers(1, 4, 25), [0] * 25
+        for a in range(25):
+            for b in range(25):
+                common = len(np.intersect1d(sets[a], sets[b]))
+                if a != b and (k % 2 == 0 or sides[a] != sides[b]) and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                    want[a] += copies[b]
+        assert jaccard.counted_links(sets, sides.tolist(), copies.tolist(), (80, 100))[1].tolist() == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)] + [(500, 500 + i) for i in range(1, 60)] + [(None, 3)]
     got = {r["node"]: r["root"] for r in links.components(spark, spark.createDataFrame(chain, "a long, b long")).collect()}
