@@ -65,7 +65,8 @@ FROM t GROUP BY conv_id"""
 @query
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack(spark, documents(spark, folder), vocabulary, public_tokenizers.PATTERN)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack(spark, documents(spark, folder), vocabulary, public_tokenizers.PATTERN, tokenizer=tokenizer)
 
 
 @query

@@ -130,6 +130,22 @@ def test_packing_keeps_every_id(spark):
     assert packing.pack(spark, df.limit(0), RANKS, public_tokenizers.PATTERN).isEmpty()
 
 
+def test_packing_query_takes_the_tokenizers_ids(spark, tmp_path):
+    from semgraph.llm import queries
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x\n<|endoftext|><|endoftext|>  y", "<|endoftext", "pl<|endoftext|>ain  ", "", "word <|endoftext|> " * 700]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer = Tokenizer.from_file(BPE)
+    want = []
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        first = len(ids) % 1024 or 1024
+        for piece, part in enumerate(np.split(ids, range(first, len(ids), 1024))):
+            want.append((i, piece, len(part), zlib.crc32(part.tobytes())))
+    got = queries.op3_best_fit_packing(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in got) == want
+
+
 @pytest.mark.parametrize("n,low,high", [(4000, 1, 1023), (2500, 500, 700), (3000, 1, 200), (1500, 300, 1000), (1, 9, 9)])
 def test_plan_is_near_best_fit(n, low, high):
     random.seed(n)
