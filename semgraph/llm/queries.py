@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.llm import (
-    chat, fingerprints, graph_search, hard_negatives, jaccard, language_model, lines, mixing, packing, sharding, toxicity,
+    chat, fingerprints, graph_search, hard_negatives, jaccard, language_id, language_model, lines, mixing, packing, sharding, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,11 @@ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_scor
 QUALIFY rank <= 5"""
 
 
+@query
+def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify(documents(spark, folder))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from semgraph.llm import hard_negatives
+from semgraph.llm import hard_negatives, language_id
 
 # -- hard negatives -----------------------------------------------------------------------------------------------
 
@@ -71,3 +74,95 @@ def test_rows_that_take_no_part_and_empty_tables(spark):
     want = sorted(plain_mine(good, lambda i: i % 10 == 0))
     assert want and mined(spark, good + bad) == want
     assert mined(spark, []) == [] and mined(spark, [(0, 1, [1.0])]) == []
+
+
+# -- language ID --------------------------------------------------------------------------------------------------
+
+TEXTS = "doc_id long, text string, lang string"
+
+
+def plain_pooled(net, window):
+    """Largest answers of the filters of one window, place by place."""
+    w = {k: v.astype(float) for k, v in net.weights.items()}
+    out = []
+    for width in language_id.WIDTHS:
+        places = range(len(window) - width + 1)
+        answers = [sum(w["bytes"][window[p + j]] @ w[f"filter{width}"][j] for j in range(width)) for p in places]
+        out.append(np.max(answers, axis=0))
+    return np.concatenate(out)
+
+
+def plain_probabilities(net, window):
+    hidden = np.maximum(plain_pooled(net, window) + net.weights["shift"], 0)
+    z = hidden @ net.weights["out"].astype(float) + net.weights["prior"]
+    return np.exp(z) / np.exp(z).sum()
+
+
+def test_network_and_gradient_as_by_loops():
+    net = language_id.Network.fresh(["a", "b", "c"], seed=1)
+    random_ = np.random.default_rng(4)
+    x, y, weight = random_.integers(0, 256, (5, 20)).astype(np.uint8), np.array([0, 1, 2, 1, 0]), np.array([1.0, 2, 1, 1, 3])
+    assert net.probabilities(x) == pytest.approx(np.array([plain_probabilities(net, w) for w in x]), abs=1e-5)
+    net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    _, gradient = net.gradient(x, y, weight)
+    for name, values in net.weights.items():
+        for at in [tuple(random_.integers(0, s) for s in values.shape) for _ in range(6)] + ([(int(x[0, 3]), 2)] if name == "bytes" else []):
+            kept, sides = values[at], []
+            for step in (1e-6, -1e-6):
+                values[at] = kept + step
+                sides.append(net.gradient(x, y, weight)[0])
+            values[at] = kept
+            assert gradient[name][at] == pytest.approx((sides[0] - sides[1]) / 2e-6, abs=1e-5)
+    assert language_id.Network.loaded(net.saved()).langs == ["a", "b", "c"]
+
+
+def test_whole_texts_in_windows():
+    net = language_id.Network.fresh(["a", "b"], seed=2)
+    texts = [b"", b"x", b"Ab" * 40, b"q" * (3 * language_id.WINDOW), bytes(range(32, 127)) * 50]
+    lang, score = language_id.judge(net, pa.array([b"sliced off", *texts], pa.binary())[1:], np.array([bool(t) for t in texts]))
+    for text, name, value in zip(texts, lang, score, strict=True):
+        if not text:
+            assert (name, value) == ("und", 0.0)
+            continue
+        parts = [text[at : at + language_id.WINDOW].lower() for at in range(0, len(text), language_id.WINDOW)]
+        p = sum(plain_probabilities(net, part.ljust(language_id.WINDOW, b"\0")) * len(part) for part in parts) / len(text)
+        assert name == "ab"[int(p.argmax())] and value == pytest.approx(float(p.max()), abs=1e-5)
+
+
+def held(i):
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_languages_learned_and_odd_texts(spark):
+    random_, rows = np.random.default_rng(6), []
+    parts = {"xx": ["ba", "do", "mi"], "yy": ["str", "gro", "\u00fc"], "zz": ["\u4e2d", "\u6587 ", "\u5b57"]}
+    for i in range(600):
+        lang = ["xx", "yy", "zz"][i % 3]
+        words = ["".join(random_.choice(parts[lang], 3)) for _ in range(int(random_.integers(2, 60)))]
+        rows.append((i, " ".join(words), lang))
+    odd = [(700, None, "xx"), (701, "", "xx"), (702, "12 345 !?", "yy"), (None, "bado mido", "xx"), (703, "bado mido", None),
+           (704, "BADO midomi " * 20_000, None), (705, "badomi", "xx"), (705, "badomi", "xx")]
+    same = [(800, "gro gro strgro", "yy")] * 300  # a third alike, one id
+    df = spark.createDataFrame(rows + odd + same, TEXTS).withColumn("score", F.lit("clash")).withColumn("_h", F.lit(1))
+    got = language_id.identify(df, per_class=100).collect()
+    assert len(got) == len(rows + odd + same)
+    by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0.0 for i in (700, 701, 702))
+    assert all(r["held_out"] == (r["doc_id"] is not None and held(r["doc_id"])) and 0 <= r["score"] <= 1 for r in got)
+    assert [by[i]["lang_pred"] for i in (703, 704, 705, 800)] == ["xx", "xx", "xx", "yy"]
+    mine = [i for i in range(600) if held(i)]
+    assert np.mean([by[i]["lang_pred"] == rows[i][2] for i in mine]) > 0.97
+    again = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df.repartition(7), per_class=100).collect()}
+    assert again[703] == "xx" and all(again[i] == by[i]["lang_pred"] for i in mine)
+
+
+def test_nothing_to_learn_and_no_leak(spark):
+    none = language_id.identify(spark.createDataFrame([(1, "abc", None)], TEXTS)).collect()
+    assert [tuple(r)[2:] for r in none] == [("und", 0.0)]
+    assert language_id.identify(spark.createDataFrame([], TEXTS)).collect() == []
+    out = next(i for i in range(100) if held(i))
+    rows = [(i, "abc " * 5, "xx") for i in range(30) if not held(i)] + [(out, "qqq", "secret")]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert set(got.values()) == {"xx"}
+    kept = language_id.predict(spark.createDataFrame(rows[:2], TEXTS), None).columns
+    assert kept == ["doc_id", "text", "lang", "lang_pred", "score"]
