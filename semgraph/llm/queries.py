@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.llm import (
-    chat, fingerprints, graph_search, hard_negatives, jaccard, language_id, language_model, lines, mixing, packing, sharding, toxicity,
+    chat, fingerprints, graph_search, hard_negatives, jaccard, language_id, language_model, lines, mixing, packing,
+    ranked_search, sharding, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,6 +167,26 @@ def op12_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return language_id.identify(documents(spark, folder))
 
 
+@query
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(spark, documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+_TERMS = r"""unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term"""
+ORACLES["op13_ranked_search"] = f"""
+WITH c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {_TERMS} FROM documents) GROUP BY ALL),
+d AS (SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n FROM c GROUP BY doc_id),
+s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM d),
+i AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} FROM benchmark)),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(nn) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM c, s WHERE term IN (SELECT term FROM i) GROUP BY term),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // l)))) AS BIGINT) AS score
+  FROM i JOIN w USING (term) JOIN c USING (term) JOIN d USING (doc_id), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0 QUALIFY rank <= 10"""
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

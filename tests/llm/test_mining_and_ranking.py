@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from semgraph.llm import hard_negatives, language_id
+from semgraph.llm import hard_negatives, language_id, ranked_search
 
 # -- hard negatives -----------------------------------------------------------------------------------------------
 
@@ -166,3 +169,87 @@ def test_nothing_to_learn_and_no_leak(spark):
     assert set(got.values()) == {"xx"}
     kept = language_id.predict(spark.createDataFrame(rows[:2], TEXTS), None).columns
     assert kept == ["doc_id", "text", "lang", "lang_pred", "score"]
+
+
+# -- ranked search ------------------------------------------------------------------------------------------------
+
+_TERM = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
+_CAPITALS = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def plain_search(docs, items, k=10):
+    """(item_id, rank, doc_id, score) by scoring every document for every item."""
+    counts = [(i, Counter(_TERM.findall((t or "").translate(_CAPITALS)))) for i, t in docs]
+    n_docs, n_terms = sum(1 for _, c in counts if c), sum(c.total() for _, c in counts)
+    df, out = Counter(t for _, c in counts for t in c), []
+    for item_id, text in set(items):
+        scores = []
+        for doc_id, c in counts:
+            m = 10 + (90 * c.total() * n_docs) // max(1, n_terms)
+            score = sum(
+                math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * ((10**9 * c[t]) // (1000 * c[t] + 8 * m))
+                for t in set(_TERM.findall((text or "").translate(_CAPITALS))) if c[t]
+            )
+            scores += [(-score, doc_id is None, doc_id)] if score > 0 else []
+        for rank, (score, _, doc_id) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k], 1):
+            out.append((item_id, rank, doc_id, -score))
+    return out
+
+
+def searched(spark, docs, items, **more):
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("rank", F.lit(1)).withColumn("term", F.lit("clash"))
+    i = spark.createDataFrame(items, "item_id long, text string").withColumn("score", F.lit(1.0))
+    return [tuple(r) for r in ranked_search.search(spark, d, i, **more).collect()]
+
+
+def texts(seed, n, most):
+    random_ = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(400)]
+    for _ in range(n):
+        yield " ".join(words[int(400 * random_.random() ** 3)] for _ in range(int(random_.integers(0, most))))
+
+
+def by_key(rows):
+    return sorted(rows, key=lambda r: tuple((x is None, x or 0) for x in r))
+
+
+def test_search_as_by_brute_force(spark):
+    docs = list(enumerate(texts(7, 900, 60))) + [(5000 + i, "w3 w5 w5 w399 w17") for i in range(450)]  # a third alike: ties
+    items = list(enumerate(texts(8, 60, 25)))
+    want = by_key(plain_search(docs, items))
+    assert len(want) > 500 and by_key(searched(spark, docs, items)) == want
+    assert by_key(searched(spark, docs, items, batch_bytes=1000)) == want  # several passes
+
+
+def test_search_leaves_batches_out():
+    random_ = np.random.default_rng(9)
+    docs, w = 4000, random_.integers(1, 9000, 300)
+    row = np.repeat(np.arange(docs), 12)
+    topic = (np.arange(docs) // 40)[row]
+    column = np.where(random_.random(len(row)) < 0.7, (topic * 3 + random_.integers(0, 3, len(row))) % 300, random_.integers(0, 300, len(row)))
+    key = np.unique(row * 300 + column)
+    row, column = key // 300, key % 300
+    value = w[column] * random_.integers(1, 1000, len(row))
+    sets = [np.unique(np.r_[np.arange(3) + 3 * t, random_.integers(0, 300, 2)]) for t in range(100)]
+    one = ranked_search.Search(ranked_search.Items(np.arange(100), sets, w), 10)
+    assert len(one.items.terms) == 300
+    for at in range(0, docs, 777):  # run by run
+        mine = (row >= at) & (row < at + 777)
+        one.run(ranked_search.Sparse(row[mine] - at, column[mine], value[mine], min(777, docs - at)), np.arange(at, min(docs, at + 777)))
+    assert one.scored < one.pairs / 4
+    dense = np.zeros((docs, 300), np.int64)
+    dense[row, column] = value
+    found, ids, score = one.best
+    for i, place in enumerate(one.items.places):
+        total = dense[:, sets[place]].sum(axis=1)
+        want = [(int(total[d]), int(d)) for d in np.lexsort((np.arange(docs), -total))[:10] if total[d] > 0]
+        assert list(zip(score[found == i].tolist(), ids[found == i].tolist(), strict=True)) == want
+
+
+def test_search_of_odd_rows(spark):
+    docs = [(1, None), (2, ""), (3, " .,- "), (4, "Gr\u00fcn GR\u00dcN gr\u00fcn \u4e2d\u6587,x"), (None, "x y"), (5, "x y"), (5, "x y"), (6, "\u00c4b 9a\x7fz"),
+            (7, "z " * 50_000), (8, "x\u00a0y")]
+    items = [(0, "GR\u00dcN \u4e2d\u6587"), (1, None), (2, ""), (3, "?!"), (None, "x"), (4, "z Z z"), (5, "x y"), (5, "x y"), (5, "\u00c4b"), (6, "x\u00a0y"), (7, "absent")]
+    want = by_key(plain_search(docs, items))
+    assert by_key(searched(spark, docs, items)) == want and want
+    assert searched(spark, [], items) == [] and searched(spark, docs, []) == [] and searched(spark, docs[:3], items) == []
