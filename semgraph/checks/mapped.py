@@ -10,7 +10,8 @@ from semgraph.operators import graph, triples
 from semgraph.plans import shop
 from semgraph.plans.mapping import Attribute, ClassMap, Mapping, Properties, Reference, Relation, Source, Term, TripleMap
 from semgraph.sources import store
-from semgraph.sources.tables import catalog_columns, preview, read_query, register_views, table_stats
+from semgraph.sources.files import statistics
+from semgraph.sources.tables import catalog_columns, preview, read_query, register_views
 
 SHORT = ("subject", "predicate", "object")
 FULL = "subject, predicate, object, object_type, datatype, source_table"
@@ -47,20 +48,25 @@ def source_preview(spark, folder):
 
 @query("source_statistics")
 def source_statistics(spark, folder):
-    return table_stats(tables(spark, folder)("lineitem"))
+    return statistics(spark, tables(spark, folder).location("lineitem"))
 
 
 @query("catalog_columns")
 def listed_columns(spark, folder):
     register_views(tables(spark, folder), ["orders", "customer"])
-    return catalog_columns(spark).where(F.col("table").isin("orders", "customer"))
+    listed = catalog_columns(
+        spark, keys={"orders": ["o_orderkey"], "customer": ["c_custkey"]}, references={("orders", "o_custkey"): "customer"})
+    return listed.where(F.col("table").isin("orders", "customer"))
 
 
-@query("table_signatures", "SELECT 'customer' AS \"table\", count(*) AS rows FROM customer UNION ALL "
-                           "SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'orders', count(*) FROM orders")
+@query("table_signatures", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", 'rows' AS method, count(*) AS items FROM {t} UNION ALL SELECT '{t}', 'files', 1"
+    for t in ("customer", "lineitem", "orders")))
 def table_signatures(spark, folder):
-    resolve = tables(spark, folder)
-    return store.signatures({t: resolve(t) for t in ("customer", "lineitem", "orders")}).select("table", "rows")
+    """By rows and by files; each table of the sample lies in one file."""
+    names, resolve = ("customer", "lineitem", "orders"), tables(spark, folder)
+    both = store.signatures(spark, names, resolve).unionByName(store.signatures(spark, names, resolve, "rows"))
+    return both.select("table", "method", "items")
 
 
 # -- classes, attributes, relations -------------------------------------------------------------------------------

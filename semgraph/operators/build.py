@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from semgraph.operators import drift, triples
 from semgraph.plans.mapping import Mapping
-from semgraph.sources.store import GraphStore, signatures
+from semgraph.sources.store import GraphStore, Load, signatures
 from semgraph.sources.tables import Resolver
 
 
@@ -30,32 +30,27 @@ class Report:
     issues: DataFrame
 
 
-def plan(
-    mapping: Mapping, now: Dict[str, str], store: GraphStore, *, full: bool = False
-) -> Plan:
-    """Which producing tables must be read again. ``now`` holds the tables' present signatures.
+def plan(mapping: Mapping, now: Dict[str, str], known: Dict[str, Load], *, full: bool = False) -> Plan:
+    """Which producing tables must be read again. ``now`` holds the tables' present signatures, ``known`` their loads.
 
     A table is read when its own signature moved, that of a table it is joined to moved, or the mapping
     treats it differently.
     """
     needs = mapping.tables_of()
     every = tuple(sorted(needs))
+    dropped = tuple(sorted(set(known) - set(every)))
     if full:
-        return Plan("full", "requested", every)
+        return Plan("full", "requested", every, dropped=dropped)
     if mapping.has_query_sources():
-        return Plan("full", "query-based source", every)
-    if not store.parts:
+        return Plan("full", "query-based source", every, dropped=dropped)
+    if not known:
         return Plan("full", "first build", every)
     hashes = mapping.table_hashes()
-    known = {k: p.signature for k, p in store.parts.items()}
-    remapped = {t for t in every if t not in store.parts or store.parts[t].mapping_hash != hashes[t]}
+    remapped = {t for t in every if t not in known or known[t].mapping_hash != hashes[t]}
     present = {t: _joint(now, needs[t]) for t in every}
-    changed = tuple(t for t in every if t in remapped or present[t] is None or known.get(t) != present[t])
+    changed = tuple(t for t in every if t in remapped or present[t] is None or known[t].signature != present[t])
     reason = f"mapping changed for {len(remapped)} table(s)" if remapped else "signatures compared"
-    return Plan(
-        "incremental", reason, changed, tuple(t for t in every if t not in changed),
-        tuple(sorted(store.tables() - set(every))),
-    )
+    return Plan("incremental", reason, changed, tuple(t for t in every if t not in changed), dropped)
 
 
 def _joint(now: Dict[str, str], tables: set[str]) -> str | None:
@@ -65,42 +60,41 @@ def _joint(now: Dict[str, str], tables: set[str]) -> str | None:
 
 def build(
     spark: SparkSession, mapping: Mapping, resolve: Resolver, store: GraphStore, *, full: bool = False,
-    snapshot: DataFrame | None = None,
+    snapshot: DataFrame | None = None, signature: str | None = None,
 ) -> Report:
     """Plan, compare schemas, load what changed, and report step by step.
 
-    A failing load leaves the earlier graph in place, because the manifest is appended last.
+    ``signature`` is how tables are compared, see ``store.signatures``: by their files where known, unless it says
+    ``rows``. Nothing is read of tables that did not change, nothing at all is loaded when none did, and counts come
+    from the write and from earlier loads. A failing load leaves the earlier graph in place.
     """
     needs = mapping.tables_of()
-    sources = {t: resolve(t) for t in sorted(set().union(*needs.values()))} if needs else {}
+    every = sorted(set().union(*needs.values())) if needs else []
     marks = {
-        r["table"]: f"{r['rows']}:{r['digest']}" for r in signatures(sources).collect()
-    } if sources else {}
-    chosen = plan(mapping, marks, store, full=full)
-    live = drift.snapshot(spark, sources)
+        r["table"]: f"{r['method']}:{r['items']}:{r['digest']}" for r in signatures(spark, every, resolve, signature).collect()
+    } if every else {}
+    known = store.tables()
+    chosen = plan(mapping, marks, known, full=full)
+    live = drift.snapshot(spark, {t: resolve(t) for t in every})
     issues = drift.mapping_drift(mapping, live, snapshot)
     hashes = mapping.table_hashes()
-    joint = {t: _joint(marks, needs[t]) for t in needs}
-    if chosen.mode == "full":
-        store.replace(triples.build(spark, mapping, resolve), joint, hashes)
+    loaded = 0
+    if mapping.has_query_sources():
+        loaded = store.replace(triples.build(spark, mapping, resolve))
     elif chosen.changed or chosen.dropped:
         maps = [m for m in mapping.triple_maps() if m.source.table in chosen.changed]
-        store.replace_tables(
-            triples.build(spark, mapping, resolve, maps=maps), chosen.changed + chosen.dropped, {t: joint[t] for t in chosen.changed},
-            {t: hashes[t] for t in chosen.changed},
+        loaded = store.load(
+            triples.build(spark, mapping, resolve, maps=maps), {t: _joint(marks, needs[t]) for t in chosen.changed},
+            {t: hashes[t] for t in chosen.changed}, chosen.dropped,
         )
-    graph = store.read(inferred=False)
-    counted = {r["source_table"]: r["n"] for r in graph.groupBy("source_table").agg(F.count("*").alias("n")).collect()}
-    read = set(chosen.changed)
-    loaded = sum(n for t, n in counted.items() if chosen.mode == "full" or t in read)
+    kept = sum(known[t].rows for t in chosen.unchanged)
     steps = spark.createDataFrame(
         [
             (1, "plan", chosen.mode, chosen.reason, len(chosen.changed)),
             (2, "drift", "checked", "columns the mapping reads", issues.count()),
-            (3, "load", "done", ", ".join(chosen.changed), loaded),
-            (4, "finalize", "done", f"version {store.version}", sum(counted.values())),
+            (3, "load", "done" if loaded or chosen.changed else "skipped", ", ".join(chosen.changed), loaded),
+            (4, "finalize", "done", f"{len(chosen.unchanged)} table(s) left as they lie", loaded + kept),
         ],
         "position int, step string, state string, detail string, rows bigint",
     )
     return Report(chosen, steps, issues)
-

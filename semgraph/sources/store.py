@@ -1,26 +1,25 @@
 """Keeping a triple graph in files.
 
-A graph is a set of parquet directories, one per source table and one for derived triples, listed in a
-manifest. Every change writes new directories and then appends one manifest version: readers see the old
-graph or the new one, a failed load changes nothing, and unchanged tables are never rewritten.
+A graph is one parquet table, partitioned by layer (asserted, inferred) and source table. A load writes all rows it has
+before Spark swaps the partitions they belong to, so a failed load changes nothing and tables that are not named stay
+as they lie. Which tables were loaded from what is a second, appended table with one row a table and load.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable, Mapping as Dict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.terms import TRIPLE_COLUMNS, TRIPLE_SCHEMA
-from semgraph.sources.tables import safe_name
+from semgraph.sources.files import delete, exists, file_signatures
+from semgraph.sources.tables import Resolver, safe_name
 
-INFERRED_PART = "_inferred"
-QUERY_PART = "_queries"
-_MANIFEST = "version bigint, part string, path string, signature string, mapping_hash string"
+_LAYOUT = ("inferred", "source_table")
+_LOADS = "load bigint, source_table string, signature string, mapping_hash string, rows bigint"
 
 
 def clustered(triples: DataFrame) -> DataFrame:
@@ -28,143 +27,146 @@ def clustered(triples: DataFrame) -> DataFrame:
 
     The range key ends with the object: neither a hot predicate nor a hot subject lands in one task.
     """
-    return triples.repartitionByRange("predicate", "subject", "object").sortWithinPartitions(
-        "predicate", "subject", "object"
-    )
+    key = ("predicate", "subject", "object")
+    return triples.repartitionByRange(*key).sortWithinPartitions(*_LAYOUT, *key)
 
 
 @dataclass(frozen=True)
-class Part:
-    path: str
-    signature: str | None = None
-    mapping_hash: str | None = None
+class Load:
+    signature: str | None
+    mapping_hash: str | None
+    rows: int
 
 
-@dataclass
 class GraphStore:
-    spark: SparkSession
-    root: str
-    parts: dict[str, Part] = field(default_factory=dict, init=False)
-    version: int = field(default=0, init=False)
-
-    def __post_init__(self) -> None:
-        self.root = self.root.rstrip("/")
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Read the newest manifest version: one row per source table."""
-        try:
-            manifest = self.spark.read.schema(_MANIFEST).parquet(f"{self.root}/manifest")
-        except Exception as problem:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(problem):
-                raise
-            return
-        newest = manifest.agg(F.max("version")).first()[0]
-        if newest is None:
-            return
-        rows = manifest.where(F.col("version") == newest).collect()
-        self.version = newest
-        self.parts = {r["part"]: Part(r["path"], r["signature"], r["mapping_hash"]) for r in rows if r["part"]}
-
-    def _commit(self, parts: dict[str, Part]) -> None:
-        rows = [(self.version + 1, k, p.path, p.signature, p.mapping_hash) for k, p in parts.items()]
-        rows = rows or [(self.version + 1, None, None, None, None)]
-        self.spark.createDataFrame(rows, _MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
-        self.parts, self.version = parts, self.version + 1
-
-    def _write(self, triples: DataFrame) -> dict[str, Part]:
-        """One write job; the part directories it made are found by listing, not by reading rows."""
-        folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        part = F.when(F.col("inferred"), INFERRED_PART).otherwise(F.coalesce("source_table", F.lit(QUERY_PART)))
-        clustered(triples.select(*TRIPLE_COLUMNS)).withColumn("part", part).write.partitionBy("part").parquet(folder)
-        try:
-            made = self.spark.read.parquet(folder).select("part").distinct().collect()
-        except Exception as problem:  # noqa: BLE001
-            if "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-            made = []
-        return {r["part"]: Part(f"{folder}/part={r['part']}") for r in made}
+    """The graph below ``root``; readers may hold frames of other partitions than those being loaded."""
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark = spark
+        self.path, self.log = f"{root.rstrip('/')}/triples", f"{root.rstrip('/')}/loads"
 
     # -- changing ---------------------------------------------------------------------------------------
 
-    def replace(
-        self, triples: DataFrame, signatures: Dict[str, str] | None = None, hashes: Dict[str, str] | None = None
-    ) -> None:
-        """The whole graph anew, derived triples included or gone."""
-        self._commit(self._tagged(self._write(triples), signatures or {}, hashes or {}))
+    def _write(self, triples: DataFrame, mode: str, tables: Iterable[str] = ()) -> dict[str | None, int]:
+        """Write and count the rows of each table (None: all), as the write itself sees them."""
+        seen, names = Observation(), list(tables)
+        counts = [F.count_if(F.col("source_table").eqNullSafe(t)).alias(f"n{i}") for i, t in enumerate(names)]
+        observed = clustered(triples.select(*TRIPLE_COLUMNS)).observe(seen, F.count(F.lit(1)).alias("n"), *counts)
+        observed.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*_LAYOUT).parquet(self.path)
+        return {None: seen.get["n"], **{t: seen.get[f"n{i}"] for i, t in enumerate(names)}}
 
-    def replace_tables(
-        self, triples: DataFrame, tables: Iterable[str], signatures: Dict[str, str] | None = None,
-        hashes: Dict[str, str] | None = None,
-    ) -> None:
-        """Only the triples of the named source tables; a table without rows any more loses its part.
+    def load(
+        self, triples: DataFrame, signatures: Dict[str, str], hashes: Dict[str, str], gone: Iterable[str] = ()
+    ) -> int:
+        """Replace the rows of the tables named in ``hashes``; tables that are ``gone`` lose theirs.
 
-        Derived triples were drawn from the old facts, so they go.
+        Derived triples were drawn from the old facts, so they go. Returns the rows written.
         """
-        tables = set(tables)
-        kept = {k: p for k, p in self.parts.items() if k not in tables and k != INFERRED_PART}
-        fresh = self._write(triples.where(F.col("source_table").isin(*tables))) if tables else {}
-        parts = {**kept, **fresh}
-        for t in tables:
-            if t not in parts and t in (hashes or {}):
-                parts[t] = Part("")
-        self._commit(self._tagged(parts, signatures or {}, hashes or {}))
-
-    @staticmethod
-    def _tagged(parts: dict[str, Part], signatures, hashes) -> dict[str, Part]:
-        return {
-            k: Part(p.path, signatures.get(k, p.signature), hashes.get(k, p.mapping_hash)) for k, p in parts.items()
-        }
-
-    def set_inferred(self, triples: DataFrame) -> None:
+        counts = self._write(triples.withColumn("inferred", F.lit(False)), "overwrite", hashes) if hashes else {None: 0}
+        emptied = [t for t in hashes if not counts[t]]
+        delete(self.spark, *[f"{self.path}/inferred=false/source_table={t}" for t in (*emptied, *gone)], f"{self.path}/inferred=true")
+        number = self._newest() + 1
+        rows = [(number, t, signatures.get(t), h, counts[t]) for t, h in hashes.items()]
+        rows += [(number, t, None, None, 0) for t in gone]
+        self.spark.createDataFrame(rows, _LOADS).coalesce(1).write.mode("append").parquet(self.log)
+        return counts[None]
+
+    def replace(self, triples: DataFrame) -> int:
+        """The asserted graph anew from triples of any origin, derived ones gone."""
+        delete(self.spark, f"{self.path}/inferred=true", self.log)
+        written = self._write(triples.withColumn("inferred", F.lit(False)), "overwrite")
+        return written[None]
+
+    def set_inferred(self, triples: DataFrame) -> int:
         """Replace the derived layer."""
-        fresh = self._write(triples.withColumn("inferred", F.lit(True)))
-        self._commit({**{k: p for k, p in self.parts.items() if k != INFERRED_PART}, **fresh})
+        rows = self._write(self._derived(triples), "overwrite")[None]
+        if not rows:
+            self.clear_inferred()
+        return rows
 
-    def add_inferred(self, triples: DataFrame) -> None:
-        self.set_inferred(self.read(inferred=True).unionByName(triples))
+    def add_inferred(self, triples: DataFrame) -> int:
+        """Add to the derived layer; what is there is not read."""
+        return self._write(self._derived(triples), "append")[None]
+
+    @staticmethod
+    def _derived(triples: DataFrame) -> DataFrame:
+        return triples.withColumn("inferred", F.lit(True)).withColumn("source_table", F.lit(None).cast("string"))
 
     def clear_inferred(self) -> None:
-        self._commit({k: p for k, p in self.parts.items() if k != INFERRED_PART})
+        delete(self.spark, f"{self.path}/inferred=true")
 
     def clear(self) -> None:
-        self._commit({})
+        delete(self.spark, self.path, self.log)
 
     # -- reading ----------------------------------------------------------------------------------------
 
     def read(self, inferred: bool | None = None) -> DataFrame:
-        """The graph, or only its asserted or derived triples: the layer picks directories, not rows."""
-        chosen = [
-            p.path for k, p in sorted(self.parts.items())
-            if p.path and (inferred is None or (k == INFERRED_PART) == inferred)
-        ]
-        if not chosen:
+        """The graph, or only its asserted or derived triples: the layer picks partitions, not rows."""
+        if not exists(self.spark, self.path):
             return self.spark.createDataFrame([], TRIPLE_SCHEMA)
-        return self.spark.read.schema(TRIPLE_SCHEMA).parquet(*chosen)
+        graph = self.spark.read.schema(TRIPLE_SCHEMA).parquet(self.path).select(*TRIPLE_COLUMNS)
+        return graph if inferred is None else graph.where(F.col("inferred") == inferred)
+
+    def loads(self) -> DataFrame:
+        """One row a table and load."""
+        if not exists(self.spark, self.log):
+            return self.spark.createDataFrame([], _LOADS)
+        return self.spark.read.schema(_LOADS).parquet(self.log)
+
+    def _newest(self) -> int:
+        return self.loads().agg(F.coalesce(F.max("load"), F.lit(0))).first()[0]
 
-    def tables(self) -> set[str]:
-        return {k for k in self.parts if k not in (INFERRED_PART, QUERY_PART)}
+    def tables(self) -> dict[str, Load]:
+        """The last load of each table that is there."""
+        last = self.loads().groupBy("source_table").agg(F.max_by(F.struct("signature", "mapping_hash", "rows"), "load").alias("l"))
+        rows = last.where("l.mapping_hash IS NOT NULL").collect()
+        return {r["source_table"]: Load(r["l"]["signature"], r["l"]["mapping_hash"], r["l"]["rows"]) for r in rows}
 
 
-def publish(triples: DataFrame, name: str, kind: str = "view") -> None:
-    """Offer the triples under a catalogue name, as a view or as a clustered table."""
+def publish(
+    triples: DataFrame, name: str, kind: str = "view", *, path: str | None = None, buckets: int | None = None
+) -> None:
+    """Offer the triples under a catalogue name: a view of this session, or a table.
+
+    A table is ordered by predicate and subject, or with ``buckets`` dealt by subject and ordered by predicate: joins
+    on the subject then move no row of the graph.
+    """
     safe_name(name)
     if kind == "view":
         triples.createOrReplaceTempView(name)
-    elif kind == "table":
-        clustered(triples).write.mode("overwrite").saveAsTable(name)
-    else:
+        return
+    if kind != "table":
         raise ValueError("publish as view or table")
+    writer = (triples if buckets else clustered(triples)).write.mode("overwrite")
+    if path:
+        writer = writer.option("path", path)
+    if buckets:
+        # one task a bucket: otherwise every task would write a file into each
+        dealt = triples.repartition(buckets, "subject").sortWithinPartitions("subject", "predicate")
+        writer = dealt.write.mode("overwrite").bucketBy(buckets, "subject").sortBy("subject", "predicate")
+        writer = writer.option("path", path) if path else writer
+    writer.saveAsTable(name)
 
 
 def signature(df: DataFrame, name: str) -> DataFrame:
-    """(table, rows, digest): a count and an order-independent sum of row hashes."""
+    """(table, method, items, digest) from the rows: a count and an order-independent sum of row hashes."""
     digest = F.coalesce(F.sum(F.xxhash64(*[df[f"`{c}`"] for c in df.columns]).cast("decimal(38,0)")), F.lit(0))
-    return df.agg(F.count("*").alias("rows"), digest.cast("string").alias("digest")).select(
-        F.lit(name).alias("table"), "rows", "digest"
+    return df.agg(F.count("*").alias("items"), digest.cast("string").alias("digest")).select(
+        F.lit(name).alias("table"), F.lit("rows").alias("method"), "items", "digest"
     )
 
 
-def signatures(tables: Dict[str, DataFrame]) -> DataFrame:
-    """Signatures of all tables in one job."""
-    return reduce(DataFrame.unionByName, [signature(df, t) for t, df in sorted(tables.items())])
+def signatures(spark: SparkSession, tables: Iterable[str], resolve: Resolver, method: str | None = None) -> DataFrame:
+    """Signatures of tables in one job: from the listing of their files, without reading a row, where the resolver
+    knows a table's files; from the rows of all others, and of all tables for ``method="rows"``."""
+    if method not in (None, "files", "rows"):
+        raise ValueError("a signature is made from files or rows")
+    at = getattr(resolve, "location", lambda _: None)
+    places = {t: None if method == "rows" else at(t) for t in sorted(tables)}
+    if method == "files" and None in places.values():
+        raise ValueError("some tables are not kept in files")
+    parts = [signature(resolve(t), t) for t, place in places.items() if place is None]
+    listed = {t: place for t, place in places.items() if place is not None}
+    if listed:
+        parts.append(file_signatures(spark, listed))
+    return reduce(DataFrame.unionByName, parts)

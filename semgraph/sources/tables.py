@@ -1,9 +1,10 @@
-"""Reading tables, guarded queries, catalogue listings and file statistics."""
+"""Reading tables, guarded queries and catalogue listings."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping as Dict
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +42,40 @@ def read_jdbc(
     )
 
 
-def folder_tables(spark: SparkSession, folder: str) -> Resolver:
-    """Tables kept as ``<folder>/<name>.parquet``."""
+@dataclass(frozen=True)
+class FolderTables:
+    """Tables kept as ``<folder>/<name>.parquet``; ``moved`` names other places of some of them."""
 
-    def resolve(name: str) -> DataFrame:
+    spark: SparkSession
+    folder: str
+    moved: Dict[str, str] = field(default_factory=dict)
+
+    def location(self, name: str) -> str:
         safe_name(name)
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return self.moved.get(name, f"{self.folder}/{name}.parquet")
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.location(name))
+
+
+def folder_tables(spark: SparkSession, folder: str) -> FolderTables:
+    return FolderTables(spark, folder)
+
+
+@dataclass(frozen=True)
+class CatalogTables:
+    """Tables by their catalogue names."""
+
+    spark: SparkSession
 
-    return resolve
+    def location(self, name: str) -> str | None:
+        """Where a file table lies; None for views and tables of other systems."""
+        described = self.spark.sql(f"DESCRIBE TABLE EXTENDED {safe_name(name)}").where("col_name IN ('Location', 'Type')")
+        found = {r["col_name"]: r["data_type"] for r in described.collect()}
+        return found.get("Location") if found.get("Type") in ("MANAGED", "EXTERNAL") else None
+
+    def __call__(self, name: str) -> DataFrame:
+        return read_table(self.spark, name)
 
 
 def register_views(resolve: Resolver, names: Iterable[str]) -> None:
@@ -77,15 +104,25 @@ def preview(df: DataFrame, rows: int = 50) -> DataFrame:
     return df.limit(rows)
 
 
-def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """One row per column of every catalogued table and view."""
+def catalog_columns(
+    spark: SparkSession, database: str | None = None, keys: Dict[str, Iterable[str]] | None = None,
+    references: Dict[tuple[str, str], str] | None = None,
+) -> DataFrame:
+    """One row per column of every catalogued table and view, with its place in the declared key and what it refers to.
+
+    Spark's catalogue holds no keys, so they are declared: ``keys`` by table, ``references`` from (table, column) to a
+    table. Only the catalogue is asked.
+    """
     rows = []
     for table in spark.catalog.listTables(database) if database else spark.catalog.listTables():
         full = table.name if table.isTemporary or not table.namespace else ".".join([*table.namespace, table.name])
+        key = list((keys or {}).get(table.name, ()))
         for position, column in enumerate(spark.catalog.listColumns(full)):
-            rows.append((full, table.description, column.name, position, column.dataType, column.description))
+            place = key.index(column.name) + 1 if column.name in key else None
+            target = (references or {}).get((table.name, column.name))
+            rows.append((full, table.description, column.name, position, column.dataType, column.description, place, target))
     return spark.createDataFrame(
-        rows, "table string, table_comment string, column string, ordinal int, type string, comment string"
+        rows, "table string, table_comment string, column string, ordinal int, type string, comment string, key_place int, refers_to string"
     )
 
 
@@ -93,14 +130,3 @@ def catalog_tables(columns: DataFrame) -> DataFrame:
     return columns.groupBy("table").agg(
         F.count("*").alias("columns"), F.max("table_comment").alias("comment")
     )
-
-
-def table_stats(df: DataFrame) -> DataFrame:
-    """Bytes, files and newest modification of the files behind a file-based table."""
-    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
-    per_file = files.groupBy("file_path").agg(
-        F.max("file_size").alias("size"), F.max("file_modification_time").alias("modified")
-    )
-    return per_file.agg(
-        F.sum("size").alias("size_bytes"), F.count("*").alias("files"), F.max("modified").alias("last_modified")
-    )

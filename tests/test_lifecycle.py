@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +12,10 @@ from conftest import BASE, EX, iri
 from semgraph.functions.terms import IRI
 from semgraph.operators import attach, build, drift, keys, triples
 from semgraph.operators.attach import AttachmentError
+from semgraph.plans import statement
 from semgraph.plans.mapping import Attribute, ClassMap, Mapping
 from semgraph.sources.store import GraphStore, publish, signatures
-from semgraph.sources.tables import catalog_columns, catalog_tables
+from semgraph.sources.tables import FolderTables, catalog_columns, catalog_tables
 
 
 def counts(store):
@@ -22,47 +24,91 @@ def counts(store):
 
 def test_store_replaces_and_layers(spark, hr, tmp_path):
     store = GraphStore(spark, str(tmp_path))
-    assert store.read().isEmpty()
-    store.replace(hr.graph)
-    assert store.read().count() == 25
+    assert store.read().isEmpty() and store.tables() == {}
+    assert store.replace(hr.graph) == 25 and store.read().count() == 25
     extra = hr.graph.limit(1).withColumn("predicate", F.lit("urn:x"))
-    store.set_inferred(extra)
+    assert store.set_inferred(extra) == 1
+    before = files_of(store, "inferred=true")
     store.add_inferred(extra)
+    assert before < files_of(store, "inferred=true")  # added to, not rewritten
     assert store.read(inferred=True).count() == 2 and store.read(inferred=False).count() == 25
     assert GraphStore(spark, str(tmp_path)).read().count() == 27
+    store.set_inferred(store.read(inferred=True).limit(1))  # a layer drawn from itself
+    assert store.read(inferred=True).count() == 1
     store.clear_inferred()
     assert store.read().count() == 25
-    store.replace_tables(hr.graph.where("false"), ["collaborations"])
-    assert "collaborations" not in counts(store) and store.read().count() == 23
+    store.set_inferred(extra.where("false"))
+    assert store.read(inferred=True).isEmpty()
+    asserted = store.read(inferred=False).select("predicate")
+    assert "PartitionFilters: [isnotnull(inferred" in asserted._jdf.queryExecution().toString()
+    store.load(hr.graph.where("false"), {}, {"collaborations": "h"})
+    assert "collaborations" not in counts(store) and store.read().count() == 23 and store.tables()["collaborations"].rows == 0
     store.clear()
     assert GraphStore(spark, str(tmp_path)).read().isEmpty()
 
 
-def test_incremental_builds(spark, hr, tmp_path):
-    store, tables = GraphStore(spark, str(tmp_path)), dict(hr.tables)
-    first = build.build(spark, hr.mapping, tables.__getitem__, store)
+def files_of(store, part):
+    return {p.name for p in (Path(store.path) / part).rglob("*.parquet")}
+
+
+class Kept(FolderTables):
+    """Tables written to a folder, anew whenever one changes."""
+
+    def put(self, name, df):
+        df.write.mode("overwrite").parquet(self.location(name))
+
+
+@pytest.fixture
+def kept(spark, hr, tmp_path):
+    tables = Kept(spark, str(tmp_path / "tables"))
+    for name, df in hr.tables.items():
+        tables.put(name, df)
+    return tables
+
+
+@pytest.mark.parametrize("method", [None, "rows"])
+def test_incremental_builds(spark, hr, kept, tmp_path, method):
+    store = GraphStore(spark, str(tmp_path / "graph"))
+    run = lambda mapping=hr.mapping, **more: build.build(spark, mapping, kept, store, signature=method, **more)
+    first = run()
     assert first.plan.mode == "full" and store.read().count() == 25
-    same = build.build(spark, hr.mapping, tables.__getitem__, store)
-    assert same.plan.mode == "incremental" and same.plan.changed == () and store.read().count() == 25
-    tables["departments"] = tables["departments"].union(spark.createDataFrame([(30, "OPS")], "deptno int, dname string"))
-    untouched = store.parts["employees"].path
-    moved = build.build(spark, hr.mapping, tables.__getitem__, store)
-    assert moved.plan.changed == ("departments",) and store.read().count() == 27
-    assert store.parts["employees"].path == untouched
-    tables["collaborations"] = tables["collaborations"].where("false")
-    emptied = build.build(spark, hr.mapping, tables.__getitem__, store)
+    store.set_inferred(hr.graph.limit(2))
+    lying = files_of(store, "")
+    same = run()
+    assert same.plan.mode == "incremental" and same.plan.changed == () and files_of(store, "") == lying
+    assert {r["step"]: (r["state"], r["rows"]) for r in same.steps.collect()}["load"] == ("skipped", 0)
+    kept.put("departments", hr.tables["departments"].union(spark.createDataFrame([(30, "OPS")], "deptno int, dname string")))
+    untouched = files_of(store, "inferred=false/source_table=employees")
+    moved = run()
+    assert moved.plan.changed == ("departments",) and store.read(inferred=False).count() == 27 and store.read(inferred=True).isEmpty()
+    assert files_of(store, "inferred=false/source_table=employees") == untouched
+    kept.put("collaborations", hr.tables["collaborations"].where("false"))
+    emptied = run()
     assert emptied.plan.changed == ("collaborations",) and store.read().count() == 25
-    assert build.build(spark, hr.mapping, tables.__getitem__, store).plan.changed == ()
+    assert run().plan.changed == ()
     fewer = replace(hr.mapping, relations=hr.mapping.relations[:2])
-    dropped = build.build(spark, fewer, tables.__getitem__, store)
+    dropped = run(fewer)
     assert dropped.plan.dropped == ("collaborations",) and dropped.plan.changed == ()
     remapped = replace(fewer, classes=(hr.mapping.classes[0], replace(hr.mapping.classes[1], attributes=())))
-    again = build.build(spark, remapped, tables.__getitem__, store)
+    again = run(remapped)
     assert again.plan.changed == ("departments",) and store.read().count() == 22
-    assert build.build(spark, remapped, tables.__getitem__, store, full=True).plan.reason == "requested"
+    assert run(remapped, full=True).plan.reason == "requested"
     assert again.steps.where("step = 'finalize'").first()["rows"] == 22
 
 
+def test_changed_files_of_equal_size_are_seen(spark, hr, kept):
+    mark = lambda method: signatures(spark, ["departments"], kept, method).first()
+    files, rows = mark("files"), mark(None)
+    assert files == rows and (files["method"], files["items"] > 0) == ("files", True) and mark("files") == files
+    byrows = mark("rows")
+    kept.put("departments", hr.tables["departments"])  # the same rows, written again
+    assert mark("files")["digest"] != files["digest"] and mark("rows") == byrows
+    with pytest.raises(ValueError):
+        signatures(spark, ["departments"], hr.tables.__getitem__, "files").collect()
+    plan = signatures(spark, ["departments"], kept)._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in plan and "dname" not in plan
+
+
 def test_failed_load_keeps_the_graph(spark, hr, tmp_path):
     store = GraphStore(spark, str(tmp_path))
     build.build(spark, hr.mapping, hr.tables.__getitem__, store)
@@ -72,18 +118,47 @@ def test_failed_load_keeps_the_graph(spark, hr, tmp_path):
     assert GraphStore(spark, str(tmp_path)).read().count() == 25
 
 
+def test_graph_dealt_by_subject_joins_without_exchange(spark, hr, tmp_path):
+    name = "hr_dealt"
+    publish(hr.graph, name, "table", path=str(tmp_path / "dealt"), buckets=4)
+    dealt = spark.table(name)
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, hr.graph.select(dealt.columns).collect()), key=str)
+    a = dealt.where(F.col("predicate") == EX + "worksIn").select("subject", F.col("object").alias("x"))
+    b = dealt.where(F.col("predicate") == EX + "salary").select("subject", F.col("object").alias("y"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in a.join(b, "subject")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_persistent_view_shows_the_tables_as_they_are(spark, hr, kept):
+    place = lambda t: f"parquet.`{kept.location(t)}`"
+    statement.create_view(spark, "hr_view", hr.mapping, lambda t: hr.tables[t].schema, place)
+    read = lambda: sorted(map(tuple, spark.newSession().table("hr_view").select(*hr.graph.columns).collect()), key=str)
+    assert read() == sorted(map(tuple, hr.graph.collect()), key=str)
+    kept.put("departments", hr.tables["departments"].where("deptno = 10"))
+    assert len(read()) == 23
+    spark.sql("DROP VIEW hr_view")
+
+
 def test_signatures_ignore_order(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "a int, b string")
     b = spark.createDataFrame([(2, None), (1, "x"), (2, None)], "a int, b string")
     c = spark.createDataFrame([(2, None), (1, "x")], "a int, b string")
-    marks = {r["table"]: (r["rows"], r["digest"]) for r in signatures({"a": a, "b": b, "c": c}).collect()}
-    assert marks["a"] == marks["b"] != marks["c"]
+    found = signatures(spark, ["a", "b", "c"], {"a": a, "b": b, "c": c}.__getitem__).collect()
+    marks = {r["table"]: (r["method"], r["items"], r["digest"]) for r in found}
+    assert marks["a"] == marks["b"] != marks["c"] and marks["a"][:2] == ("rows", 3)
 
 
 def test_publish_and_catalog(spark, hr):
     publish(hr.graph, "hr_triples")
     assert spark.table("hr_triples").count() == 25
-    columns = catalog_columns(spark).where("table = 'hr_triples'")
+    columns = catalog_columns(spark, keys={"hr_triples": ["subject", "object"]}, references={("hr_triples", "source_table"): "tables"})
+    columns = columns.where("table = 'hr_triples'")
+    declared = {r["column"]: (r["key_place"], r["refers_to"]) for r in columns.collect()}
+    assert declared["subject"] == (1, None) and declared["object"] == (2, None) and declared["source_table"] == (None, "tables")
     assert columns.count() == 8 and catalog_tables(columns).first()["columns"] == 8
     with pytest.raises(ValueError):
         publish(hr.graph, "bad name")
