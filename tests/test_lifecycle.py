@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from conftest import BASE, EX, iri
 from semgraph.functions.terms import IRI
-from semgraph.operators import attach, build, drift, keys, triples
+from semgraph.operators import attach, build, drift, keys, profile, triples
 from semgraph.operators.attach import AttachmentError
 from semgraph.plans import statement
 from semgraph.plans.mapping import Attribute, ClassMap, Mapping
@@ -109,6 +109,14 @@ def test_changed_files_of_equal_size_are_seen(spark, hr, kept):
     assert "content" not in plan and "dname" not in plan
 
 
+def test_file_statistics_of_a_profile(spark, kept):
+    found = profile.profile(kept("departments"), table="departments")
+    facts = profile.with_file_stats(found.table_facts, kept.location("departments")).first()
+    files = list(Path(kept.location("departments")).rglob("*.parquet"))
+    assert facts["size_bytes"] == sum(f.stat().st_size for f in files) and facts["row_count"] == 2
+    assert abs(facts["last_modified"].timestamp() - max(f.stat().st_mtime for f in files)) < 1
+
+
 def test_failed_load_keeps_the_graph(spark, hr, tmp_path):
     store = GraphStore(spark, str(tmp_path))
     build.build(spark, hr.mapping, hr.tables.__getitem__, store)
