@@ -9,8 +9,9 @@ from semgraph.functions.terms import OWL_NOTHING
 from semgraph.operators import owl, rules, triples
 from semgraph.operators.rules import Atom, Rule
 from semgraph.plans import shop
-from semgraph.plans.mapping import ClassMap, Mapping, Relation
+from semgraph.plans.mapping import Attribute, ClassMap, Mapping, Relation
 from semgraph.plans.ontology import ObjectProperty, Ontology, OntologyClass, Restriction
+from semgraph.sources.tables import register_views
 
 SPO = ("subject", "predicate", "object")
 
@@ -78,14 +79,33 @@ def rule_violation(spark, folder):
     return rules.check(shop_graph(spark, folder, "placedBy", "totalPrice", "balance"), rule)
 
 
+# Customers and nations that carry the nation's number as a literal, not as a link.
+_NUMBERED = Mapping(BASE, (
+    ClassMap(shop.CUSTOMER, "customer", ("c_custkey",), (Attribute(NS + "nationNumber", "c_nationkey"),)),
+    ClassMap(shop.NATION, "nation", ("n_nationkey",), (Attribute(NS + "number", "n_nationkey"),))))
+
+
 @query("rule_equal_link", f"""
-SELECT DISTINCT '{BASE}Supplier/' || s_suppkey AS s, {_cust} AS c, CAST(s_acctbal AS VARCHAR) AS a, CAST(c_acctbal AS VARCHAR) AS b
-FROM supplier JOIN customer ON CAST(s_acctbal AS VARCHAR) = CAST(c_acctbal AS VARCHAR)""")
+SELECT {_cust} AS c, {_nation} AS n, CAST(c_nationkey AS VARCHAR) AS a, CAST(n_nationkey AS VARCHAR) AS b
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def rule_equal_link(spark, folder):
-    rule = Rule("twins", (
-        _is("Supplier", "?s"), _has("balance", "?s", "?a"), _is("Customer", "?c"), _has("balance", "?c", "?b"),
-        _test("equal", "?a", "?b")), (_is("Twin", "?s"),), mode="violation")
-    return rules.check(shop_graph(spark, folder, "type", "balance"), rule)
+    rule = Rule("numbered", (
+        _is("Customer", "?c"), _has("nationNumber", "?c", "?a"), _is("Nation", "?n"), _has("number", "?n", "?b"),
+        _test("equal", "?a", "?b")), (_has("inNation", "?c", "?n"),), mode="violation")
+    return rules.check(triples.build(spark, _NUMBERED, tables(spark, folder)), rule)
+
+
+@query("rule_run", f"""
+SELECT 'derived' AS what, '{NS}orderNation' AS name, count(*) AS n FROM ({_nation_sql})
+UNION ALL SELECT 'violated', 'far', count(DISTINCT o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey
+ JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 200000""")
+def rule_run(spark, folder):
+    """Derive to the fixpoint, then look for violations among derived facts too."""
+    far = Rule("far", (_has("orderNation", "?o", "?n"), _has("totalPrice", "?o", "?p"), _test("greaterThan", "?p", 200000)),
+               (_is("Far", "?o"),), mode="violation")
+    derived, broken = rules.run(shop_graph(spark, folder, "placedBy", "inNation", "totalPrice"), [NATION_OF, far])
+    found = derived.triples.groupBy(F.lit("derived").alias("what"), F.col("predicate").alias("name")).agg(F.count("*").alias("n"))
+    return found.unionByName(broken.groupBy(F.lit("violated").alias("what"), F.col("rule").alias("name")).agg(F.count("*").alias("n")))
 
 
 @query("rule_constants", f"""
@@ -168,6 +188,25 @@ def owl_transitive(spark, folder):
     return _closed(spark, folder, ontology, "placedBy", "inNation", "inRegion").triples.select(*SPO)
 
 
+# Nations in a ring, each within the next; customers hang on it.
+_RING = Mapping(BASE, (ClassMap(shop.NATION, "nation", ("n_nationkey",)), ClassMap(shop.CUSTOMER, "customer", ("c_custkey",))), (
+    Relation(NS + "within", shop.NATION, shop.NATION, target_key=("next",), source_key=("n_nationkey",),
+             query="SELECT n_nationkey, CAST((n_nationkey + 1) % 25 AS INT) AS next FROM nation"),
+    Relation(NS + "within", shop.CUSTOMER, shop.NATION, target_key=("c_nationkey",))))
+
+
+@query("owl_transitive_cycle", f"""
+SELECT {_cust} AS subject, '{NS}within' AS predicate, '{BASE}Nation/' || n_nationkey AS object FROM customer, nation WHERE n_nationkey <> c_nationkey
+UNION ALL SELECT '{BASE}Nation/' || a.n_nationkey, '{NS}within', '{BASE}Nation/' || b.n_nationkey FROM nation a, nation b
+WHERE b.n_nationkey <> (a.n_nationkey + 1) % 25""")
+def owl_transitive_cycle(spark, folder):
+    register_views(tables(spark, folder), ["nation"])
+    maps = _RING.restricted({NS + "within"})
+    ring = triples.build(spark, _RING, tables(spark, folder), maps=maps)
+    ontology = Ontology(object_properties=(ObjectProperty(NS + "within", characteristics=("transitive",)),))
+    return owl.closure(ring, ontology).triples.select(*SPO)
+
+
 @query("owl_chain", f"""
 SELECT DISTINCT {_order} AS subject, '{NS}shipsTo' AS predicate, '{BASE}Region/' || n_regionkey AS object
 FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
@@ -225,3 +264,31 @@ def owl_same_as(spark, folder):
     maps = _HOLDERS.restricted({NS + "heldBy", NS + "livesIn"})
     found = triples.build(spark, _HOLDERS, tables(spark, folder), maps=maps)
     return owl.closure(found, ontology).triples.select(*SPO)
+
+
+# The same the other way round: a person and a holder hold the account; the holder's nation is known.
+_HOLDING = Mapping(BASE, _HOLDERS.classes, (
+    Relation(NS + "holds", NS + "Person", NS + "Account", ("c_custkey",)),
+    Relation(NS + "holds", NS + "Holder", NS + "Account", ("c_custkey",)),
+    Relation(NS + "livesIn", NS + "Holder", NS + "Nation", ("c_nationkey",))))
+
+
+@query("owl_inverse_functional", f"""
+SELECT '{BASE}Person/' || url_encode(c_name) AS subject, '{NS}livesIn' AS predicate, {_nation} AS object FROM customer""")
+def owl_inverse_functional(spark, folder):
+    """Whoever holds one account is one: what is known of the holder is said of the person."""
+    ontology = Ontology(object_properties=(ObjectProperty(NS + "holds", characteristics=("inverse_functional",)), ObjectProperty(NS + "livesIn")))
+    found = triples.build(spark, _HOLDING, tables(spark, folder), maps=_HOLDING.restricted({NS + "holds", NS + "livesIn"}))
+    return owl.closure(found, ontology).triples.select(*SPO)
+
+
+@query("owl_max_one", f"""
+SELECT '{BASE}Holder/' || c_custkey AS subject, '{NS}livesIn' AS predicate, {_nation} AS object FROM customer""")
+def owl_max_one(spark, folder):
+    """An account has one holder at most, said of the class and not of the property."""
+    ontology = Ontology((OntologyClass(NS + "Account", restrictions=(Restriction(NS + "heldBy", "max", 1),)),),
+                        (ObjectProperty(NS + "heldBy"), ObjectProperty(NS + "livesIn")))
+    maps = _HOLDERS.restricted({RDF_TYPE, NS + "heldBy", NS + "livesIn"})
+    found = triples.build(spark, _HOLDERS, tables(spark, folder), maps=maps)
+    typed = (F.col("predicate") != RDF_TYPE) | (F.col("object") == NS + "Account")
+    return owl.closure(found.where(typed), ontology).triples.select(*SPO)

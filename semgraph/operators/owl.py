@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
+from semgraph.functions.skew import split_join
 from semgraph.functions.terms import (
     IRI, LITERAL, OWL, OWL_NOTHING, RDF, RDF_TYPE, RDFS, RDFS_COMMENT, RDFS_LABEL, TRIPLE_COLUMNS, is_bnode,
 )
+from semgraph.operators import reach
 from semgraph.operators.components import connected_components
 from semgraph.plans.ontology import Ontology, reachable
 
@@ -40,6 +42,7 @@ class Closure:
     triples: DataFrame
     inconsistent: DataFrame
     rounds: int
+    rederived: list[int]  # facts fed again after each merge
 
 
 @dataclass
@@ -144,8 +147,6 @@ def _consequences(new: DataFrame, facts: DataFrame, ax: _Axioms) -> list[DataFra
         held = types.where(c("object") == cls)
         kind = IRI if value.startswith(("http://", "https://", "urn:")) else LITERAL
         out.append(_fact(held, c("subject"), F.lit(prop), F.lit(value), F.lit(kind)))
-    for prop in ax.transitive:
-        out += [_chained(prop, (prop, prop), new, facts, at) for at in (0, 1)]
     for prop, chain in ax.chains:
         out += [_chained(prop, chain, new, facts, at) for at in range(len(chain))]
     if ax.only is not None:
@@ -165,40 +166,57 @@ def _chained(prop: str, chain: tuple[str, ...], new: DataFrame, facts: DataFrame
     for i, p in enumerate(chain):
         source = new if i == new_at else facts
         rows = source.where((F.col("predicate") == p) & (F.col("object_type") != LITERAL))
-        steps.append(rows.select(F.col("subject").alias(f"_n{i}"), F.col("object").alias(f"_n{i + 1}")).distinct())
+        steps.append(rows.select(F.col("subject").alias(f"_n{i}"), F.col("object").alias(f"_n{i + 1}")))
     path = steps[0]
     for i, step in enumerate(steps[1:], start=1):
-        path = path.join(step, f"_n{i}").select("_n0", f"_n{i + 1}").distinct()
+        path = path.join(step, f"_n{i}").select("_n0", f"_n{i + 1}")
+        if i + 1 < len(steps):  # many ways to one end would multiply; the last step's are reduced with all new facts
+            path = path.distinct()
     return _fact(path, F.col("_n0"), F.lit(prop), F.col(f"_n{len(chain)}"), F.lit(IRI))
 
 
-def _same_pairs(facts: DataFrame, ax: _Axioms) -> DataFrame | None:
-    """Links between terms that must be equal: every value to the smallest of its group, never all pairs."""
+def _same_pairs(facts: DataFrame, ax: _Axioms, fresh: DataFrame | None) -> DataFrame | None:
+    """Links between terms that must be equal: every value to the smallest of its group, never all pairs.
+
+    ``fresh`` are the facts found since the last look (None: all are): only groups that one of them joined are looked at.
+    """
     links = facts.where((F.col("predicate") != RDF_TYPE) & (F.col("object_type") != LITERAL))
     parts = []
 
-    def star(rows: DataFrame, by: list[str], member: str) -> DataFrame:
+    def star(rows: DataFrame, by: list[str], member: str, whole: bool = False) -> DataFrame:
+        if fresh is not None and not whole:
+            joined = fresh.where(F.col("predicate").isin(*ax.same_object, *ax.same_subject)).select(*by).distinct()
+            rows = rows.join(joined, by, "left_semi")
         least = rows.groupBy(*by).agg(F.min(member).alias("src"), F.max(member).alias("_last"))
         several = least.where(F.col("src") != F.col("_last")).drop("_last")
-        return rows.join(several, by).where(F.col(member) != F.col("src")).select("src", F.col(member).alias("dst"))
+        return split_join(rows, several, by).where(F.col(member) != F.col("src")).select("src", F.col(member).alias("dst"))
 
     if ax.same_object:
         parts.append(star(links.where(F.col("predicate").isin(*ax.same_object)), ["subject", "predicate"], "object"))
     if ax.same_subject:
         parts.append(star(links.where(F.col("predicate").isin(*ax.same_subject)), ["predicate", "object"], "subject"))
-    for cls, prop in ax.max_one:
+    for cls, prop in ax.max_one:  # a new type may count an old link: these are looked at whole
         typed = facts.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == cls)).select("subject")
         rows = links.where(F.col("predicate") == prop).join(typed, "subject", "left_semi")
-        parts.append(star(rows, ["subject", "predicate"], "object"))
+        parts.append(star(rows, ["subject", "predicate"], "object", whole=True))
     return reduce(DataFrame.unionByName, parts).distinct() if parts else None
 
 
-def _renamed(facts: DataFrame, canon: DataFrame) -> DataFrame:
-    """Every term replaced by the representative of its equality class."""
+def _touched(facts: DataFrame, canon: DataFrame) -> DataFrame:
+    """Facts that name a term which is not its class's representative, with both ends replaced."""
+    moved = canon.where("node <> component")
     for place in ("subject", "object"):
-        names = canon.select(F.col("node").alias(place), F.col("component").alias("_canon"))
-        facts = facts.join(names, place, "left").withColumn(place, F.coalesce("_canon", place)).drop("_canon")
-    return facts.select(*FACT).distinct()
+        names = moved.select(F.col("node").alias(place), F.col("component").alias(f"_{place}"))
+        facts = split_join(facts, names, [place], "left")
+    facts = facts.where(F.col("_subject").isNotNull() | F.col("_object").isNotNull())
+    return facts.withColumn("subject", F.coalesce("_subject", "subject")).withColumn("object", F.coalesce("_object", "object")).select(*FACT)
+
+
+def _untouched(facts: DataFrame, canon: DataFrame) -> DataFrame:
+    moved = canon.where("node <> component")
+    for place in ("subject", "object"):
+        facts = split_join(facts, moved.select(F.col("node").alias(place)), [place], "left_anti")
+    return facts
 
 
 def _expanded(facts: DataFrame, canon: DataFrame) -> DataFrame:
@@ -214,31 +232,44 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
 
     Only asserted triples are read, so running it twice gives the same layer. Equality from functional
     properties is kept as one representative per class while facts are derived, and spelled out for all
-    members at the end.
+    members at the end. After a merge only facts that name a merged term are rewritten and derived from again.
+    A transitive property is closed as a whole when facts of it appear, and extended by later ones.
     """
     spark = triples.sparkSession
     scratch = Scratch(spark, "owl")
     ax = _compile(spark, ontology)
     asserted = triples.where(~F.col("inferred")).select(*FACT)
-    facts = scratch.save(asserted.distinct(), "facts", sort=("predicate", "subject"))
-    canon: DataFrame | None = None
-    new, rounds = facts, 0
-    base = facts
+    counts = {f"t{i}": F.count_if((F.col("predicate") == p) & (F.col("object_type") != LITERAL)) for i, p in enumerate(ax.transitive)}
+    facts, seen = scratch.measured(asserted.distinct().sortWithinPartitions("predicate", "subject"), "facts", **counts)
+    base, new, canon = facts, facts, None
+    paths: dict[str, DataFrame] = {}
+    fresh: list[DataFrame] | None = None  # facts since the last look for equal terms; None: all
+    rounds, rederived = 0, []
     while True:
         while True:
             rounds += 1
             if rounds > max_rounds:
                 raise RuntimeError(f"no closure after {max_rounds} rounds")
+            for i, prop in enumerate(ax.transitive):
+                if not seen[f"t{i}"]:
+                    continue
+                more = _closed_links(scratch, prop, facts, new, paths)
+                new, facts = new.unionByName(more), facts.unionByName(more)
+                if fresh is not None:
+                    fresh.append(more)
             derived = _consequences(new, facts, ax)
             if not derived:
                 break
             # The kind of a derived fact does not depend on how it was derived.
             found = reduce(DataFrame.unionByName, derived).dropDuplicates(KEY)
-            new, seen = scratch.measured(found.join(facts.select(*KEY), KEY, "left_anti"), "round")
+            new, seen = scratch.measured(found.join(facts.select(*KEY), KEY, "left_anti"), "round", **counts)
             if not seen["n"]:
                 break
             facts = facts.unionByName(new)
-        same = _same_pairs(facts, ax)
+            if fresh is not None:
+                fresh.append(new)
+        since = None if fresh is None else reduce(DataFrame.unionByName, fresh)
+        same = _same_pairs(facts, ax, since)
         if same is None:
             break
         same, seen = scratch.measured(same, "same")
@@ -252,8 +283,11 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
                 merged.join(canon.select("node"), "node", "left_anti")
             )
         canon = scratch.save(merged, "canon")
-        facts = scratch.save(_renamed(facts, canon), "facts", sort=("predicate", "subject"))
-        new = facts
+        left = scratch.save(_untouched(facts, canon), "facts", sort=("predicate", "subject"))
+        moved = _touched(facts, canon).dropDuplicates(KEY).join(left.select(*KEY), KEY, "left_anti")
+        new, seen = scratch.measured(moved, "moved", **counts)
+        rederived.append(seen["n"])
+        facts, fresh, paths = left.unionByName(new), [new], {}
     if ax.disjoint is not None:
         types = facts.where(F.col("predicate") == RDF_TYPE).select("subject", "object")
         clashing = types.join(ax.disjoint, types["object"] == F.col("_a")).select("subject", F.col("_b").alias("object"))
@@ -262,12 +296,31 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
         facts = facts.unionByName(nothing)
     if canon is not None:
         facts = _expanded(facts, canon)
-    fresh = facts.dropDuplicates(KEY).join(base.select(*KEY), KEY, "left_anti").where(_kept(ontology))
+    kept = facts.dropDuplicates(KEY).join(base.select(*KEY), KEY, "left_anti").where(_kept(ontology))
     empty = F.lit(None).cast("string")
-    fresh = fresh.withColumns({"lang": empty, "inferred": F.lit(True), "source_table": empty}).select(*TRIPLE_COLUMNS)
-    fresh = scratch.save(fresh, "inferred")
-    wrong = fresh.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == OWL_NOTHING)).select("subject")
-    return Closure(fresh, wrong.orderBy("subject"), rounds)
+    kept = kept.withColumns({"lang": empty, "inferred": F.lit(True), "source_table": empty}).select(*TRIPLE_COLUMNS)
+    kept = scratch.save(kept, "inferred")
+    wrong = kept.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == OWL_NOTHING)).select("subject")
+    return Closure(kept, wrong.orderBy("subject"), rounds, rederived)
+
+
+def _closed_links(scratch: Scratch, prop: str, facts: DataFrame, new: DataFrame, paths: dict[str, DataFrame]) -> DataFrame:
+    """Facts that make a transitive property closed. ``paths`` keeps what is closed already, up to ``new``."""
+    def links(rows: DataFrame) -> DataFrame:
+        rows = rows.where((F.col("predicate") == prop) & (F.col("object_type") != LITERAL))
+        return rows.select(F.col("subject").alias("a"), F.col("object").alias("b"))
+
+    known = links(facts)
+    if prop in paths:
+        old = paths[prop]
+        added = links(new).distinct().join(old, ["a", "b"], "left_anti")
+        added = scratch.save(added, "added")
+        more = scratch.save(reach.extended(scratch, old, added), "more")
+        paths[prop] = old.unionByName(added).unionByName(more)
+    else:
+        paths[prop] = reach.closed(scratch, known)
+        more = scratch.save(paths[prop].join(known, ["a", "b"], "left_anti"), "more")
+    return _fact(more, F.col("a"), F.lit(prop), F.col("b"), F.lit(IRI))
 
 
 def _kept(ontology: Ontology):

@@ -240,12 +240,46 @@ class Inference:
     rounds: int
 
 
+@dataclass(frozen=True)
+class Stratum:
+    """Rules whose premises are complete once the strata before are done; ``looping`` ones also feed themselves."""
+
+    rules: tuple[Rule, ...]
+    looping: tuple[Rule, ...]
+
+
+def strata(rules: Sequence[Rule]) -> list[Stratum]:
+    """Rules in the order of what they need: each stands after all rules that write what it reads.
+
+    Rules that reach each other share a stratum and loop; every other rule has its whole input before it runs and
+    runs once.
+    """
+    n = range(len(rules))
+    needs = {i: {j for j in n if rules[j].writes() & rules[i].reads()} for i in n}
+    while True:  # transitive closure over the rules, which are configuration
+        wider = {i: needs[i].union(*(needs[j] for j in needs[i])) for i in n}
+        if wider == needs:
+            break
+        needs = wider
+    before = {i: {j for j in needs[i] if i not in needs[j]} for i in n}
+    level: dict[int, int] = {}
+    for i in sorted(n, key=lambda i: len(needs[i] | {i})):  # what a rule needs has fewer needs than the rule
+        level[i] = 1 + max((level[j] for j in before[i]), default=-1)
+    for i in n:  # rules of one loop stand on one level
+        level[i] = max(level[j] for j in n if i == j or (j in needs[i] and i in needs[j]))
+    return [
+        Stratum(tuple(rules[i] for i in n if level[i] == at), tuple(rules[i] for i in n if level[i] == at and i in needs[i]))
+        for at in sorted(set(level.values()))
+    ]
+
+
 def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUNDS) -> Inference:
-    """Everything the rules derive that the graph does not hold, semi-naively.
+    """Everything the rules derive that the graph does not hold.
 
-    Only relations the rules mention are kept at hand. After the first round a body is joined once per
-    atom with that atom read from the last round's new facts, and only if those facts can match it.
-    Every round is written out, so its size is known when the next joins are planned.
+    Only relations the rules mention are kept at hand. Strata run one after the other, all rules of one in one job; only
+    rules that feed themselves run again, semi-naively: their bodies are joined once per atom with that atom read from
+    the last round's new facts, and only if those facts can match it. Every round is written out, so its size is known
+    when the next joins are planned. Derived facts are compared with known ones of relations that hold any.
     """
     check_names(rules)
     active = [r for r in rules if r.enabled and r.mode == "materialize"]
@@ -256,46 +290,52 @@ def infer(triples: DataFrame, rules: Sequence[Rule], max_rounds: int = MAX_ROUND
         return Inference(_as_triples(nothing), nothing.groupBy("rule").agg(F.count("*").alias("n")), 0)
     relevant = set().union(*[r.reads() | r.writes() for r in active])
     facts = triples.where(_matches(relevant)).select(*FACT)
-    recursive = any(r.writes() & set().union(*[q.reads() for q in active]) for r in active)
-    if recursive:
-        facts = scratch.save(facts, "facts", sort=("predicate", "subject"))
+    levels, place = strata(active), {r.name: i for i, r in enumerate(active)}
+    heads = sorted(set().union(*[r.writes() for r in active]), key=str)
+    filled = set(heads)  # relations written to that hold facts
+    if len(levels) > 1 or levels[0].looping:
+        held = {f"h{i}": F.count_if(_matches({h})) for i, h in enumerate(heads)}
+        facts, seen = scratch.measured(facts.sortWithinPartitions("predicate", "subject"), "facts", **held)
+        filled = {h for i, h in enumerate(heads) if seen[f"h{i}"]}
     found: list[DataFrame] = []
-    delta: DataFrame | None = None
-    fresh_relations: set[tuple[str, str | None]] = set()
-    for round_ in range(1, max_rounds + 1):
-        pieces = []
-        for order, r in enumerate(active):
-            atoms = [a for a in r.body if a.kind != "builtin"]
-            if delta is None:
-                bodies = [bindings(facts, r)]
-            else:
-                bodies = [
-                    bindings(facts, r, delta, i) for i, a in enumerate(atoms) if _relation(a) in fresh_relations
-                ]
-            pieces += [
-                _head_rows(b, h).withColumn("_order", F.lit(order)).withColumn("rule", F.lit(r.name))
-                for b in bodies for h in r.head
-            ]
-        if not pieces:
-            return _result(found, nothing, active, round_ - 1)
-        new = reduce(DataFrame.unionByName, pieces).groupBy("subject", "predicate", "object").agg(
+    rounds = 0
+
+    def derive(bodies: list[tuple[Rule, DataFrame]]) -> DataFrame | None:
+        """Write the new facts of these bodies; None where there is none."""
+        nonlocal rounds, facts
+        if rounds == max_rounds:
+            raise RuleError(f"no fixpoint after {max_rounds} rounds")
+        rounds += 1
+        rows = [
+            _head_rows(b, h).withColumn("_order", F.lit(place[r.name])).withColumn("rule", F.lit(r.name))
+            for r, b in bodies for h in r.head
+        ]
+        new = reduce(DataFrame.unionByName, rows).groupBy("subject", "predicate", "object").agg(
             F.min(F.struct("_order", "rule", "object_type", "datatype")).alias("_first")
         )
-        written = set().union(*[r.writes() for r in active])
-        known = facts.where(_matches(written)).select("subject", "predicate", "object")
-        new = new.join(known, ["subject", "predicate", "object"], "left_anti").select(
-            "subject", "predicate", "object", "_first.object_type", "_first.datatype", "_first.rule"
-        )
-        new, seen = scratch.measured(new, "round")
+        written = set().union(*[r.writes() for r, _ in bodies])
+        if written & filled:
+            known = facts.where(_matches(written & filled)).select("subject", "predicate", "object")
+            new = new.join(known, ["subject", "predicate", "object"], "left_anti")
+        new, seen = scratch.measured(
+            new.select("subject", "predicate", "object", "_first.object_type", "_first.datatype", "_first.rule"), "round")
         if not seen["n"]:
-            return _result(found, nothing, active, round_)
+            return None
+        filled.update(written)
         found.append(new)
-        if not recursive:
-            return _result(found, nothing, active, round_)
-        delta = new.select(*FACT)
-        fresh_relations = written
-        facts = facts.unionByName(delta)
-    raise RuleError(f"no fixpoint after {max_rounds} rounds")
+        facts = facts.unionByName(new.select(*FACT))
+        return new.select(*FACT)
+
+    for stratum in levels:
+        delta = derive([(r, bindings(facts, r)) for r in stratum.rules])
+        while delta is not None:
+            fed = set().union(*[r.writes() for r in stratum.looping])
+            bodies = [
+                (r, bindings(facts, r, delta, i)) for r in stratum.looping
+                for i, a in enumerate(x for x in r.body if x.kind != "builtin") if _relation(a) in fed
+            ]
+            delta = derive(bodies) if bodies else None
+    return _result(found, nothing, active, rounds)
 
 
 def _result(found: list[DataFrame], nothing: DataFrame, rules: Sequence[Rule], rounds: int) -> Inference:
