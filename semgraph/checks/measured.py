@@ -27,9 +27,9 @@ def entity_edges(spark, folder):
 
 
 @query("degree", with_facts(f""", {_U}
-SELECT node, count(*) AS degree, count(*) / ((SELECT count(DISTINCT node) FROM x) - 1) AS centrality FROM x GROUP BY node""", *_names))
+SELECT node, count(*) AS degree, count(*) / ((SELECT count(DISTINCT node) FROM x) - 1) AS centrality FROM x GROUP BY node""", *LINK_NAMES))
 def degree(spark, folder):
-    return analytics.degree(_edges(spark, folder))
+    return analytics.degree(_edges(spark, folder, *LINK_NAMES))
 
 
 _region_of = f"""
@@ -56,14 +56,14 @@ def graph_kpis(spark, folder):
 
 @query("pagerank")
 def pagerank(spark, folder):
-    return analytics.pagerank(_edges(spark, folder))
+    return analytics.pagerank(_edges(spark, folder, *LINK_NAMES))
 
 
 @query("pagerank_balance", with_facts(f", {_E} SELECT count(DISTINCT node) AS nodes, CAST(1 AS DOUBLE) AS total, true AS settled "
-                                       "FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)", *_names))
+                                       "FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)", *LINK_NAMES))
 def pagerank_balance(spark, folder):
     """Ranks sum to one, and one more step of the definition leaves every rank where it is."""
-    edges = _edges(spark, folder)
+    edges = _edges(spark, folder, *LINK_NAMES)
     ranks = analytics.pagerank(edges, tolerance=1e-8)
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     n = F.lit(float(analytics.edge_nodes(edges).count()))
