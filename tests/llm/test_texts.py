@@ -72,6 +72,65 @@ def test_without_labels(spark):
 
 # -- language model -----------------------------------------------------------------------------------------------
 
+def plain_log10(model, ids, end):
+    """Natural logarithm of a text's probability by loops over its tokens, those outside the vocabulary given as such."""
+    lm, k = language_model, language_model._K
+    mix = lambda x: int(lm.mixed(np.array([x], np.uint64))[0])
+    of = [int(c) for c in model.classes[: model.size]]
+    cls = lambda w: of[w] if w < model.size else lm.CLASSES
+    used, total, past = sorted({*of, lm.CLASSES}), 0.0, [cls(end)] * 3
+    for w in [int(w) for w in ids]:
+        far, mid, near = past
+        values = [0, near, mid * k + near, (far * k + mid) * k + near, mid, far, far * k + near]
+        rows = [mix(v + (kind << 32)) % (lm.CLASS_ROWS - 1) + 1 if kind else 0 for kind, v in enumerate(values)]
+        x = {c: sum(model.by_class[r, c] for r in rows) for c in used}
+        own = cls(w)
+        total += x[own] - np.log(sum(np.exp(v) for v in x.values()))
+        if w < model.size:
+            y = {v: model.prior[v] + model.by_word[mix(near * lm.VOCABULARY + v + (1 << 40)) % lm.WORD_ROWS] for v in range(model.size) if of[v] == own}
+            total += y[w] - np.log(sum(np.exp(v) for v in y.values()))
+        past = [mid, near, own]
+    return total
+
+
+def test_model_scores_and_gradient_as_by_loops(spark, monkeypatch):
+    lm, r, size = language_model, np.random.default_rng(8), 30
+    classes = np.zeros(lm.VOCABULARY, int)
+    classes[:size] = r.integers(0, 5, size)
+    model = lm.Model(classes, size, np.log(r.integers(1, 90, size)), 0.3 * r.normal(size=(lm.CLASS_ROWS, lm._K)), 0.3 * r.normal(size=lm.WORD_ROWS))
+    texts = [np.where(r.random(n) < 0.1, lm.VOCABULARY, r.integers(0, size, n)).tolist() + [size - 1] for n in (0, 1, 2, 7, 40, 40)]
+    rows = [(i, len(t), -1.5 * t.count(lm.VOCABULARY), np.array(t, "<u2").tobytes()) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, n_tokens long, outside double, ids binary")
+    got = {x["doc_id"]: x["score"] for x in lm.score(df, model, size - 1).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(plain_log10(model, t, size - 1) / np.log(10) - 1.5 * t.count(lm.VOCABULARY), abs=1e-6)
+    loss = lambda: -sum(plain_log10(model, t, size - 1) for t in texts)
+    g = lm.gradient(lm.context_counts(df, classes, size - 1), model)
+    split = lm.CLASS_ROWS * lm._K
+    wanted = [*r.choice(np.flatnonzero(g[:split]), 6), *(split + r.choice(np.flatnonzero(g[split:]), 6))]
+    for at in wanted:
+        weights, place = (model.by_class.ravel(), at) if at < split else (model.by_word, at - split)
+        kept, sides = weights[place], []
+        for step in (1e-5, -1e-5):
+            weights[place] = kept + step
+            sides.append(loss())
+        weights[place] = kept
+        assert g[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-4)
+
+
+def test_long_texts_are_cut_without_loss():
+    texts = [np.arange(n) % 7 for n in (3, 25, 0, 10)]
+    ids = [t.astype("<u2").tobytes() for t in texts]
+    whole = [x for t in texts for x in zip([9, 9, *t.tolist()], [9, *t.tolist()], t.tolist(), strict=False)]
+    seen, rows = [], []
+    for flat, real, known, row in language_model._chunks(ids, 9, 2, most=4):
+        at = np.flatnonzero(real)
+        seen += list(zip(flat[at - 2].tolist(), flat[at - 1].tolist(), flat[at].tolist(), strict=True))
+        rows += row.tolist()
+        assert known[real].all() and (flat[~known] == 9).all()
+    assert seen == whole and rows == [i for i, t in enumerate(texts) for _ in t]
+
+
 def test_model_beats_unigrams_and_sums_to_one(spark, monkeypatch):
     monkeypatch.setattr(language_model, "BLOCK_WORDS", 60)
     r = random.Random(1)
