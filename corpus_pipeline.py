@@ -39,14 +39,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the document of the least doc_id stays, and of repeated rows one.
+    """Of each group of linked texts the row of the least doc_id stays, and of repeated rows one.
 
-    Rows without a doc_id cannot be told apart by it and stay.
+    Rows are told apart by doc_id and text, so one row of a group stays also where ids are null (the last to be chosen) or
+    repeated. Rows without words are linked with nothing and all stay.
     """
     groups = Scratch(spark, "near-duplicates").save(jaccard.similar(spark, docs.select("doc_id", "text")), "groups")
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.withColumn("_text", F.xxhash64("text")).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "_text"])
-    return named.select(*_columns(docs)).unionByName(docs.filter("doc_id IS NULL"))
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).alias("_nd_key")
+    grouped = groups.filter("group_id IS NOT NULL").groupBy("group_id")
+    first = grouped.agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("r")).select("r.*")
+    first = first.select(key, F.col("text_hash").alias("_nd_text"))
+    hashed = F.xxhash64(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.withColumn("_nd_key", key).withColumn("_nd_text", hashed)
+    kept = rows.join(first, ["_nd_key", "_nd_text"], "left_semi").dropDuplicates(["_nd_key", "_nd_text"])
+    wordless = docs.filter(~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.select(*_columns(docs)).unionByName(wordless)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ GUARDED = ("### ", "</turn>")
 _TO_ESCAPE = re.compile("|".join(re.escape(s) for s in (ESCAPE, *GUARDED)))
 _ESCAPED = re.compile(re.escape(ESCAPE) + "(.)", re.DOTALL)
 
-TURN = "conv_id long, turn long, place long, role string, ids array<int>, text_at int, text_len int, learnt boolean, chars long"
+TURN = "conv_id long, turn long, place string, role string, ids array<int>, text_at int, text_len int, learnt boolean, chars long"
 
 
 def escape(text: str) -> str:
@@ -90,7 +90,7 @@ def encode_turns(turns: DataFrame, vocabulary: str, learn: tuple[str, ...] = ("a
             })
 
     columns = [F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string")]
-    order = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    order = F.coalesce(F.col("text"), F.lit(""))  # where turn and role tie, the text decides
     return turns.select(*columns).withColumn("place", order).mapInPandas(run, TURN)
 
 

@@ -73,25 +73,26 @@ def texts_of(docs: DataFrame) -> DataFrame:
 
 
 def facts_and_sketch(docs: DataFrame) -> DataFrame:
-    """Of each text doc_id, n (set size) and class (hash of the set); then each task's counters, ROW a row."""
-    ddl = "doc_id long, n long, class long, at int, counts binary"
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("at", pa.int32()), ("counts", pa.binary())])
+    """Of each text doc_id, text_hash, n (set size) and class (hash of the set); then each task's counters, ROW a row."""
+    ddl = "doc_id long, text_hash long, n long, class long, at int, counts binary"
+    fields = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("at", pa.int32()), ("counts", pa.binary())]
+    schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(SKETCH, np.int64)
         for b, sets in _sets(batches, 1):
             for s in sets:
                 np.add.at(counters, (s >> np.uint64(44)).astype(np.int64), 1)
-            rows = [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
+            rows = [b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.int64())]
             yield pa.RecordBatch.from_arrays([*rows, pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], schema=schema)
         if counters.any():
             parts = counters.astype("<u4").reshape(-1, ROW)
             none = pa.nulls(len(parts), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema
+                [none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], schema=schema
             )
 
-    return texts_of(docs).mapInArrow(run, ddl)
+    return texts_of(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, ddl)
 
 
 def summed(sketches: DataFrame) -> np.ndarray:
@@ -483,7 +484,7 @@ def marked(texts: DataFrame, bits: np.ndarray) -> DataFrame:
 def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Links among the classes of each group: forests (a, b) and counts (a, a, links), as _by_group has them.
 
-    ``members``: class, n, rep (a doc_id that has it), copies (rows that have it), group.
+    ``members``: class, n, at (doc_id and text_hash of a row that has it), copies (rows that have it), group.
     """
     ddl = "class long, group long, n long, shingles binary, copies long"
 
@@ -497,11 +498,13 @@ def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) ->
                  pa.array([sets[i].tobytes() for i in keep], pa.binary()), b.column(3).take(take)], names=["class", "group", "n", "shingles", "copies"],
             )
 
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    # A row is named by its id and its text: ids may be null or stand for many texts.
+    key, hashed = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text")
     # a bit for each wanted row first, so that the texts of others are not moved
-    texts = marked(texts_of(docs).withColumn("mark", F.xxhash64("doc_id")), marks(members.select(F.xxhash64("rep").alias("mark"))))
-    wanted = members.withColumn("key", F.coalesce(F.col("rep").cast("string"), F.lit("null"))).select("key", "class", "group", "copies")
-    found = texts.withColumn("key", key).join(wanted.hint("merge"), "key").select("class", "text", "group", "copies").mapInArrow(run, ddl)
+    texts = marked(texts_of(docs).withColumn("mark", F.xxhash64("doc_id", hashed)), marks(members.select(F.xxhash64("at.doc_id", "at.text_hash").alias("mark"))))
+    texts = texts.withColumn("key", key).withColumn("text_hash", hashed)
+    wanted = members.withColumn("key", F.coalesce(F.col("at.doc_id").cast("string"), F.lit("null"))).select("key", "at.text_hash", "class", "group", "copies")
+    found = texts.join(wanted.hint("merge"), ["key", "text_hash"]).select("class", "text", "group", "copies").mapInArrow(run, ddl)
 
     def links_of(n: list[int], raw: list[bytes], sides: list[int], copies: list[int]) -> tuple[list[tuple[int, int]], np.ndarray]:
         return counted_links([np.frombuffer(s, np.uint64) for s in raw], sides, copies, share)
@@ -511,12 +514,14 @@ def exact_links(docs: DataFrame, members: DataFrame, share: tuple[int, int]) ->
 
 def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id reachable by links) and n_links (how many other rows
-    the row links with, equal texts among them) of every row."""
+    the row links with, equal texts among them) of every row; text_hash and group_id (null without words) name the row
+    and its component where ids are null or repeated."""
     scratch = Scratch(spark, "jaccard")
     facts = scratch.save(facts_and_sketch(docs), "facts")
     level = levels(summed(facts.filter("at IS NOT NULL")))
-    texts = facts.filter("at IS NULL").select("doc_id", "n", "class")
-    reps = scratch.save(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
+    texts = facts.filter("at IS NULL").select("doc_id", "text_hash", "n", "class")
+    some = F.min_by(F.struct("doc_id", "text_hash"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("at")
+    reps = scratch.save(texts.filter("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), some, F.min("n").alias("n"), F.count(F.lit(1)).alias("copies")), "classes")
 
     first = scratch.save(prefixes(docs, level, share), "first")
     lists = scratch.save(lists_of_two(first.select(F.explode("prefix").alias("shingle"), "class")), "lists")
@@ -540,7 +545,7 @@ def similar(spark: SparkSession, docs: DataFrame, share: tuple[int, int] = (80,
     )
     roots = scratch.save(roots, "roots")
     least = scratch.save(roots.groupBy("root").agg(F.min("rep").alias("component_id")), "components")
-    named = scratch.save(roots.join(least, "root").select("class", "component_id", "n_links"), "named")
-    linked = texts.filter("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    alone = texts.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    named = scratch.save(roots.join(least, "root").select("class", "component_id", "n_links", F.col("root").alias("group_id")), "named")
+    linked = texts.filter("n > 0").join(named, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "text_hash", "group_id")
+    alone = texts.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "text_hash", F.lit(None).cast("long").alias("group_id"))
     return linked.unionByName(alone)

@@ -146,7 +146,7 @@ def mix(
     end = F.col("_mx_before") + F.col("_mx_run")
     placed = placed.filter((F.col("copy") < F.col("_mx_full")) | (end <= F.col("_mx_rest")))
     offset = F.col("copy") * F.col("_mx_total") + end - F.col("_mx_n")
-    at = F.when(F.col("weight") > 0, F.floor(offset / (F.col("weight") * stretch))).otherwise(0).cast("long")
+    at = F.when(F.col("weight") > 0, F.floor(offset / (F.col("weight") * stretch))).otherwise(F.col("_mx_block")).cast("long")
     mixed = placed.withColumn("stretch", at)
     shuffled = Window.partitionBy("stretch").orderBy(F.xxhash64("_mx_order", "_mx_row"), "_mx_row", "copy")
     return mixed.withColumn("slot", F.row_number().over(shuffled).cast("long") - 1).select(

@@ -173,7 +173,7 @@ def train(rows: DataFrame, fairness: float = 1.0, identity: tuple[tuple[str, ...
         yield pd.DataFrame({"w": [w.astype("<f4").tobytes()], "bias": [bias]})
 
     made = rows.mapInPandas(features, "x binary, pairs string, label int, weight double")
-    got = made.coalesce(1).mapInPandas(fitted, "w binary, bias double").first()
+    got = made.repartition(1).mapInPandas(fitted, "w binary, bias double").first()
     if got is None:
         return np.zeros(BUCKETS, np.float32), -20.0
     return np.frombuffer(got["w"], "<f4"), float(got["bias"])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 import corpus_pipeline
 from compare import compare, duck
+from semgraph.llm import jaccard
 
 FOLDER = "/root/testdata/sf0.001"
 needs_data = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="sample tables are not here")
@@ -78,3 +79,27 @@ def test_shards_equal_their_sql(spark):
     got = queries.QUERIES["op6_sharding"](spark, FOLDER).select("doc_id", "size", "law", "shard", "slot")
     want = duck(FOLDER).sql(queries._sharding_sql(24, 6)).fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    near = words.replace("w59", "other")
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(None, words)] * 3 + [(5, near), (7, words), (5, other), (None, other + " "), (None, "only null " * 9), (None, "only null " * 9), (9, ""), (9, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert kept == sorted([(5, near), (5, other), (None, "only null " * 9), (9, ""), (9, ""), (None, None)], key=str)
+
+
+def test_ids_that_say_nothing_do_not_multiply_texts(spark, monkeypatch):
+    """Ids null, or one id for all: each class is met with the text of one row."""
+    texts = [" ".join(f"t{i // 2}w{k}" for k in range(30)) + (" end" if i % 2 else "") for i in range(300)]
+    handed = []
+    by_group = jaccard._by_group
+    monkeypatch.setattr(jaccard, "_by_group", lambda rows, members, most, value, links: (
+        handed.append(rows.count()) if value == "shingles" else None, by_group(rows, members, most, value, links))[1])
+    for doc_id in (None, 4):
+        df = spark.createDataFrame([(doc_id, t) for t in texts], "doc_id long, text string")
+        got = jaccard.similar(spark, df).collect()
+        assert len(got) == 300 and len({r["group_id"] for r in got}) == 150 and {r["n_links"] for r in got} == {1}
+    assert handed == [300, 300]

@@ -88,6 +88,17 @@ def test_escapes_break_control_strings():
         assert chat.unescape(safe) == text and not any(s in safe for s in chat.GUARDED)
 
 
+def test_tied_turns_follow_by_text(spark):
+    rows = [(1, 0, "user", t) for t in ("zeta", "alpha", None, "mid", "alpha")] + [(1, 0, "assistant", "first by role")]
+    rows += [(2, None, "user", "b"), (2, None, "user", "a"), (2, 1, "assistant", "late")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(df, BPE), BPE).collect()}
+    for conv in (1, 2):
+        mine = sorted((r for r in rows if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3] or ""))
+        said = "".join(f"{r[2]}\n{r[3] or ''}\n" for r in mine)
+        assert got[conv]["turns_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+
+
 # -- packing ------------------------------------------------------------------------------------------------------
 
 def unpacked(rows):
