@@ -153,18 +153,41 @@ i AS (SELECT iri, count(*) AS in_degree, string_agg(DISTINCT predicate, '|' ORDE
       FROM t JOIN w ON t.object = w.iri GROUP BY iri),
 n AS (SELECT subject AS iri, object AS label FROM t WHERE predicate = '{NS}name')
 SELECT o.iri, n.label, o.attributes, o.out_degree, coalesce(i.in_degree, 0) AS in_degree, coalesce(i.in_predicates, '') AS in_predicates,
-  'nation' AS source_table, 'n_nationkey' AS key_columns
+  'nation' AS source_table, 'n_nationkey' AS key_columns, 'orders|population' AS attachments
 FROM o LEFT JOIN i USING (iri) LEFT JOIN n USING (iri)"""))
 def entity_context(spark, folder):
     found = shop_graph(spark, folder)
     typed = found.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.NATION))
-    out = graph.context(found, typed.select(F.col("subject").alias("iri")), shop.MAPPING)
+    out = graph.context(found, typed.select(F.col("subject").alias("iri")), shop.MAPPING,
+                        attachments={shop.NATION: ["population", "orders"], shop.ORDER: ["invoice"]})
     return out.select(
         "iri", "label", "attributes", "out_degree", "in_degree", F.array_join("in_predicates", "|").alias("in_predicates"),
-        "source_table", F.array_join("key_columns", "|").alias("key_columns"),
+        "source_table", F.array_join("key_columns", "|").alias("key_columns"), F.array_join("attachments", "|").alias("attachments"),
     )
 
 
+@query("entity_neighbours", f"""
+SELECT '{BASE}Nation/' || n_nationkey AS iri, 'outgoing' AS direction, '{NS}inRegion' AS predicate, '{BASE}Region/' || n_regionkey AS neighbour, r_name AS label
+FROM nation JOIN region ON n_regionkey = r_regionkey
+UNION ALL SELECT '{BASE}Nation/' || c_nationkey, 'incoming', '{NS}inNation', '{BASE}Customer/' || c_custkey, c_name FROM customer
+UNION ALL SELECT '{BASE}Nation/' || s_nationkey, 'incoming', '{NS}inNation', '{BASE}Supplier/' || s_suppkey, s_name FROM supplier""")
+def entity_neighbours(spark, folder):
+    found = shop_graph(spark, folder)
+    typed = found.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.NATION))
+    return graph.neighbours(found, typed.select(F.col("subject").alias("iri")))
+
+
+@query("entity_neighbours_first", f"""
+WITH l AS (SELECT n_regionkey AS k, '{BASE}Nation/' || n_nationkey AS neighbour, n_name AS label FROM nation)
+SELECT '{BASE}Region/' || k AS iri, 'incoming' AS direction, '{NS}inRegion' AS predicate, neighbour, label FROM l
+QUALIFY row_number() OVER (PARTITION BY k ORDER BY neighbour) <= 3""")
+def entity_neighbours_first(spark, folder):
+    """The first three nations of each region."""
+    found = shop_graph(spark, folder)
+    typed = found.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.REGION))
+    return graph.neighbours(found, typed.select(F.col("subject").alias("iri")), limit=3)
+
+
 _steps = f"""
 , e AS (SELECT DISTINCT subject, predicate, object FROM t),
 s AS (SELECT subject AS a, object AS b FROM e UNION SELECT object, subject FROM e),

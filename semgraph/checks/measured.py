@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semgraph.checks.registry import BASE, LINK_NAMES, NS, RDF_TYPE, query, shop_graph, tables, with_facts
+from semgraph.functions.scratch import Scratch
 from semgraph.operators import analytics, communities, triples
 from semgraph.operators.components import connected_components
 from semgraph.plans import shop
@@ -42,16 +43,23 @@ _region_of = f"""
 """
 
 
-@query("components", with_facts(_region_of + ", m AS (SELECT k, min(node) AS component FROM c GROUP BY k) SELECT node, component FROM c JOIN m USING (k)", "inRegion"))
-def components(spark, folder):
+@query("components_by_region", with_facts(_region_of + ", m AS (SELECT k, min(node) AS component FROM c GROUP BY k) SELECT node, component FROM c JOIN m USING (k)", "inRegion"))
+def components_by_region(spark, folder):
+    """Along three relations each region is one component."""
     return connected_components(_edges(spark, folder))
 
 
+@query("components", with_facts(f", {_U} SELECT DISTINCT node, (SELECT min(node) FROM x) AS component FROM x", *LINK_NAMES))
+def components(spark, folder):
+    """Along all relations everything hangs together."""
+    return connected_components(_edges(spark, folder, *LINK_NAMES))
+
+
 @query("graph_kpis", with_facts(f""", {_U}, n AS (SELECT count(DISTINCT node) AS n FROM x), m AS (SELECT count(*) AS m FROM e), s AS (SELECT count(*) AS s FROM u)
-SELECT n AS nodes, m AS edges, (SELECT count(*) FROM region) AS components, round(2 * m / n, 4) AS avg_degree,
- round(2.0 * s / (CAST(n AS DOUBLE) * (n - 1)), 6) AS density FROM n, m, s""", *_names))
+SELECT n AS nodes, m AS edges, 1 AS components, round(2 * m / n, 4) AS avg_degree,
+ round(2.0 * s / (CAST(n AS DOUBLE) * (n - 1)), 6) AS density FROM n, m, s""", *LINK_NAMES))
 def graph_kpis(spark, folder):
-    return analytics.kpis(_edges(spark, folder))
+    return analytics.kpis(_edges(spark, folder, *LINK_NAMES))
 
 
 @query("pagerank")
@@ -130,9 +138,9 @@ def clustering(spark, folder):
 b AS (SELECT min(v) AS lo, max(v) AS hi, count(*) AS n, quantile_cont(v, 0.5) AS median FROM d)
 SELECT r.bin AS bin, (SELECT count(*) FROM d WHERE least(floor((v - lo) / ((hi - lo) / 20)), 19) = r.bin) AS n, lo AS min, hi AS max, median,
  (SELECT v FROM d ORDER BY v LIMIT 1 OFFSET CAST(round_even(0.9 * ((SELECT count(*) FROM d) - 1), 0) AS BIGINT)) AS p90
-FROM b, range(20) r(bin)""", *_names))
+FROM b, range(20) r(bin)""", *LINK_NAMES))
 def degree_histogram(spark, folder):
-    found = analytics.histograms(analytics.degree(_edges(spark, folder)), ["degree"])
+    found = analytics.histograms(analytics.degree(_edges(spark, folder, *LINK_NAMES)), ["degree"])
     rows = found.select(F.posexplode("bins").alias("bin", "n"), "min", "max", "median", F.round("p90", 6).alias("p90"))
     return rows.withColumn("bin", F.col("bin").cast("bigint"))
 
@@ -140,7 +148,7 @@ def degree_histogram(spark, folder):
 @query("top_entities")
 def top_entities(spark, folder):
     found = shop_graph(spark, folder, "name")
-    edges = _edges(spark, folder)
+    edges = _edges(spark, folder, *LINK_NAMES)
     measured = analytics.degree(edges).select("node", F.col("centrality").alias("degree")).join(
         analytics.pagerank(edges), "node")
     return analytics.top_entities(measured, found, 20)
@@ -167,17 +175,22 @@ for _algorithm in communities.ALGORITHMS:
 
 
 @query("community_quality", with_facts(f""", {_U}
-SELECT algorithm, count(DISTINCT node) AS nodes, true AS good FROM x, (VALUES ('louvain'), ('label_propagation'), ('greedy_modularity')) a(algorithm)
-GROUP BY 1""", *_names))
+SELECT algorithm, count(DISTINCT node) AS nodes, true AS good, true AS connected
+FROM x, (VALUES ('louvain'), ('label_propagation'), ('greedy_modularity')) a(algorithm) GROUP BY 1""", *_names))
 def community_quality(spark, folder):
-    """Every node is in one community, and modularity reaches what the links of this graph give."""
-    edges, rows = _edges(spark, folder), None
+    """Every node is in one community, modularity reaches what the links of this graph give, and each community hangs
+    together by its own links: there are as many parts of these as communities."""
+    edges, scratch, rows = _edges(spark, folder), Scratch(spark, "quality"), []
     for algorithm, least in (("louvain", 0.5), ("label_propagation", 0.3), ("greedy_modularity", 0.4)):
-        found = communities.communities(edges, algorithm)
+        found = scratch.save(communities.communities(edges, algorithm), "found")
+        a, b = (found.select(F.col("node").alias(end), F.col("community").alias(f"_{end}")) for end in ("src", "dst"))
+        inner = edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst")
+        parts = connected_components(inner).where("node = component").count()
+        sizes = found.groupBy("community").agg(F.count("*").alias("n")).agg(
+            F.sum("n").alias("nodes"), F.count("*").alias("communities"), F.count_if(F.col("n") == 1).alias("lone")).first()
         good = communities.modularity(edges, found) >= least
-        row = found.agg(F.countDistinct("node").alias("nodes")).select(F.lit(algorithm).alias("algorithm"), "nodes", F.lit(good).alias("good"))
-        rows = row if rows is None else rows.unionByName(row)
-    return rows
+        rows.append((algorithm, sizes["nodes"], good, parts + sizes["lone"] == sizes["communities"]))
+    return spark.createDataFrame(rows, "algorithm string, nodes bigint, good boolean, connected boolean")
 
 
 @query("community_summary")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semgraph.checks.registry import query, tables
+from semgraph.functions.scratch import Scratch
+from semgraph.operators import sketches
 from semgraph.operators.profile import peaks, profile
 from semgraph.operators.quantiles import exact_quantiles
 
@@ -187,3 +189,35 @@ def quantiles_exact(spark, folder):
     rows = tables(spark, folder)("lineitem").select("l_returnflag", "l_extendedprice")
     found = exact_quantiles(rows, "l_returnflag", "l_extendedprice", (0.1, 0.5, 0.9))
     return found.withColumn("quantile", F.round("quantile", 4))
+
+
+# -- sketches ------------------------------------------------------------------------------------------------------
+
+_LATER = "SELECT * FROM orders WHERE o_orderpriority <> '5-LOW' OR o_totalprice < 100000"
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@query("sketches_refreshed", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, true AS distinct_near, true AS quantiles_near, "
+    f"{f'CAST(min({c}) AS DOUBLE)' if c in ('o_orderkey', 'o_custkey', 'o_totalprice') else 'CAST(NULL AS DOUBLE)'} AS least FROM ({_LATER})"
+    for c in _ORDER_COLUMNS))
+def sketches_refreshed(spark, folder):
+    """Sketch orders by priority, let one priority change, sketch that one again: all together tell of the new table what it holds,
+    estimates within their stated errors."""
+    place = Scratch(spark, "sketches").folder
+    orders = tables(spark, folder)("orders").select(*_ORDER_COLUMNS, "o_orderpriority")
+    sketches.save(sketches.sketches(orders, "o_orderpriority"), place)
+    later = orders.where("o_orderpriority <> '5-LOW' OR o_totalprice < 100000")
+    found = sketches.refresh(later, "o_orderpriority", ["5-LOW"], place)
+    rows = found.collect()  # one a column
+    exact = later.agg(*[F.countDistinct(r["column"]).alias(r["column"]) for r in rows]).first()
+    ranks = later.agg(*[
+        F.avg((F.col(r["column"]) <= F.lit(r[q])).cast("double")).alias(f"{r['column']}:{q}")
+        for r in rows if r["kind"] == "numeric" for q in ("q1", "median", "q3")]).first()
+    share = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    near = [
+        (r["column"], r["rows"], r["nulls"], abs(r["distinct"] - exact[r["column"]]) <= 3 * sketches.DISTINCT_ERROR * exact[r["column"]],
+         r["kind"] != "numeric" or all(abs(ranks[f"{r['column']}:{q}"] - p) <= 2 * sketches.RANK_ERROR for q, p in share.items()), r["min"])
+        for r in rows
+    ]
+    return spark.createDataFrame(near, "column string, rows bigint, nulls bigint, distinct_near boolean, quantiles_near boolean, least double")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -103,7 +104,14 @@ def dataset(
     if len(keys) != len(key_columns):
         raise AttachmentError("a dataset names one key column per entity key")
     wanted = entities.select("subject", *[F.col(quoted(k)).alias(f"_k{i}") for i, k in enumerate(keys)])
-    match = [table[quoted(c)].cast("string") == F.col(f"_k{i}").cast("string") for i, c in enumerate(key_columns)]
+    # Keys read back from IRIs are text: they, not the table's columns, are turned into the other type, so that filters
+    # reach the table's files and its statistics. Text that is no such value, or spells it otherwise, matches nothing.
+    types = [table.schema[c].dataType for c in key_columns]
+    typed = [F.col(f"_k{i}").try_cast(t) for i, t in enumerate(types)]
+    spelled = [v.cast("string") == F.col(f"_k{i}").cast("string") for i, v in enumerate(typed)]
+    wanted = wanted.where(reduce(lambda a, b: a & b, spelled))
+    wanted = wanted.select("subject", *[v.alias(f"_k{i}") for i, v in enumerate(typed)])
+    match = [table[quoted(c)] == F.col(f"_k{i}") for i, c in enumerate(key_columns)]
     joined = wanted.join(table, match, "inner").drop(*[f"_k{i}" for i in range(len(keys))])
     if limit is None:
         return joined

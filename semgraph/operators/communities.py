@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semgraph.functions.scratch import Scratch
 from semgraph.functions.terms import IN_COMMUNITY, IRI, TRIPLE_COLUMNS
 from semgraph.operators.analytics import numbered, positions, undirected
+from semgraph.operators.components import connected_components
 from semgraph.operators.graph import with_label
 
 ALGORITHMS = ("louvain", "label_propagation", "greedy_modularity")
@@ -36,6 +37,7 @@ def communities(edges: DataFrame, algorithm: str = "louvain", resolution: float
         found, settled = _louvain(weighted, g.scratch, resolution, seed)
     else:
         found, settled = _agglomerate(weighted, g.scratch, resolution, seed)
+    found = _connected(plain, found, g.scratch)
     named = g.scratch.save(g.nodes.join(found, "id").select("node", F.col("label")), "named")
     sizes = named.groupBy("label").agg(F.count("*").alias("_size"), F.min("node").alias("_first"))
     # Numbering sorts one row per community.
@@ -44,6 +46,17 @@ def communities(edges: DataFrame, algorithm: str = "louvain", resolution: float
     return named.join(indexed, "label").select("node", "community", F.lit(settled).alias("converged"))
 
 
+def _connected(links: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """Communities whose members hang together only through others are split into their parts, which never lowers modularity."""
+    labels = scratch.save(labels, "found")
+    a = labels.select(F.col("id").alias("u"), F.col("label").alias("_a"))
+    b = labels.select(F.col("id").alias("v"), F.col("label").alias("_b"))
+    inner = links.join(a, "u").join(b, "v").where("_a = _b").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    parts = connected_components(scratch.save(inner, "inner"))
+    part = parts.select(F.col("node").alias("id"), F.col("component").alias("_part"))
+    return labels.join(part, "id", "left").select("id", F.coalesce("_part", "id").alias("label"))
+
+
 def _coin(node: Column, round_: int, seed: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(round_), F.lit(seed)), F.lit(2)) == 0
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
+from semgraph.functions.skew import split_join
 from semgraph.functions.terms import (
     LITERAL, RDF_TYPE, RDFS_LABEL, XSD, extracted_number, fallback_label, is_bnode, local_name, quoted,
 )
@@ -129,8 +130,10 @@ def with_label(df: DataFrame, triples: DataFrame, iri: str, out: str = "label",
         wanted = df.select(F.col(iri).alias("subject")).distinct()
         names = triples.join(F.broadcast(wanted), "subject", "left_semi")
     found = labels(names).select(F.col("subject").alias("_iri"), F.col("label").alias("_label"))
-    side = F.broadcast(found) if few else found
-    joined = df.join(side, df[quoted(iri)] == F.col("_iri"), "left")
+    if few:
+        joined = df.join(F.broadcast(found), df[quoted(iri)] == F.col("_iri"), "left")
+    else:  # most rows may name one entity
+        joined = split_join(df.withColumn("_iri", F.col(quoted(iri))), found, ["_iri"], "left")
     return joined.withColumn(out, F.coalesce("_label", fallback_label(F.col(iri)))).drop("_iri", "_label")
 
 
@@ -260,8 +263,14 @@ def describe(triples: DataFrame, iris: DataFrame, column: str = "iri") -> DataFr
     return forward.unionByName(backward)
 
 
-def context(triples: DataFrame, iris: DataFrame, mapping, column: str = "iri") -> DataFrame:
-    """Degrees, relation names, label, types, and the source table and key of each IRI."""
+def context(
+    triples: DataFrame, iris: DataFrame, mapping, column: str = "iri", attachments: Mapping[str, Iterable[str]] | None = None,
+) -> DataFrame:
+    """Degrees, relation names, label, types, the source table and key of each IRI, and what is attached to its classes.
+
+    ``attachments`` names by class the attributes, actions and datasets that can be asked of an instance; classes of an
+    entity add up. Who its neighbours are is told by ``neighbours``.
+    """
     facts = describe(triples, iris, column)
     summary = facts.groupBy("iri").agg(
         F.count_if(F.col("section") == "attribute").alias("attributes"),
@@ -274,12 +283,29 @@ def context(triples: DataFrame, iris: DataFrame, mapping, column: str = "iri") -
         [(c.class_iri, c.table, list(c.key_columns)) for c in mapping.classes],
         "class string, source_table string, key_columns array<string>",
     )
+    held = facts.sparkSession.createDataFrame(
+        sorted((c, name) for c, names in (attachments or {}).items() for name in names), "class string, attachment string")
     typed = facts.where(F.col("section") == "type").select("iri", F.col("value").alias("class"))
     origin = typed.join(where, "class").groupBy("iri").agg(
         F.min(F.struct("class", "source_table", "key_columns")).alias("origin")
     )
-    out = entities(triples, iris, column).join(summary, "iri").join(origin, "iri", "left")
-    return out.select("*", "origin.source_table", "origin.key_columns").drop("origin")
+    offered = typed.join(F.broadcast(held), "class").groupBy("iri").agg(F.array_sort(F.collect_set("attachment")).alias("attachments"))
+    out = entities(triples, iris, column).join(summary, "iri").join(origin, "iri", "left").join(offered, "iri", "left")
+    nothing = F.array().cast("array<string>")
+    return out.withColumn("attachments", F.coalesce("attachments", nothing)).select("*", "origin.source_table", "origin.key_columns").drop("origin")
+
+
+def neighbours(triples: DataFrame, iris: DataFrame, column: str = "iri", limit: int | None = None) -> DataFrame:
+    """(iri, direction, predicate, neighbour, label) of each IRI's links; with a ``limit`` the first of each direction.
+
+    Links stay rows, for a hub has as many as the graph has edges.
+    """
+    facts = describe(triples, iris, column).where(F.col("section").isin("outgoing", "incoming"))
+    links = facts.select("iri", F.col("section").alias("direction"), "predicate", F.col("value").alias("neighbour")).distinct()
+    if limit is not None:
+        order = Window.partitionBy("iri", "direction").orderBy("predicate", "neighbour")
+        links = links.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).drop("_place")
+    return with_label(links, triples, "neighbour")
 
 
 def neighbourhood(

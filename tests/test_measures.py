@@ -7,7 +7,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
-from semgraph.operators import analytics, communities
+from semgraph.operators import analytics, communities, sketches
 from semgraph.operators.components import connected_components
 
 CLIQUES = (
@@ -122,3 +122,33 @@ def test_health_and_layers(hr):
     again = communities.replace_membership(layer, member, "http://d/")
     assert layer.count() == again.count() == member.count()
     assert communities.summary(member, analytics.degree(edges), hr.graph).agg(F.sum("size")).first()[0] == member.count()
+
+
+# -- sketches -----------------------------------------------------------------------------------------------------
+
+def test_sketches_of_parts_merge_to_those_of_the_whole(spark, tmp_path):
+    import math
+    import random
+
+    pick = random.Random(5)
+    rows = [(k % 4, k, round(pick.gauss(100, 15), 3) if k % 10 else None, f"word {k % 900}", float("nan") if k % 7 else float(k)) for k in range(8000)]
+    df = spark.createDataFrame(rows, "part int, id long, x double, word string, odd double")
+    folder = str(tmp_path / "kept")
+    sketches.save(sketches.sketches(df.where("part < 2"), "part"), folder)
+    got = {r["column"]: r for r in sketches.refresh(df, "part", ["2", "3"], folder).collect()}
+    whole = {r["column"]: r for r in sketches.merged(sketches.sketches(df.withColumn("part", F.lit(0)), "part")).collect()}
+    values = {"id": [r[1] for r in rows], "x": [r[2] for r in rows if r[2] is not None], "odd": [r[4] for r in rows if not math.isnan(r[4])]}
+    for name, v in values.items():
+        r, n = got[name], len(v)
+        mean = sum(v) / n
+        assert (r["rows"], r["nulls"], r["min"], r["max"]) == (8000, 8000 - n, min(v), max(v))
+        assert r["mean"] == pytest.approx(mean) and r["std"] == pytest.approx(math.sqrt(sum((x - mean) ** 2 for x in v) / (n - 1)))
+        assert abs(r["distinct"] - len(set(v))) <= 3 * sketches.DISTINCT_ERROR * len(set(v))
+        for q, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            for found in (r, whole[name]):
+                assert abs(sum(x <= found[q] for x in v) / n - p) <= 2 * sketches.RANK_ERROR
+    assert abs(got["word"]["distinct"] - 900) <= 54 and abs(whole["word"]["distinct"] - 900) <= 54 and got["word"]["median"] is None
+    fewer = {r["column"]: r["rows"] for r in sketches.refresh(df.where("part <> 3 OR id < 4000"), "part", ["3"], folder).collect()}
+    assert set(fewer.values()) == {7000}
+    none = sketches.merged(sketches.sketches(df.where("false"), "part"))
+    assert none.isEmpty()
