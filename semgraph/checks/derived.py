@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from semgraph.checks.registry import BASE, NS, RDF_TYPE, iri_sql, query, shop_graph, tables
-from semgraph.functions.terms import OWL_NOTHING
+from semgraph.functions.terms import OWL, OWL_NOTHING, RDFS, RDFS_LABEL
 from semgraph.operators import owl, rules, triples
 from semgraph.operators.rules import Atom, Rule
 from semgraph.plans import shop
 from semgraph.plans.mapping import Attribute, ClassMap, Mapping, Relation
-from semgraph.plans.ontology import ObjectProperty, Ontology, OntologyClass, Restriction
+from semgraph.plans.ontology import DataProperty, ObjectProperty, Ontology, OntologyClass, Restriction
 from semgraph.sources.tables import register_views
 
 SPO = ("subject", "predicate", "object")
@@ -292,3 +292,12 @@ def owl_max_one(spark, folder):
     found = triples.build(spark, _HOLDERS, tables(spark, folder), maps=maps)
     typed = (F.col("predicate") != RDF_TYPE) | (F.col("object") == NS + "Account")
     return owl.closure(found.where(typed), ontology).triples.select(*SPO)
+
+
+@query("owl_noise", f"SELECT {_cust} AS subject, '{RDF_TYPE}' AS predicate, '{NS}Agent' AS object FROM customer")
+def owl_noise(spark, folder):
+    """Consequences that say nothing about entities are not kept: everything is a Thing, a name is a label."""
+    ontology = Ontology(
+        (OntologyClass(shop.CUSTOMER, parents=(NS + "Agent", OWL + "Thing", RDFS + "Resource")), OntologyClass(NS + "Agent")),
+        data_properties=(DataProperty(NS + "name", parents=(RDFS_LABEL,)),))
+    return _closed(spark, folder, ontology, "type", "name").triples.select(*SPO)

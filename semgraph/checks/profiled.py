@@ -38,6 +38,7 @@ def _numeric_sql(table: str, column: str) -> str:
  {r('z / nn')} AS zeros_rate, {r('h / nn')} AS heaped_rate,
  {r('CASE WHEN v <= 1e-12 THEN 0 ELSE c3 / pow(v, 1.5) END')} AS skew,
  {r('CASE WHEN v <= 1e-12 THEN 0 ELSE c4 / (v * v) - 3 END')} AS kurtosis,
+ {r('CASE WHEN nn >= 3 THEN exp(-nn / 12.0 * CASE WHEN v <= 1e-12 THEN 0 ELSE pow(c3 / pow(v, 1.5), 2) + pow(c4 / (v * v) - 3, 2) / 4 END) END')} AS normal_p,
  (SELECT count(*) FROM {table} WHERE {column} < q1 - 1.5 * (q3 - q1) OR {column} > q3 + 1.5 * (q3 - q1)) AS outliers
 FROM (SELECT count(*) AS total, count(x) AS nn, count(DISTINCT x) AS d, min(x0) AS lo, max(x0) AS hi, any_value(m) AS m, stddev_samp(x) AS s,
   quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3,
@@ -53,7 +54,7 @@ def _register_numeric(table: str, columns: tuple[str, ...]) -> None:
     def run(spark, folder):
         return _facts(
             spark, folder, table, columns, "column", "non_null", "nulls", "distinct", "min", "max", "mean", "std",
-            "mean_ci", "q1", "median", "q3", "zeros_rate", "heaped_rate", "skew", "kurtosis", "outliers",
+            "mean_ci", "q1", "median", "q3", "zeros_rate", "heaped_rate", "skew", "kurtosis", "normal_p", "outliers",
         )
 
 
