@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from semgraph.checks.registry import BASE, NS, RDF_TYPE, facts_sql, iri_sql, query, shop_graph, tables
+from semgraph.checks.registry import RDF_TYPE, facts_sql, iri_sql, query, shop_graph, tables
 from semgraph.functions.scratch import Scratch
 from semgraph.operators import attach, build, drift, keys, triples
 from semgraph.plans import shop, statement

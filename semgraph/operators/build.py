@@ -6,7 +6,6 @@ from collections.abc import Mapping as Dict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from semgraph.operators import drift, triples
 from semgraph.plans.mapping import Mapping
