@@ -7,6 +7,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from semgraph.functions.scratch import Scratch
 from semgraph.operators import analytics, communities, sketches
 from semgraph.operators.components import connected_components
 
@@ -124,6 +125,15 @@ def test_health_and_layers(hr):
     assert communities.summary(member, analytics.degree(edges), hr.graph).agg(F.sum("size")).first()[0] == member.count()
 
 
+def test_communities_in_parts_are_split(spark):
+    """Community 0 holds two stars that meet only through node 9 of another one."""
+    links = [(0, 1), (0, 2), (4, 5), (4, 6), (2, 9), (4, 9), (9, 8)]
+    df = spark.createDataFrame(links, "u long, v long")
+    labels = spark.createDataFrame([(k, 0) for k in (0, 1, 2, 4, 5, 6)] + [(8, 1), (9, 1), (7, 0)], "id long, label long")
+    got = {r["id"]: r["label"] for r in communities._connected(df, labels, Scratch(spark, "test")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 4: 4, 5: 4, 6: 4, 8: 8, 9: 8, 7: 7}
+
+
 # -- sketches -----------------------------------------------------------------------------------------------------
 
 def test_sketches_of_parts_merge_to_those_of_the_whole(spark, tmp_path):
