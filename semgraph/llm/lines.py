@@ -1,50 +1,77 @@
-"""Removal of repeated passages by overlapping windows of three lines.
+"""Removal of repeated passages by overlapping windows of three pieces.
 
-Windows run over a text's lines that are not blank, compared without trailing white space. A window that occurs
-more than once keeps its first occurrence, by (doc_id, place); lines under a later occurrence go. Overlapping
-later windows cover a passage together, so a passage of any length of at least three lines goes whole. A later
-occurrence that overlaps its own first one takes only the lines beyond it: of a line repeated over and over,
-three stay.
+A piece is a line, or what a longer line is cut into: its sentences (up to ``.``, ``!`` or ``?`` before white space),
+and of a longer sentence runs of 16 words. So a passage of more than 48 words that begins with a line or a sentence
+has three pieces at least and thus a window, on however few lines it stands. Windows run over the pieces that are not
+blank, compared without trailing white space. One that holds parts of lines counts only if it has 60 characters or
+more, so that no run of tiny sentences is taken for a passage; three whole lines always count.
 
-Texts of fewer than three lines have no window and stay as they are, as do null and empty texts. A null doc_id
+A window that occurs more than once keeps its first occurrence, by (doc_id, place); pieces under a later occurrence
+go, and a line goes with the last of its pieces. Overlapping later windows cover a passage together, so a passage of
+any length goes whole; a sentence of which it holds a part only stays. A later occurrence that overlaps its own first
+one takes only the pieces beyond it: of a line repeated over and over, three stay.
+
+Texts of fewer than three pieces have no window and stay as they are, as do null and empty texts. A null doc_id
 is the first. Rows repeating a doc_id with the same text are one document: none of them counts as later.
 Blank lines stay. Other columns are kept; names starting with ``_ld_`` are used here.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
 
 WINDOW = 3
+#: Words of a sentence taken as one piece, and characters that a window of parts of lines must hold.
+RUN, LEAST = 16, 60
+#: A piece with the white space around it: words up to the end of a sentence, else a run of words.
+PIECE = rf"\s*+(?:(?:\S++\s*+){{0,{RUN - 1}}}?\S*+(?<=[.!?])(?:\s++|$)|(?:\S++\s*+){{1,{RUN}}})"
+
+
+def pieces(text: Column) -> Column:
+    """All pieces of a text in order: line number, raw piece, whether it is a whole line; a blank line is one piece."""
+    def of_line(line: Column, i: Column) -> Column:
+        found = F.regexp_extract_all(line, F.lit(PIECE), F.lit(0))
+        parts = F.when(F.size(found) > 1, found).otherwise(F.array(line))
+        return F.transform(parts, lambda p: F.struct(i.alias("line"), p.alias("raw"), (p == line).alias("whole")))
+
+    return F.flatten(F.transform(F.split(text, "\n"), of_line))
 
 
-def _solid_lines(text: Column) -> Column:
-    """Lines that are not blank, each with its place among all lines."""
-    numbered = F.transform(F.split(text, "\n"), lambda line, i: F.struct(F.regexp_replace(line, r"\s+$", "").alias("s"), i.alias("i")))
-    return F.filter(numbered, lambda x: x["s"] != "")
+def _solid(piece: Column) -> Column:
+    return F.rtrim(piece, F.lit(" \t\r\x0b\f"))
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per window: _ld_row, doc_id, at (window number), two hashes of its lines."""
-    # the array is named twice or more below, so that it is made once a row
-    lines = docs.select("_ld_row", "doc_id", _solid_lines(F.col("text")).alias("_ld_lines"))
-    at = lambda k, i: F.get("_ld_lines", i + k)["s"]
+    """One row per window: doc_id, _ld_text, at (number of its first piece that is not blank), two hashes of its pieces."""
+    # arrays are named twice or more below, so that each is made once a row
+    hashed = F.transform(F.filter(pieces(F.col("text")), lambda p: _solid(p["raw"]) != ""), lambda p: F.struct(
+        F.xxhash64(_solid(p["raw"])).alias("a"), F.xxhash64(F.lit(7), _solid(p["raw"])).alias("b"),
+        F.length(_solid(p["raw"])).alias("size"), p["whole"].alias("whole"),
+    ))
+    made = docs.select("doc_id", "_ld_text", hashed.alias("_ld_pieces"))
+    at = lambda i, k, field: F.get("_ld_pieces", i + k)[field]
     window = F.transform(
-        F.sequence(F.lit(0), F.size("_ld_lines") - width),
+        F.sequence(F.lit(0), F.size("_ld_pieces") - width),
         lambda i: F.struct(
-            i.alias("at"), F.xxhash64(*[at(k, i) for k in range(width)]).alias("h1"),
-            F.xxhash64(F.lit(7), *[at(k, i) for k in range(width)]).alias("h2"),
+            i.alias("at"), F.xxhash64(*[at(i, k, "a") for k in range(width)]).alias("h1"),
+            F.xxhash64(*[at(i, k, "b") for k in range(width)]).alias("h2"),
+            reduce(and_, [at(i, k, "whole") for k in range(width)]).alias("whole"),
+            reduce(add, [at(i, k, "size") for k in range(width)]).alias("size"),
         ),
     )
-    enough = F.when(F.size("_ld_lines") >= width, window)
-    return lines.select("_ld_row", "doc_id", F.explode(enough).alias("w")).select("_ld_row", "doc_id", "w.at", "w.h1", "w.h2")
+    enough = F.when(F.size("_ld_pieces") >= width, window)
+    rows = made.select("doc_id", "_ld_text", F.explode(enough).alias("w")).filter(F.col("w.whole") | (F.col("w.size") >= LEAST))
+    return rows.select("doc_id", "_ld_text", "w.at", "w.h1", "w.h2")
 
 
 def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> DataFrame:
-    """_ld_row and the window numbers' lines to remove: ``_ld_gone``, places among the solid lines."""
+    """doc_id, _ld_text and ``_ld_gone``: the pieces to remove, by their numbers among those that are not blank."""
     found = scratch.save(windows(docs, width), "windows")
     repeated = found.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n")
@@ -54,28 +81,34 @@ def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int =
     same = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
     late = late.filter(~(same & (F.col("at") == F.col("first.at"))))
     start = F.when(same, F.greatest(F.col("at"), F.col("first.at") + width)).otherwise(F.col("at"))
-    spans = late.select("_ld_row", start.alias("lo"), (F.col("at") + width - 1).alias("hi")).filter("lo <= hi")
-    return spans.groupBy("_ld_row").agg(
+    spans = late.select("doc_id", "_ld_text", start.alias("lo"), (F.col("at") + width - 1).alias("hi")).filter("lo <= hi")
+    return spans.groupBy("doc_id", "_ld_text").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence("lo", "hi"))))).alias("_ld_gone")
     )
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """The documents with their texts less the removed lines, ``n_lines`` before and ``n_removed``."""
+    """The documents with their texts less the removed pieces, ``n_lines`` before and ``n_removed`` pieces."""
     scratch = Scratch(spark, "lines")
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed") and not c.startswith("_ld_")]
-    # a row is known by what it holds: rows alike in everything are treated alike
-    keyed = docs.select(*names).withColumn("_ld_row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string")))
-    gone = scratch.save(covered(spark, keyed, scratch, width), "gone")
-    # one plan at every size: rows with removed lines grow with the table
-    joined = keyed.join(gone.hint("merge"), "_ld_row", "left").drop("_ld_row").withColumn("_ld_split", F.split("text", "\n"))
-    numbered = F.transform("_ld_split", lambda line, i: F.struct(F.regexp_replace(line, r"\s+$", "").alias("s"), i.alias("i")))
-    solid = F.transform(F.filter(numbered, lambda x: x["s"] != ""), lambda x: x["i"])
-    found = joined.withColumn("_ld_solid", F.when(F.col("_ld_gone").isNotNull(), solid))
+    # a row is known by its id and text: rows alike in both are treated alike
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names]).withColumn("_ld_text", F.xxhash64("text"))
+    gone = scratch.save(covered(spark, keyed, scratch, width), "gone").withColumnRenamed("doc_id", "_ld_doc").withColumnRenamed("_ld_text", "_ld_hash")
+    # one plan at every size: rows with removed pieces grow with the table
+    here = F.col("doc_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_text") == F.col("_ld_hash"))
+    joined = keyed.join(gone.hint("merge"), here, "left")
+    split = joined.withColumn("_ld_pieces", F.when(F.col("_ld_gone").isNotNull(), pieces(F.col("text"))))
+    numbered = F.transform("_ld_pieces", lambda p, i: F.struct((_solid(p["raw"]) != "").alias("solid"), i.alias("i")))
+    found = split.withColumn("_ld_solid", F.transform(F.filter(numbered, lambda x: x["solid"]), lambda x: x["i"]))
     lost = F.transform("_ld_gone", lambda k: F.get("_ld_solid", k))
-    left = F.array_except(F.sequence(F.lit(0), F.size("_ld_split") - 1), lost)
-    text = F.array_join(F.transform(left, lambda i: F.get("_ld_split", i)), "\n")
-    return found.select(
+    left = found.withColumn("_ld_left", F.array_except(F.sequence(F.lit(0), F.size("_ld_pieces") - 1), lost))
+    at = lambda i: F.get("_ld_pieces", F.get("_ld_left", i))
+    spelled = F.transform("_ld_left", lambda p, n: F.concat(
+        F.when((n > 0) & (at(n)["line"] != at(F.greatest(n - 1, F.lit(0)))["line"]), "\n").otherwise(""), F.get("_ld_pieces", p)["raw"]
+    ))
+    text = F.array_join(spelled, "")
+    return left.select(
         *[F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size("_ld_split"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("_ld_gone"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size("_ld_gone"), F.lit(0)).alias("n_removed"),
     )

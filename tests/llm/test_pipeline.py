@@ -63,7 +63,7 @@ def test_stages_of_an_empty_table(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] + [n for n in entry.queries() if n == "pipeline"]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
 
 
 @needs_data

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -335,12 +336,28 @@ def test_components(spark):
 
 # -- lines --------------------------------------------------------------------------------------------------------
 
+def cut(line):
+    """A line's pieces, word by word: sentences, and runs of 16 words of longer ones; white space stays behind its word."""
+    out = [""]
+    for word in re.findall(r"\s*\S+\s*", line):
+        out[-1] += word
+        solid = word.rstrip()
+        if (solid[-1] in ".!?") or len(out[-1].split()) == lines.RUN:
+            out.append("")
+    return [p for p in out if p] or [line]
+
+
 def expected_lines(docs):
-    solid = {i: [(x.rstrip(), k) for k, x in enumerate((t or "").split("\n")) if x.rstrip()] for i, t in docs}
+    solid = {}
+    for i, t in docs:
+        rows = [(p, k, n, len(cut(x)) == 1) for k, x in enumerate((t or "").split("\n")) for n, p in enumerate(cut(x))]
+        solid[i] = [(p.rstrip(), k, n, w) for p, k, n, w in rows if p.strip()]
     seen = {}
     for i, rows in solid.items():
         for a in range(len(rows) - 2):
-            seen.setdefault(tuple(x for x, _ in rows[a : a + 3]), []).append((i, a))
+            three = rows[a : a + 3]
+            if all(w for *_, w in three) or sum(len(p) for p, *_ in three) >= lines.LEAST:
+                seen.setdefault(tuple(p for p, *_ in three), []).append((i, a))
     gone = {}
     for at in seen.values():
         first = min(at)
@@ -350,8 +367,9 @@ def expected_lines(docs):
                 gone.setdefault(i, set()).update(range(low, a + 3))
     out = {}
     for i, t in docs:
-        lost = {solid[i][k][1] for k in gone.get(i, ())}
-        out[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
+        lost = {solid[i][k][1:3] for k in gone.get(i, ())}
+        kept = [[p for n, p in enumerate(cut(x)) if (k, n) not in lost] for k, x in enumerate((t or "").split("\n"))]
+        out[i] = None if t is None else "\n".join("".join(ps) for ps in kept if ps)
     return out
 
 
@@ -373,6 +391,35 @@ def test_rows_repeating_an_id_are_one_document(spark):
     assert got == [(0, "a\nb\nc"), (1, ""), (1, ""), (2, "x\ny")]
 
 
+def test_lines_cut_into_pieces_equal_brute_force(spark):
+    """Long lines, with and without sentences, that share parts at any place."""
+    r = random.Random(16)
+    word = lambda: r.choice([f"w{i}" for i in range(40)]) + r.choice(["", "", "", "", ",", ".", "!", "?"])
+    parts = [" ".join(word() for _ in range(r.randint(1, 40))) for _ in range(25)] + ["No. Yes. No. Yes.", "plain " * 50, "\tx  y ", "", " "]
+    docs = [(i, "".join(r.choice(parts) + r.choice([" ", " ", "\n", "  \n"]) for _ in range(r.randint(0, 9)))) for i in range(150)]
+    got = {r["doc_id"]: r for r in lines.drop_repeated_lines(spark, spark.createDataFrame(docs, DOCS)).collect()}
+    assert {i: r["text"] for i, r in got.items()} == expected_lines(docs)
+    assert sum(r["n_removed"] for r in got.values()) > 300
+
+
+def test_passages_on_one_line_go_from_all_but_the_first(spark):
+    r = random.Random(61)
+    free = lambda n: " ".join(f"f{r.randrange(10**9)}" for _ in range(n))
+    bare, spoken = free(80), f"{free(12)}. {free(30)}! {free(11)}."
+    docs = [(i, bare) for i in range(3)] + [(3 + i, f"{free(9)}\n{bare}\n{free(30)}") for i in range(3)]
+    docs += [(10 + i, f"{free(20)}. {spoken} {free(14)}.") for i in range(3)] + [(20, "Yes. No. Yes."), (21, "Yes. No. Yes.")]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(spark, spark.createDataFrame(docs, DOCS)).collect()}
+    want = dict(docs)
+    assert got == {i: ("" if i in (1, 2) else want[i].replace(bare + "\n", "") if 3 <= i < 6 else want[i].replace(spoken + " ", "") if i in (11, 12) else want[i]) for i in want}
+
+
+def test_a_passage_that_a_third_of_rows_share(spark):
+    docs = [(i, f"own {i}. " + "one two three four five six. seven eight nine ten eleven twelve. and more words than sixty characters." if i % 3 == 0
+             else f"text {i} alone") for i in range(6000)]
+    got = lines.drop_repeated_lines(spark, spark.createDataFrame(docs, DOCS)).filter("n_removed > 0")
+    assert got.count() == 1999 and got.filter("text = concat('own ', doc_id, '. ')").count() == 1999
+
+
 # -- fingerprints -------------------------------------------------------------------------------------------------
 
 def test_edited_texts(spark):
