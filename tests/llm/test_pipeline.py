@@ -27,7 +27,7 @@ def corpus():
         docs.append([i, body + (" moron pathetic" if i % 8 == 0 else ""), "en", f"s{0 if i % 2 else i % 5}"])
     for i in (11, 13, 15):
         docs[i][1] = f"{text(9)}\n{passage}\n{text(9)}"
-    docs += [[240 + i, text(4) + " " + docs[17][1].replace("\n", " "), "en", "s0"] for i in range(3)]
+    docs += [[240 + i, text(4 + i) + " " + docs[17][1].replace("\n", " "), "en", "s0"] for i in range(3)]
     docs += [[250, docs[19][1], "en", "s1"], [250, docs[19][1], "en", "s1"], [251, None, None, None], [252, "", "en", "s1"], [None, text(50), "en", "s2"]]
     return [(*d, len(d[1] or "")) for d in docs]
 
