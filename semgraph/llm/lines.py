@@ -18,56 +18,68 @@ Blank lines stay. Other columns are kept; names starting with ``_ld_`` are used
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add, and_
-
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from semgraph.functions.scratch import Scratch
+from semgraph.llm.text import mixed
 
 WINDOW = 3
 #: Words of a sentence taken as one piece, and characters that a window of parts of lines must hold.
 RUN, LEAST = 16, 60
 #: A piece with the white space around it: words up to the end of a sentence, else a run of words.
-PIECE = rf"\s*+(?:(?:\S++\s*+){{0,{RUN - 1}}}?\S*+(?<=[.!?])(?:\s++|$)|(?:\S++\s*+){{1,{RUN}}})"
-
-
-def pieces(text: Column) -> Column:
-    """All pieces of a text in order: line number, raw piece, whether it is a whole line; a blank line is one piece."""
-    def of_line(line: Column, i: Column) -> Column:
-        found = F.regexp_extract_all(line, F.lit(PIECE), F.lit(0))
-        parts = F.when(F.size(found) > 1, found).otherwise(F.array(line))
-        return F.transform(parts, lambda p: F.struct(i.alias("line"), p.alias("raw"), (p == line).alias("whole")))
+PIECE = re.compile(rf"\s*+(?:(?:\S++\s*+){{0,{RUN - 1}}}?\S*+(?<=[.!?])(?:\s++|$)|(?:\S++\s*+){{1,{RUN}}})", re.ASCII)
+SPACE = " \t\r\x0b\f"
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
-    return F.flatten(F.transform(F.split(text, "\n"), of_line))
 
-
-def _solid(piece: Column) -> Column:
-    return F.rtrim(piece, F.lit(" \t\r\x0b\f"))
+def pieces(line: str) -> list[str]:
+    """What a line is cut into; joined they are the line. A blank line is one piece."""
+    return PIECE.findall(line) or [line]
 
 
 def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
-    """One row per window: doc_id, _ld_text, at (number of its first piece that is not blank), two hashes of its pieces."""
-    # arrays are named twice or more below, so that each is made once a row
-    hashed = F.transform(F.filter(pieces(F.col("text")), lambda p: _solid(p["raw"]) != ""), lambda p: F.struct(
-        F.xxhash64(_solid(p["raw"])).alias("a"), F.xxhash64(F.lit(7), _solid(p["raw"])).alias("b"),
-        F.length(_solid(p["raw"])).alias("size"), p["whole"].alias("whole"),
-    ))
-    made = docs.select("doc_id", "_ld_text", hashed.alias("_ld_pieces"))
-    at = lambda i, k, field: F.get("_ld_pieces", i + k)[field]
-    window = F.transform(
-        F.sequence(F.lit(0), F.size("_ld_pieces") - width),
-        lambda i: F.struct(
-            i.alias("at"), F.xxhash64(*[at(i, k, "a") for k in range(width)]).alias("h1"),
-            F.xxhash64(*[at(i, k, "b") for k in range(width)]).alias("h2"),
-            reduce(and_, [at(i, k, "whole") for k in range(width)]).alias("whole"),
-            reduce(add, [at(i, k, "size") for k in range(width)]).alias("size"),
-        ),
-    )
-    enough = F.when(F.size("_ld_pieces") >= width, window)
-    rows = made.select("doc_id", "_ld_text", F.explode(enough).alias("w")).filter(F.col("w.whole") | (F.col("w.size") >= LEAST))
-    return rows.select("doc_id", "_ld_text", "w.at", "w.h1", "w.h2")
+    """One row per window: doc_id, _ld_text, at (number of its first piece that is not blank), 128 bits of hash of its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            marks, sizes, whole, counts = [], [], [], []
+            for text in b.column(2):
+                before = len(sizes)
+                for line in (text.as_py() or "").split("\n"):
+                    cut = pieces(line)
+                    for piece in cut:
+                        if solid := piece.rstrip(SPACE):
+                            marks.append(xxhash.xxh3_128_digest(solid.encode()))
+                            sizes.append(len(solid))
+                            whole.append(len(cut) == 1)
+                counts.append(len(sizes) - before)
+            n = len(sizes) - width + 1
+            if n < 1:
+                continue
+            row = np.repeat(np.arange(len(counts)), counts)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+            hashes, h = np.frombuffer(b"".join(marks), "<u8").reshape(-1, 2), np.zeros((n, 2), np.uint64)
+            size, lines = np.zeros(n, np.int64), np.ones(n, bool)
+            for k in range(width):
+                h = mixed(h * _ODD + hashes[k : k + n])
+                size += np.array(sizes[k : k + n])
+                lines &= np.array(whole[k : k + n])
+            inside = (row[:n] == row[width - 1 :]) & (lines | (size >= LEAST))
+            of, h = pa.array(row[:n][inside]), h[inside].view(np.int64)
+            columns = [b.column(0).take(of), b.column(1).take(of), pa.array(at[:n][inside].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(np.ascontiguousarray(h[:, i])) for i in (0, 1))], ["doc_id", "_ld_text", "at", "h1", "h2"])
+
+    rows = docs.select("doc_id", "_ld_text", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, _ld_text long, at int, h1 long, h2 long")
 
 
 def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int = WINDOW) -> DataFrame:
@@ -87,6 +99,26 @@ def covered(spark: SparkSession, docs: DataFrame, scratch: Scratch, width: int =
     )
 
 
+def without(text: str, gone: set[int]) -> str:
+    """A text less some of its pieces, by their numbers among those that are not blank."""
+    left, number = [], 0
+    for line in text.split("\n"):
+        kept, cut = [], pieces(line)
+        for piece in cut:
+            solid = bool(piece.rstrip(SPACE))
+            if not solid or number not in gone:
+                kept.append(piece)
+            number += solid
+        if kept:
+            left.append("".join(kept))
+    return "\n".join(left)
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else without(t, set(g.tolist())) for t, g in zip(texts, gone, strict=True)], dtype=object)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """The documents with their texts less the removed pieces, ``n_lines`` before and ``n_removed`` pieces."""
     scratch = Scratch(spark, "lines")
@@ -97,18 +129,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, width: int = WINDO
     # one plan at every size: rows with removed pieces grow with the table
     here = F.col("doc_id").eqNullSafe(F.col("_ld_doc")) & (F.col("_ld_text") == F.col("_ld_hash"))
     joined = keyed.join(gone.hint("merge"), here, "left")
-    split = joined.withColumn("_ld_pieces", F.when(F.col("_ld_gone").isNotNull(), pieces(F.col("text"))))
-    numbered = F.transform("_ld_pieces", lambda p, i: F.struct((_solid(p["raw"]) != "").alias("solid"), i.alias("i")))
-    found = split.withColumn("_ld_solid", F.transform(F.filter(numbered, lambda x: x["solid"]), lambda x: x["i"]))
-    lost = F.transform("_ld_gone", lambda k: F.get("_ld_solid", k))
-    left = found.withColumn("_ld_left", F.array_except(F.sequence(F.lit(0), F.size("_ld_pieces") - 1), lost))
-    at = lambda i: F.get("_ld_pieces", F.get("_ld_left", i))
-    spelled = F.transform("_ld_left", lambda p, n: F.concat(
-        F.when((n > 0) & (at(n)["line"] != at(F.greatest(n - 1, F.lit(0)))["line"]), "\n").otherwise(""), F.get("_ld_pieces", p)["raw"]
-    ))
-    text = F.array_join(spelled, "")
-    return left.select(
-        *[F.when(F.col("_ld_gone").isNull(), F.col("text")).otherwise(text).alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
+    touched = F.col("_ld_gone").isNotNull()
+    # texts of other rows do not go to Python
+    text = F.when(touched, _without(F.when(touched, F.col("text")), F.col("_ld_gone"))).otherwise(F.col("text"))
+    return joined.select(
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in names],
         F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("_ld_gone"), F.lit(0)).alias("n_removed"),
     )
