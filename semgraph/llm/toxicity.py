@@ -64,10 +64,17 @@ class Cleaned(dict):
 
 
 class Places(dict):
-    def __missing__(self, word: str) -> list[int]:
-        value = self[word] = buckets(word)
+    """Word -> its features as packed 32-bit numbers, remembered."""
+
+    def __missing__(self, word: str) -> bytes:
+        value = self[word] = np.array(buckets(word), "<i4").tobytes()
         return value
 
+    def of(self, words: list[str]) -> bytes:
+        if len(self) > REMEMBERED:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
+
 
 def swaps(present: set[str], groups: tuple[tuple[str, ...], ...]) -> list[tuple[str, str]]:
     """Each identity term of a text with every other term of its group."""
@@ -95,8 +102,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int, per_class: int
 
 def telling(x: list[np.ndarray], y: np.ndarray, least: int, z: float) -> np.ndarray:
     """Features whose share differs between the labels by ``z`` standard errors, met in ``least`` texts or more."""
-    unique = [np.unique(v) for v in x]
-    met = [np.bincount(np.concatenate([v for v, t in zip(unique, y, strict=True) if t == k] or [[]]).astype(int), minlength=BUCKETS) for k in (0, 1)]
+    met = np.zeros((2, BUCKETS), np.int64)
+    for features, label in zip(x, y, strict=True):
+        met[int(label), np.unique(features)] += 1
     n = [max(1, int((y == k).sum())) for k in (0, 1)]
     share = (met[0] + met[1]) / sum(n)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n[0] + 1 / n[1]))
@@ -154,20 +162,19 @@ def train(rows: DataFrame, fairness: float = 1.0, identity: tuple[tuple[str, ...
             x, pairs = [], []
             for text in b["text"]:
                 present = cleaned.distinct(bytes(text))
-                found = [k for word in sorted(present) for k in places[word]]
-                x.append(np.array(found, "<i4").tobytes())
+                x.append(places.of(sorted(present)))
                 pairs.append("\n".join(f"{a} {c}" for a, c in swaps(present, groups)))
             yield pd.DataFrame({"x": x, "pairs": pairs, "label": b["label"], "weight": b["weight"]})
 
     def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         x, y, weight, pairs = [], [], [], []
         for b in batches:
-            x += [np.frombuffer(v, "<i4") for v in b["x"]]
+            x += b["x"].tolist()
             y += b["label"].tolist()
             weight += b["weight"].tolist()
             pairs += [p for v in b["pairs"] if v for p in v.split("\n")]
-        order = sorted(range(len(x)), key=lambda i: (x[i].tobytes(), y[i]))  # the same whatever order rows come in
-        x, y, weight = [x[i] for i in order], np.array([y[i] for i in order], float), np.array([weight[i] for i in order])
+        order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))  # the same whatever order rows come in
+        x, y, weight = [np.frombuffer(x[i], "<i4") for i in order], np.array([y[i] for i in order], float), np.array([weight[i] for i in order])
         swapped = [tuple(np.array(buckets(t)) for t in p.split(" ")) for p in sorted(pairs)]
         w, bias = fit(x, y, weight, swapped, fairness)
         yield pd.DataFrame({"w": [w.astype("<f4").tobytes()], "bias": [bias]})
