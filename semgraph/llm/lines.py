@@ -37,6 +37,8 @@ WINDOW = 3
 RUN, LEAST = 16, 60
 #: A piece with the white space around it: words up to the end of a sentence, else a run of words.
 PIECE = re.compile(rf"\s*+(?:(?:\S++\s*+){{0,{RUN - 1}}}?\S*+(?<=[.!?])(?:\s++|$)|(?:\S++\s*+){{1,{RUN}}})", re.ASCII)
+#: Texts cut and hashed at a time.
+SLICE = 1_000
 SPACE = " \t\r\x0b\f"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,7 +52,7 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """One row per window: doc_id, _ld_text, at (number of its first piece that is not blank), 128 bits of hash of its pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole_batch.slice(at, SLICE) for whole_batch in batches for at in range(0, whole_batch.num_rows, SLICE)):
             marks, sizes, whole, counts = [], [], [], []
             for text in b.column(2):
                 before = len(sizes)

@@ -24,8 +24,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semgraph.llm.text import REMEMBERED
-
+#: Words that each memory of a Python worker holds; it is emptied beyond them, results do not change.
+REMEMBERED = 100_000
+#: Texts scored and handed back at a time.
+SLICE = 1_000
 BUCKETS = 1 << 18
 #: Identity terms that may be swapped for one another, by group.
 IDENTITY = (
@@ -208,7 +210,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, column: str = "scor
     schema = docs.select(*names).schema.add(column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             text = b.column(b.schema.get_field_index("_tx_text"))
             scores = pa.array([of(t.as_py()) for t in text], pa.float64())
             kept = [b.column(i) for i in range(b.num_columns - 1)]
