@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semgraph.functions.scratch import Scratch
+from semgraph.functions.scratch import FEW, Scratch
 from semgraph.functions.skew import split_join
 from semgraph.functions.terms import (
     IRI, LITERAL, OWL, OWL_NOTHING, RDF, RDF_TYPE, RDFS, RDFS_COMMENT, RDFS_LABEL, TRIPLE_COLUMNS, is_bnode,
@@ -236,7 +236,7 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
     A transitive property is closed as a whole when facts of it appear, and extended by later ones.
     """
     spark = triples.sparkSession
-    scratch = Scratch(spark, "owl")
+    scratch = Scratch(spark, "owl", FEW)
     ax = _compile(spark, ontology)
     asserted = triples.where(~F.col("inferred")).select(*FACT)
     counts = {f"t{i}": F.count_if((F.col("predicate") == p) & (F.col("object_type") != LITERAL)) for i, p in enumerate(ax.transitive)}
@@ -262,7 +262,7 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
                 break
             # The kind of a derived fact does not depend on how it was derived.
             found = reduce(DataFrame.unionByName, derived).dropDuplicates(KEY)
-            new, seen = scratch.measured(found.join(facts.select(*KEY), KEY, "left_anti"), "round", **counts)
+            new, seen = scratch.measured(found.join(_known(facts), KEY, "left_anti"), "round", **counts)
             if not seen["n"]:
                 break
             facts = facts.unionByName(new)
@@ -284,7 +284,7 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
             )
         canon = scratch.save(merged, "canon")
         left = scratch.save(_untouched(facts, canon), "facts", sort=("predicate", "subject"))
-        moved = _touched(facts, canon).dropDuplicates(KEY).join(left.select(*KEY), KEY, "left_anti")
+        moved = _touched(facts, canon).dropDuplicates(KEY).join(_known(left), KEY, "left_anti")
         new, seen = scratch.measured(moved, "moved", **counts)
         rederived.append(seen["n"])
         facts, fresh, paths = left.unionByName(new), [new], {}
@@ -296,7 +296,7 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
         facts = facts.unionByName(nothing)
     if canon is not None:
         facts = _expanded(facts, canon)
-    kept = facts.dropDuplicates(KEY).join(base.select(*KEY), KEY, "left_anti").where(_kept(ontology))
+    kept = facts.dropDuplicates(KEY).join(_known(base), KEY, "left_anti").where(_kept(ontology))
     empty = F.lit(None).cast("string")
     kept = kept.withColumns({"lang": empty, "inferred": F.lit(True), "source_table": empty}).select(*TRIPLE_COLUMNS)
     kept = scratch.save(kept, "inferred")
@@ -304,6 +304,11 @@ def closure(triples: DataFrame, ontology: Ontology, max_rounds: int = MAX_ROUNDS
     return Closure(kept, wrong.orderBy("subject"), rounds, rederived)
 
 
+def _known(facts: DataFrame) -> DataFrame:
+    """Facts to be left out of a join: as many as the graph has, so they never go through the driver."""
+    return facts.select(*KEY).hint("merge")
+
+
 def _closed_links(scratch: Scratch, prop: str, facts: DataFrame, new: DataFrame, paths: dict[str, DataFrame]) -> DataFrame:
     """Facts that make a transitive property closed. ``paths`` keeps what is closed already, up to ``new``."""
     def links(rows: DataFrame) -> DataFrame:
@@ -313,13 +318,13 @@ def _closed_links(scratch: Scratch, prop: str, facts: DataFrame, new: DataFrame,
     known = links(facts)
     if prop in paths:
         old = paths[prop]
-        added = links(new).distinct().join(old, ["a", "b"], "left_anti")
+        added = links(new).distinct().join(old.hint("merge"), ["a", "b"], "left_anti")
         added = scratch.save(added, "added")
         more = scratch.save(reach.extended(scratch, old, added), "more")
         paths[prop] = old.unionByName(added).unionByName(more)
     else:
         paths[prop] = reach.closed(scratch, known)
-        more = scratch.save(paths[prop].join(known, ["a", "b"], "left_anti"), "more")
+        more = scratch.save(paths[prop].join(known.hint("merge"), ["a", "b"], "left_anti"), "more")
     return _fact(more, F.col("a"), F.lit(prop), F.col("b"), F.lit(IRI))
 
 

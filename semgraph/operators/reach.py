@@ -34,7 +34,7 @@ def closed(scratch: Scratch, links: DataFrame) -> DataFrame:
     paths, fresh = _steps(scratch, one, SHALLOW)
     paths = paths if fresh is None else _doubled(scratch, paths, fresh)
     loops = member.select(F.col("root").alias("a"), F.col("root").alias("b")).distinct()  # each member of a cycle reaches all, itself too
-    spread = paths.unionByName(loops.join(paths, ["a", "b"], "left_anti"))
+    spread = paths.unionByName(loops.join(_known(paths), ["a", "b"], "left_anti"))
     for end in ("a", "b"):
         names = member.select(F.col("root").alias(end), F.col("node").alias("_m"))
         spread = spread.join(names, end, "left").withColumn(end, F.coalesce("_m", end)).drop("_m")
@@ -46,7 +46,12 @@ def closed(scratch: Scratch, links: DataFrame) -> DataFrame:
 def extended(scratch: Scratch, paths: DataFrame, links: DataFrame) -> DataFrame:
     """New (a, b) that links (none of them in ``paths``) add to closed paths, the links left out."""
     both = scratch.save(paths.unionByName(links), "paths")
-    return _doubled(scratch, both, links).join(both, ["a", "b"], "left_anti")
+    return _doubled(scratch, both, links).join(_known(both), ["a", "b"], "left_anti")
+
+
+def _known(paths: DataFrame) -> DataFrame:
+    """Paths to be left out of a join: there may be many, so they never go through the driver."""
+    return paths.hint("merge")
 
 
 def _onward(links: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def _steps(scratch: Scratch, links: DataFrame, most: int) -> tuple[DataFrame, Da
     paths, fresh = links, links
     for _ in range(most):
         ahead = fresh.join(_onward(links), "b").select("a", F.col("c").alias("b"))
-        fresh, seen = scratch.measured(ahead.distinct().join(paths, ["a", "b"], "left_anti"), "step")
+        fresh, seen = scratch.measured(ahead.distinct().join(_known(paths), ["a", "b"], "left_anti"), "step")
         if not seen["n"]:
             return paths, None
         paths = paths.unionByName(fresh)
@@ -70,7 +75,7 @@ def _doubled(scratch: Scratch, paths: DataFrame, fresh: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         left = fresh.join(_onward(paths), "b").select("a", F.col("c").alias("b"))
         right = paths.join(_onward(fresh), "b").select("a", F.col("c").alias("b"))
-        found = left.unionByName(right).distinct().join(paths, ["a", "b"], "left_anti")
+        found = left.unionByName(right).distinct().join(_known(paths), ["a", "b"], "left_anti")
         fresh, seen = scratch.measured(found, "doubled")
         if not seen["n"]:
             return paths
