@@ -8,6 +8,7 @@ from semgraph.checks.registry import BASE, LINK_NAMES, NS, RDF_TYPE, query, shop
 from semgraph.functions.scratch import Scratch
 from semgraph.operators import analytics, communities, triples
 from semgraph.operators.components import connected_components
+from semgraph.operators.nodes import hashed
 from semgraph.plans import shop
 from semgraph.plans.mapping import ClassMap, Mapping, Relation
 
@@ -15,7 +16,8 @@ _names = ("inRegion", "inNation", "placedBy")
 
 
 def _edges(spark, folder, *names: str):
-    return analytics.entity_edges(shop_graph(spark, folder, *(names or _names)))
+    """Links as they are stated; the measures count each once."""
+    return analytics.entity_edges(shop_graph(spark, folder, *(names or _names)), distinct=False)
 
 
 _E = "e AS (SELECT DISTINCT subject AS src, object AS dst FROM t)"
@@ -71,14 +73,15 @@ def pagerank(spark, folder):
                                        "FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)", *LINK_NAMES))
 def pagerank_balance(spark, folder):
     """Ranks sum to one, and one more step of the definition leaves every rank where it is."""
-    edges = _edges(spark, folder, *LINK_NAMES)
-    ranks = analytics.pagerank(edges, tolerance=1e-8)
-    out = edges.groupBy("src").agg(F.count("*").alias("out"))
-    n = F.lit(float(analytics.edge_nodes(edges).count()))
-    held = ranks.join(out, ranks.node == out.src, "left")
+    g = hashed(_edges(spark, folder, *LINK_NAMES), "balance")
+    ranks = analytics.ranks(g, tolerance=1e-8)
+    out = g.links.groupBy("u").agg(F.count("*").alias("out"))
+    n = F.lit(float(g.nodes.count()))
+    held = g.scratch.save(ranks.join(out, ranks.id == out.u, "left").select("id", "pagerank", "out"), "held")
     loose = held.where("out IS NULL").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose")).first()["loose"]
-    sent = edges.join(held.select(F.col("node").alias("src"), (F.col("pagerank") / F.col("out")).alias("s")), "src").groupBy("dst").agg(F.sum("s").alias("s"))
-    again = ranks.join(sent, ranks.node == sent.dst, "left")
+    shares = held.where("out IS NOT NULL").select(F.col("id").alias("u"), (F.col("pagerank") / F.col("out")).alias("s"))
+    sent = g.links.join(shares, "u").groupBy("v").agg(F.sum("s").alias("s"))
+    again = held.join(sent, held.id == sent.v, "left")
     step = 0.85 * (F.coalesce("s", F.lit(0.0)) + F.lit(loose) / n) + 0.15 / n
     return again.agg(
         F.count("*").alias("nodes"), F.round(F.sum("pagerank"), 6).alias("total"),
@@ -115,7 +118,7 @@ _LINES = Mapping(
 
 def _line_edges(spark, folder):
     links = _LINES.restricted({NS + "contains", NS + "suppliedBy", NS + "filledBy"})
-    return analytics.entity_edges(triples.build(spark, _LINES, tables(spark, folder), maps=links))
+    return analytics.entity_edges(triples.build(spark, _LINES, tables(spark, folder), maps=links), distinct=False)
 
 
 @query("clustering", f"""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from semgraph.functions.scratch import FEW as BROADCAST_ROWS
 from semgraph.functions.scratch import Scratch
 from semgraph.functions.terms import IN_COMMUNITY, LITERAL, RDF_TYPE
-from semgraph.operators.components import connected_components
+from semgraph.operators.components import rooted
 from semgraph.operators.graph import FEW, with_label
+from semgraph.operators.nodes import Numbered, edge_nodes, hashed, numbered, positions, undirected  # noqa: F401
 from semgraph.operators.quantiles import exact_quantiles
 
 # PageRank settings, histogram width.
@@ -20,59 +21,15 @@ DAMPING, TOLERANCE, MAX_ITERATIONS = 0.85, 1e-6, 200
 BINS = 20
 
 
-def entity_edges(triples: DataFrame, include_inferred: bool = False) -> DataFrame:
-    """Distinct directed (src, dst) links between entities."""
+def entity_edges(triples: DataFrame, include_inferred: bool = False, distinct: bool = True) -> DataFrame:
+    """Directed (src, dst) links between entities; without ``distinct`` as often as stated, for measures that reduce them."""
     found = triples.where(
         (F.col("predicate") != RDF_TYPE) & (F.col("object_type") != LITERAL) & (F.col("predicate") != IN_COMMUNITY)
     )
     if not include_inferred:
         found = found.where(~F.col("inferred"))
-    return found.select(F.col("subject").alias("src"), F.col("object").alias("dst")).distinct()
-
-
-def edge_nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-
-
-def undirected(edges: DataFrame) -> DataFrame:
-    """Every link once, smaller end first; self-links stay."""
-    return edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-
-@dataclass
-class Numbered:
-    """A graph with ids in the order of its node names, written once for the rounds of an iterative measure.
-
-    Ids do not depend on partitions: what is decided by an id repeats exactly.
-    """
-
-    nodes: DataFrame
-    links: DataFrame
-    scratch: Scratch
-
-    def named(self, measured: DataFrame) -> DataFrame:
-        return self.nodes.join(measured, "id").drop("id")
-
-
-def positions(ordered: DataFrame, column: str, out: str, scratch: Scratch) -> DataFrame:
-    """0-based positions of a sorted frame without gathering it: offsets of sorted partitions are summed."""
-    placed = scratch.save(
-        ordered.select(column, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "placed"
-    )
-    totals = placed.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-    return placed.join(starts, "_part").select(column, (F.col("_before") + F.col("_at") - F.col("_from")).alias(out))
-
-
-def numbered(edges: DataFrame, job: str, *, directed: bool = True) -> Numbered:
-    scratch = Scratch(edges.sparkSession, job)
-    plain = edges.select("src", "dst") if directed else undirected(edges)
-    nodes = scratch.save(positions(edge_nodes(plain).orderBy("node"), "node", "id", scratch), "nodes")
-    left = nodes.select(F.col("node").alias("src"), F.col("id").alias("u"))
-    right = nodes.select(F.col("node").alias("dst"), F.col("id").alias("v"))
-    links = scratch.save(plain.join(left, "src").join(right, "dst").select("u", "v"), "links", sort=("u",))
-    return Numbered(nodes, links, scratch)
+    links = found.select(F.col("subject").alias("src"), F.col("object").alias("dst"))
+    return links.distinct() if distinct else links
 
 
 def both_ways(links: DataFrame) -> DataFrame:
@@ -83,13 +40,17 @@ def both_ways(links: DataFrame) -> DataFrame:
 
 def kpis(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
     """Nodes, directed edges, components, average degree and undirected density in one row."""
-    parts = components if components is not None else connected_components(edges)
-    nodes, groups = F.count("*"), F.count_if(F.col("node") == F.col("component"))
-    counted = parts.agg(nodes.alias("nodes"), groups.alias("components")).first()
+    g = hashed(edges, "kpis")
+    if components is None:
+        roots = g.scratch.save(rooted(g), "roots")
+        counted = roots.agg(F.count("*").alias("nodes"), F.count_if(F.col("id") == F.col("root")).alias("components")).first()
+    else:
+        groups = F.count_if(F.col("node") == F.col("component"))
+        counted = components.agg(F.count("*").alias("nodes"), groups.alias("components")).first()
     n = counted["nodes"]
-    single = undirected(edges).agg(F.count("*").alias("m"))
-    directed = edges.agg(F.count("*").alias("edges"))
-    m = single.first()["m"]
+    single = g.links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    m = single.agg(F.count("*").alias("m")).first()["m"]
+    directed = g.links.agg(F.count("*").alias("edges"))
     return directed.select(
         F.lit(n).cast("bigint").alias("nodes"), "edges", F.lit(counted["components"]).cast("bigint").alias("components"),
         F.round(F.col("edges") * 2 / max(n, 1), 4).alias("avg_degree"),
@@ -99,11 +60,13 @@ def kpis(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
 
 def degree(edges: DataFrame) -> DataFrame:
     """(node, degree, centrality) of the undirected graph; a self-link counts twice."""
-    single = undirected(edges)
-    ends = single.select(F.col("src").alias("node")).unionByName(single.select(F.col("dst").alias("node")))
-    counted = ends.groupBy("node").agg(F.count("*").alias("degree"))
-    n = counted.count()
-    return counted.withColumn("centrality", F.col("degree") / max(n - 1, 1))
+    g = hashed(edges, "degree", directed=False)
+    counted, seen = g.scratch.measured(_ends(g.links).groupBy("id").agg(F.count("*").alias("degree")), "degrees")
+    return g.named(counted).withColumn("centrality", F.col("degree") / max(seen["n"] - 1, 1))
+
+
+def _ends(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("u", "v")).alias("id"))
 
 
 def pagerank(
@@ -117,12 +80,19 @@ def pagerank(
     bounds the error, and the threshold is the largest that keeps it within ``tolerance``. A graph without cycles is
     done after as many rounds as its longest path has links.
     """
-    g = numbered(edges, "pagerank")
+    g = hashed(edges, "pagerank")
+    return g.named(ranks(g, damping, tolerance, max_iterations))
+
+
+def ranks(
+    g: Numbered, damping: float = DAMPING, tolerance: float = TOLERANCE, max_iterations: int = MAX_ITERATIONS
+) -> DataFrame:
+    """(id, pagerank) of a numbered graph."""
     n = g.nodes.count()
     if n == 0:
-        return g.nodes.select("node", F.lit(0.0).alias("pagerank"))
+        return g.nodes.select("id", F.lit(0.0).alias("pagerank"))
     out = g.links.groupBy("u").agg((F.lit(damping) / F.count("*")).alias("share"))
-    links = g.links.join(out, "u").repartition("u").persist()
+    links = g.links.join(g.hashable(out), "u").repartition("u").persist()
     try:
         return _pushed(g, links, n, damping, tolerance, max_iterations)
     finally:
@@ -144,8 +114,8 @@ def _pushed(g: Numbered, links: DataFrame, n: int, damping: float, tolerance: fl
         residual = residual.where(r <= least).unionByName(sent).groupBy("id").agg(F.sum("r").alias("r"))
     else:
         raise RuntimeError(f"PageRank did not settle in {max_iterations} rounds")
-    ranks = reduce(DataFrame.unionByName, ranked).groupBy("id").agg(F.sum("r").alias("rank"))
-    return g.scratch.save(g.named(ranks.select("id", (F.col("rank") / held).alias("pagerank"))), "ranks")
+    rank = reduce(DataFrame.unionByName, ranked).groupBy("id").agg((F.sum("r") / held).alias("pagerank"))
+    return g.scratch.save(rank, "ranks")
 
 
 def _pivots(nodes: DataFrame, count: int | None, seed: int) -> DataFrame:
@@ -233,21 +203,21 @@ def clustering(edges: DataFrame) -> DataFrame:
     linked, which one join tells. Each triangle is found once, at its rarest node, and stays a row: no neighbour
     list is ever made.
     """
-    g = numbered(edges, "clustering", directed=False)
+    g = hashed(edges, "clustering", directed=False)
     single = g.links.where("u != v")
-    ends = single.select(F.col("u").alias("id")).unionByName(single.select(F.col("v").alias("id")))
-    degrees = g.scratch.save(ends.groupBy("id").agg(F.count("*").alias("degree")), "degrees")
-    left = degrees.select(F.col("id").alias("u"), F.col("degree").alias("_a"))
-    right = degrees.select(F.col("id").alias("v"), F.col("degree").alias("_b"))
-    ranked = single.join(left, "u").join(right, "v")
-    low = F.struct(F.col("_a").alias("d"), F.col("u").alias("n"))
-    high = F.struct(F.col("_b").alias("d"), F.col("v").alias("n"))
-    turned = ranked.select(F.least(low, high)["n"].alias("at"), F.greatest(low, high)["n"].alias("to"))
-    turned = g.scratch.save(turned, "turned", sort=("at",))
-    # ids follow the order of names, and so do the ends of a link
+    degrees = g.scratch.save(_ends(single).groupBy("id").agg(F.count("*").alias("degree")), "degrees")
+    # places in the order of degrees tell the rarer end
+    place = positions(degrees.select("id", F.struct("degree", "id").alias("_by")).orderBy("_by"), "id", "place", g.scratch)
+    place = g.scratch.save(place, "place")
+    left = g.hashable(place.select(F.col("id").alias("u"), F.col("place").alias("_a")))
+    right = g.hashable(place.select(F.col("id").alias("v"), F.col("place").alias("_b")))
+    turned = single.join(left, "u").join(right, "v").select(F.least("_a", "_b").alias("at"), F.greatest("_a", "_b").alias("to"))
+    turned = g.scratch.save(turned, "turned", sort=("at",), hint=False)
     wedges = turned.select("at", F.col("to").alias("u")).join(turned.select("at", F.col("to").alias("v")), "at").where("u < v")
-    triangles = wedges.join(single.select("u", "v"), ["u", "v"])
-    credit = triangles.select(F.explode(F.array("at", "u", "v")).alias("id")).groupBy("id").agg(F.count("*").alias("triangles"))
+    closing = turned.select(F.col("at").alias("u"), F.col("to").alias("v"))
+    triangles = wedges.join(closing.hint("shuffle_hash"), ["u", "v"])
+    credit = triangles.select(F.explode(F.array("at", "u", "v")).alias("place")).groupBy("place").agg(F.count("*").alias("triangles"))
+    credit = place.join(credit, "place").select("id", "triangles")
     found = g.nodes.join(degrees, "id", "left").join(credit, "id", "left")
     triangles = F.coalesce("triangles", F.lit(0))
     ratio = F.try_divide(2.0 * triangles, F.col("degree") * (F.col("degree") - 1))
@@ -265,7 +235,7 @@ def centralities(edges: DataFrame, pivots: int | None) -> DataFrame:
 
 def histograms(measured: DataFrame, metrics: Sequence[str]) -> DataFrame:
     """Per metric: 20 equal bins, minimum, maximum, median and the 90th percentile by nearest rank."""
-    scratch = Scratch(measured.sparkSession, "histograms")
+    scratch = Scratch(measured.sparkSession, "histograms", BROADCAST_ROWS)
     cells = [c for m in metrics for c in (F.lit(m), F.col(m).cast("double"))]
     long = scratch.save(measured.select(F.stack(F.lit(len(metrics)), *cells).alias("metric", "value")), "long")
     bounds = long.groupBy("metric").agg(
@@ -293,6 +263,7 @@ def histograms(measured: DataFrame, metrics: Sequence[str]) -> DataFrame:
 def top_entities(measured: DataFrame, triples: DataFrame, count: int = 20) -> DataFrame:
     """Best ranked nodes with labels and all measures to six digits."""
     best = measured.orderBy(F.desc("pagerank"), "node").limit(count)
+    best = Scratch(measured.sparkSession, "top").save(best, "best")  # read twice, found once
     named = with_label(best, triples, "node", few=count <= FEW)
     return named.select(
         "node", "label", *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in measured.columns if c != "node"]
