@@ -64,14 +64,15 @@ def _coin(node: Column, round_: int, seed: int) -> Column:
 def _label_propagation(links: DataFrame, scratch: Scratch, seed: int) -> tuple[DataFrame, bool]:
     """Each node takes its neighbours' most frequent label, ties to the smallest; half of them per round."""
     labels = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "labels")
-    steps = links.where("u != v")
+    steps = links.where("u != v").select("u", "v")
     for round_ in range(MAX_ROUNDS):
         heard = steps.join(labels, steps.v == labels.id).groupBy("u", "label").agg(F.count("*").alias("votes"))
-        best = heard.groupBy("u").agg(
-            F.min(F.struct((-F.col("votes")).alias("votes"), "label")).alias("best")
+        mine = heard.join(labels.select(F.col("id").alias("u"), F.col("label").alias("_mine")), "u")
+        best = mine.groupBy("u").agg(
+            F.min(F.struct((-F.col("votes")).alias("votes"), "label")).alias("best"),
+            F.max(F.when(F.col("label") == F.col("_mine"), F.col("votes"))).alias("own"),
         )
-        own = heard.select(F.col("u").alias("id"), "label", F.col("votes").alias("own"))
-        moved = labels.join(best, labels.id == best.u, "left").join(own, ["id", "label"], "left")
+        moved = labels.join(best, labels.id == best.u, "left")
         better = F.coalesce("own", F.lit(0)) < -F.col("best.votes")
         takes = _coin(F.col("id"), round_, seed) & better
         moved = moved.select(
@@ -102,6 +103,14 @@ def modularity_of(links: DataFrame, labels: DataFrame, total: float, resolution:
     return inside / total - resolution * expected / (total * total)
 
 
+def _reached(contracted: DataFrame, total: float, resolution: float) -> float:
+    """Modularity of a labelling, read off the links of its communities."""
+    spread = _strengths(contracted).agg(F.sum(F.col("k") * F.col("k")).alias("out"))
+    inside = contracted.where("u = v").agg(F.sum("w").alias("in"))
+    parts = inside.crossJoin(spread).first()
+    return (parts["in"] or 0.0) / total - resolution * (parts["out"] or 0.0) / (total * total)
+
+
 def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0) -> float:
     """Modularity of (node, community) over an edge list."""
     single = undirected(edges)
@@ -116,11 +125,12 @@ def modularity(edges: DataFrame, membership: DataFrame, resolution: float = 1.0)
 def _louvain(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -> tuple[DataFrame, bool]:
     total = links.agg(F.sum("w").alias("w")).first()["w"] or 1.0
     membership = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "member")
-    best = modularity_of(links, membership, total, resolution)
+    best = _reached(links, total, resolution)
     level_links, settled = links, True
     for level in range(MAX_LEVELS):
         labels, quiet = _local_moves(level_links, scratch, total, resolution, seed + level)
-        gained = modularity_of(level_links, labels, total, resolution)
+        level_links = scratch.save(_contracted(level_links, labels), "contracted")
+        gained = _reached(level_links, total, resolution)
         if gained < best + SMALLEST_GAIN:
             return membership, settled
         best, settled = gained, settled and quiet
@@ -128,7 +138,6 @@ def _louvain(links: DataFrame, scratch: Scratch, resolution: float, seed: int) -
         membership = scratch.save(
             membership.join(onward, "label").select("id", F.col("_to").alias("label")), "member"
         )
-        level_links = scratch.save(_contracted(level_links, labels), "contracted")
     return membership, False
 
 
@@ -189,7 +198,7 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
     """
     total = links.agg(F.sum("w").alias("w")).first()["w"] or 1.0
     membership = scratch.save(links.select(F.col("u").alias("id")).distinct().withColumn("label", F.col("id")), "member")
-    best_membership, best = membership, modularity_of(links, membership, total, resolution)
+    best, kept, steps = _reached(links, total, resolution), 0, []
     current = links
     for round_ in range(MAX_ROUNDS):
         strength = scratch.save(_strengths(current), "strength")
@@ -204,7 +213,7 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
         ).select("u", F.col("c.v").alias("v"))
         choice, seen = scratch.measured(choice, "choice")
         if not seen["n"]:
-            return best_membership, True
+            return _followed(membership, steps[:kept], scratch), True
         back = choice.select(F.col("u").alias("v"), F.col("v").alias("_back"))
         judged = choice.join(back, "v", "left").withColumn("_mutual", F.coalesce(F.col("_back") == F.col("u"), F.lit(False)))
         sends = ~_coin(F.col("u"), round_, seed) & _coin(F.col("v"), round_, seed)
@@ -219,13 +228,24 @@ def _agglomerate(links: DataFrame, scratch: Scratch, resolution: float, seed: in
             "id", F.coalesce("v", "id").alias("label")
         )
         labels = scratch.save(labels, "labels")
-        onward = labels.select(F.col("id").alias("label"), F.col("label").alias("_to"))
-        membership = scratch.save(membership.join(onward, "label").select("id", F.col("_to").alias("label")), "member")
+        steps.append(labels)
         current = scratch.save(_contracted(current, labels), "contracted")
-        reached = modularity_of(links, membership, total, resolution)
+        reached = _reached(current, total, resolution)
         if reached > best:
-            best, best_membership = reached, membership
-    return best_membership, False
+            best, kept = reached, len(steps)
+    return _followed(membership, steps[:kept], scratch), False
+
+
+def _followed(membership: DataFrame, steps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Where merges in turn take each node. The last are the smallest and are put together first."""
+    to = None
+    for labels in (*reversed(steps), membership):
+        if to is None:
+            to = labels
+            continue
+        onward = to.select(F.col("id").alias("label"), F.col("label").alias("_to"))
+        to = scratch.save(labels.join(onward, "label").select("id", F.col("_to").alias("label")), "member")
+    return to
 
 
 def summary(membership: DataFrame, degrees: DataFrame, triples: DataFrame) -> DataFrame:
