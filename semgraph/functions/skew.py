@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semgraph.functions.terms import quoted
@@ -18,6 +18,25 @@ from semgraph.functions.terms import quoted
 SHARE, SALTS = 1 / 64, 64
 #: A key with fewer rows is no burden for a task.
 LEAST = 100_000
+#: Tables of more than LARGE rows are dealt so that a task has some TASK_ROWS of them, whatever the session says.
+LARGE, TASK_ROWS = 1_000_000, 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """How many tasks carry so many rows; None for few rows, which are left to the session.
+
+    Never fewer tasks than the session has for a shuffle: a join would deal both its sides again.
+    """
+    if rows <= LARGE:
+        return None
+    return max(-(-rows // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Rows by key in tasks of a bounded size. What sorts or groups them next does so here, not in the tasks of a scan,
+    whose rows grow with the files."""
+    tasks = tasks_for(df.sparkSession, rows)
+    return df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
 
 
 def split_join(

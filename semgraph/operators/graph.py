@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import Scratch
-from semgraph.functions.skew import split_join
+from semgraph.functions.skew import split_join, tasks_for
 from semgraph.functions.terms import (
     LITERAL, RDF_TYPE, RDFS_LABEL, XSD, extracted_number, fallback_label, is_bnode, local_name, quoted,
 )
@@ -364,8 +364,13 @@ def overview(triples: DataFrame, limit: int = 300) -> DataFrame:
 
 # -- aggregation along paths ---------------------------------------------------------------------------------
 
-def _walk(df: DataFrame, triples: DataFrame, steps: Sequence[str], start: str, end: str, how: str) -> DataFrame:
-    """Follow ``P`` forwards or ``^P`` backwards from column ``start``; the end lands in ``end``."""
+def _walk(
+    df: DataFrame, triples: DataFrame, steps: Sequence[str], start: str, end: str, how: str, tasks: int | None = None
+) -> DataFrame:
+    """Follow ``P`` forwards or ``^P`` backwards from column ``start``; the end lands in ``end``.
+
+    Links of a large graph are dealt over ``tasks`` tasks, and the rows they are joined to with them.
+    """
     at = start
     for i, step in enumerate(steps):
         back = step.startswith("^")
@@ -374,6 +379,7 @@ def _walk(df: DataFrame, triples: DataFrame, steps: Sequence[str], start: str, e
         hop = triples.where(F.col("predicate") == step.lstrip("^")).select(
             F.col(here).alias("_at"), F.col(there).alias(to)
         )
+        hop = hop.repartition(tasks, "_at") if tasks else hop
         df = df.join(hop, df[at] == hop["_at"], how).drop("_at")
         if at != start:
             df = df.drop(at)
@@ -403,8 +409,11 @@ def aggregate(
     for n, (path, value) in enumerate(filters):
         rows = _walk(rows, triples, path, "_i", f"_f{n}", "inner").where(F.col(f"_f{n}") == value).drop(f"_f{n}")
     steps = [group_by] if isinstance(group_by, str) else list(group_by)
+    followed = {s.lstrip("^") for s in steps}
+    # Sorts and groups of a task hold its rows in memory: their number follows the links, not the session.
+    tasks = tasks_for(triples.sparkSession, triples.where(F.col("predicate").isin(*followed)).count()) if steps else None
     if steps:
-        rows = _walk(rows, triples, steps, "_i", "_g", "left")
+        rows = _walk(rows, triples, steps, "_i", "_g", "left", tasks)
         width = {"year": 4, "month": 7}.get(group_kind)
         group = F.substring("_g", 1, width) if width else F.col("_g")
     else:
@@ -413,6 +422,7 @@ def aggregate(
         values = triples.where(F.col("predicate") == measure).select(
             F.col("subject").alias("_m"), extracted_number(F.col("object")).alias("_v")
         )
+        values = values.repartition(tasks, "_m") if tasks else values
         rows = rows.join(values, rows["_i"] == values["_m"], "left").drop("_m")
     else:
         rows = rows.withColumn("_v", F.lit(None).cast("double"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import BASE, EX
+from semgraph.functions import skew
 from semgraph.functions.skew import split_join
 from semgraph.operators import attach, cohorts, communities, dq, graph
 from semgraph.operators.cohorts import Cohort, Criterion
@@ -116,3 +117,16 @@ def test_communities_do_not_follow_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", shuffle)
     assert seen[0] == seen[1] and BASE
+
+
+def test_tasks_of_an_aggregate_follow_its_links(spark, hr, monkeypatch):
+    """Links of a large graph are dealt over a number of tasks that grows with them; the result stays."""
+    ask = lambda: graph.aggregate(
+        hr.graph, EX + "Employee", measure=EX + "salary", group_by=[EX + "worksIn", EX + "name"], label=False, dedupe=True)
+    plain = sorted(map(tuple, ask().collect()), key=str)
+    monkeypatch.setattr(skew, "LARGE", 4)
+    monkeypatch.setattr(skew, "TASK_ROWS", 1)
+    links = hr.graph.where(F.col("predicate").isin(EX + "worksIn", EX + "name")).count()
+    many = ask()
+    assert links > 4 and f", {links}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, many.collect()), key=str) == plain
