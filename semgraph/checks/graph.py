@@ -172,7 +172,7 @@ FROM nation JOIN region ON n_regionkey = r_regionkey
 UNION ALL SELECT '{BASE}Nation/' || c_nationkey, 'incoming', '{NS}inNation', '{BASE}Customer/' || c_custkey, c_name FROM customer
 UNION ALL SELECT '{BASE}Nation/' || s_nationkey, 'incoming', '{NS}inNation', '{BASE}Supplier/' || s_suppkey, s_name FROM supplier""")
 def entity_neighbours(spark, folder):
-    found = shop_graph(spark, folder)
+    found = shop_graph(spark, folder, layout="branches")
     typed = found.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.NATION))
     return graph.neighbours(found, typed.select(F.col("subject").alias("iri")))
 
@@ -183,7 +183,7 @@ SELECT '{BASE}Region/' || k AS iri, 'incoming' AS direction, '{NS}inRegion' AS p
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY neighbour) <= 3""")
 def entity_neighbours_first(spark, folder):
     """The first three nations of each region."""
-    found = shop_graph(spark, folder)
+    found = shop_graph(spark, folder, layout="branches")
     typed = found.where((F.col("predicate") == RDF_TYPE) & (F.col("object") == shop.REGION))
     return graph.neighbours(found, typed.select(F.col("subject").alias("iri")), limit=3)
 

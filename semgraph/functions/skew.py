@@ -41,12 +41,13 @@ def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
 
 def split_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", *, share: float = SHARE, salts: int = SALTS,
-    least: int = LEAST,
+    least: int = LEAST, hint: str | None = None,
 ) -> DataFrame:
     """``big.join(small, on, how)`` for inner, left, left_semi and left_anti, with the rows of hot keys spread.
 
     ``small`` has one row per key at most. Its rows of hot keys are repeated for every salt, all others are joined
-    plainly. Rows of ``big`` with a NULL key match nothing and are dealt evenly.
+    plainly. Rows of ``big`` with a NULL key match nothing and are dealt evenly. ``hint`` names the way to join where
+    sizes of files mislead.
     """
     keys = [F.col(quoted(c)) for c in on]
     missing = reduce(lambda a, b: a | b, [k.isNull() for k in keys])
@@ -58,4 +59,4 @@ def split_join(
     salted = big.join(hot, list(on), "left").withColumn("_salt", F.when(missing | F.col("_hot"), turn).otherwise(0)).drop("_hot")
     every = F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
     repeated = small.join(hot, list(on), "left").withColumn("_salt", every).drop("_hot")
-    return salted.join(repeated, [*on, "_salt"], how).drop("_salt")
+    return salted.join(repeated.hint(hint) if hint else repeated, [*on, "_salt"], how).drop("_salt")

@@ -117,7 +117,7 @@ def label_rank(predicate: Column) -> Column:
 def labels(triples: DataFrame) -> DataFrame:
     """(subject, label) of everything that carries a naming literal."""
     named = triples.where(F.col("object_type") == LITERAL).withColumn("_rank", label_rank(F.col("predicate")))
-    named = named.where(F.col("_rank").isNotNull())
+    named = named.where(F.col("_rank").isNotNull()).repartition("subject")  # sorted there, not in the tasks of a scan
     return named.groupBy("subject").agg(
         F.min_by("object", F.struct("_rank", "predicate", "object")).alias("label")
     )
@@ -132,8 +132,8 @@ def with_label(df: DataFrame, triples: DataFrame, iri: str, out: str = "label",
     found = labels(names).select(F.col("subject").alias("_iri"), F.col("label").alias("_label"))
     if few:
         joined = df.join(F.broadcast(found), df[quoted(iri)] == F.col("_iri"), "left")
-    else:  # most rows may name one entity
-        joined = split_join(df.withColumn("_iri", F.col(quoted(iri))), found, ["_iri"], "left")
+    else:  # most rows may name one entity; names are many times larger than their files: never sent to every task
+        joined = split_join(df.withColumn("_iri", F.col(quoted(iri))), found, ["_iri"], "left", hint="merge")
     return joined.withColumn(out, F.coalesce("_label", fallback_label(F.col(iri)))).drop("_iri", "_label")
 
 
@@ -240,13 +240,19 @@ def relationships(triples: DataFrame) -> DataFrame:
     return triples.where((F.col("predicate") != RDF_TYPE) & (F.col("object_type") != LITERAL))
 
 
+def _asked(iris: DataFrame, column: str) -> DataFrame:
+    """The distinct IRIs, written and counted: a few are sent to the graph, so that it is not shuffled for them."""
+    wanted = iris.select(F.col(column).alias("iri")).distinct()
+    return Scratch(iris.sparkSession, "asked", few=FEW).save(wanted, "iris")
+
+
 def describe(triples: DataFrame, iris: DataFrame, column: str = "iri") -> DataFrame:
     """Everything known about each IRI, one row per fact.
 
     Sections are ``type``, ``attribute``, ``outgoing`` and ``incoming``. Facts stay rows, not nested
     lists, because a hub has as many incoming facts as the graph has edges.
     """
-    wanted = iris.select(F.col(column).alias("iri")).distinct()
+    wanted = _asked(iris, column)
     out = triples.join(wanted, triples.subject == wanted.iri)
     section = (
         F.when(F.col("object_type") == LITERAL, "attribute")
@@ -300,12 +306,14 @@ def neighbours(triples: DataFrame, iris: DataFrame, column: str = "iri", limit:
 
     Links stay rows, for a hub has as many as the graph has edges.
     """
-    facts = describe(triples, iris, column).where(F.col("section").isin("outgoing", "incoming"))
-    links = facts.select("iri", F.col("section").alias("direction"), "predicate", F.col("value").alias("neighbour")).distinct()
+    facts = describe(triples.where(F.col("object_type") != LITERAL), iris, column).where(F.col("section").isin("outgoing", "incoming"))
+    links = facts.select("iri", F.col("section").alias("direction"), "predicate", F.col("value").alias("neighbour"))
+    links = links.repartition(*links.columns).distinct()  # grouped there, not in the tasks of a scan
     if limit is not None:
         order = Window.partitionBy("iri", "direction").orderBy("predicate", "neighbour")
         links = links.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= limit).drop("_place")
-    return with_label(links, triples, "neighbour")
+    # Written once: the join with names counts its keys first.
+    return with_label(Scratch(triples.sparkSession, "neighbours").save(links, "links"), triples, "neighbour")
 
 
 def neighbourhood(

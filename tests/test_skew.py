@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import BASE, EX
 from semgraph.functions import skew
 from semgraph.functions.skew import split_join
+from semgraph.functions.terms import RDF_TYPE
 from semgraph.operators import attach, cohorts, communities, dq, graph
 from semgraph.operators.cohorts import Cohort, Criterion
 from semgraph.operators.dq import DqRule
@@ -130,3 +131,19 @@ def test_tasks_of_an_aggregate_follow_its_links(spark, hr, monkeypatch):
     many = ask()
     assert links > 4 and f", {links}), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, many.collect()), key=str) == plain
+
+
+def test_neighbours_of_a_few_leave_the_graph_where_it_is(spark, hr, tmp_path, monkeypatch):
+    """A few entities are sent to the graph: only their links are shuffled. Instances of a class stay its neighbours."""
+    hr.graph.write.parquet(str(tmp_path / "graph"))
+    stored, plans, save = spark.read.parquet(str(tmp_path / "graph")), {}, graph.Scratch.save
+    monkeypatch.setattr(graph.Scratch, "save", lambda self, df, name="step", *a, **k: (
+        plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}), save(self, df, name, *a, **k))[1])
+    asked = spark.createDataFrame([(f"{BASE}Department/10",), (EX + "Department",)], "iri string")
+    found = {tuple(r) for r in graph.neighbours(stored, asked).collect()}
+    assert found == {
+        (f"{BASE}Department/10", "incoming", EX + "worksIn", f"{BASE}Employee/1", "SMITH"),
+        *((EX + "Department", "incoming", RDF_TYPE, f"{BASE}Department/{k}", n) for k, n in ((10, "SALES"), (20, "RESEARCH")))}
+    assert plans["links"].count("rightHint=(strategy=broadcast)") == 2
+    named = graph.labels(stored)._jdf.queryExecution().executedPlan().toString()
+    assert named.count("partial_min_by") == 1 and named.index("partial_min_by") < named.index("Exchange")  # above the shuffle
