@@ -29,7 +29,7 @@ def tasks_for(spark: SparkSession, rows: int) -> int | None:
     """
     if rows <= LARGE:
         return None
-    return max(-(-rows // TASK_ROWS), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(int(-(-rows // TASK_ROWS)), int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:

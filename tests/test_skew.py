@@ -9,10 +9,11 @@ from conftest import BASE, EX
 from semgraph.functions import skew
 from semgraph.functions.skew import split_join
 from semgraph.functions.terms import RDF_TYPE
-from semgraph.operators import attach, cohorts, communities, dq, graph
+from semgraph.operators import attach, cohorts, communities, dq, graph, rules
 from semgraph.operators.cohorts import Cohort, Criterion
 from semgraph.operators.dq import DqRule
 from semgraph.operators.profile import profile
+from semgraph.operators.rules import Atom, Rule
 
 
 def lopsided(spark):
@@ -147,3 +148,20 @@ def test_neighbours_of_a_few_leave_the_graph_where_it_is(spark, hr, tmp_path, mo
     assert plans["links"].count("rightHint=(strategy=broadcast)") == 2
     named = graph.labels(stored)._jdf.queryExecution().executedPlan().toString()
     assert named.count("partial_min_by") == 1 and named.index("partial_min_by") < named.index("Exchange")  # above the shuffle
+
+
+def test_new_facts_of_rules_are_sorted_behind_a_shuffle(spark, hr, monkeypatch):
+    """Facts are counted and dealt by number; none is sorted or grouped in the tasks of a scan."""
+    is_, has = lambda c, x: Atom("class", EX + c, (x,)), lambda p, x, y: Atom("property", EX + p, (x, y))
+    chain = [Rule("boss", (has("reportsTo", "?a", "?b"),), (is_("Boss", "?b"),)),
+             Rule("led", (has("reportsTo", "?a", "?b"), is_("Boss", "?b")), (is_("Led", "?a"),))]
+    plain = rules.infer(hr.graph, chain)
+    asked, plans, save = set(map(tuple, plain.triples.collect())), [], rules.Scratch.save
+    monkeypatch.setattr(rules.Scratch, "save", lambda self, df, *a, **k: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), save(self, df, *a, **k))[1])
+    monkeypatch.setattr(skew, "LARGE", 1)
+    monkeypatch.setattr(skew, "TASK_ROWS", 0.25)
+    many = rules.infer(hr.graph, chain)
+    assert set(map(tuple, many.triples.collect())) == asked and len(asked) == 3
+    assert len(plans) == 3 and all("REPARTITION_BY_NUM" in p for p in plans)
+    assert all(p.index("partial_min(") < p.index("REPARTITION_BY_NUM") for p in plans[1:])
