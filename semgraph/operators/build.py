@@ -83,8 +83,8 @@ def build(
     elif chosen.changed or chosen.dropped:
         maps = [m for m in mapping.triple_maps() if m.source.table in chosen.changed]
         loaded = store.load(
-            triples.build(spark, mapping, resolve, maps=maps), {t: _joint(marks, needs[t]) for t in chosen.changed},
-            {t: hashes[t] for t in chosen.changed}, chosen.dropped,
+            triples.build(spark, mapping, resolve, maps=maps, layout="branches"), {t: _joint(marks, needs[t]) for t in chosen.changed},
+            {t: hashes[t] for t in chosen.changed}, chosen.dropped, lying=True,
         )
     kept = sum(known[t].rows for t in chosen.unchanged)
     steps = spark.createDataFrame(

@@ -96,6 +96,17 @@ def test_incremental_builds(spark, hr, kept, tmp_path, method):
     assert again.steps.where("step = 'finalize'").first()["rows"] == 22
 
 
+def test_a_build_writes_rows_as_they_come(spark, hr, kept, tmp_path, monkeypatch):
+    """Nothing is shuffled or sorted for a build: a file holds one predicate; the session is left as it was."""
+    store, setting = GraphStore(spark, str(tmp_path / "graph")), "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(setting)
+    build.build(spark, hr.mapping, kept, store)
+    files = store.read().groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("predicate").alias("n"))
+    assert {r["n"] for r in files.collect()} == {1} and spark.conf.get(setting) == before
+    columns = hr.graph.columns
+    assert sorted(map(tuple, store.read().select(columns).collect()), key=str) == sorted(map(tuple, hr.graph.collect()), key=str)
+
+
 def test_changed_files_of_equal_size_are_seen(spark, hr, kept):
     mark = lambda method: signatures(spark, ["departments"], kept, method).first()
     files, rows = mark("files"), mark(None)
