@@ -8,7 +8,7 @@ from semgraph.checks.registry import BASE, LINK_NAMES, NS, RDF_TYPE, query, shop
 from semgraph.functions.scratch import Scratch
 from semgraph.operators import analytics, communities, triples
 from semgraph.operators.components import connected_components
-from semgraph.operators.nodes import hashed
+from semgraph.operators.nodes import hashed, undirected
 from semgraph.plans import shop
 from semgraph.plans.mapping import ClassMap, Mapping, Relation
 
@@ -182,9 +182,10 @@ SELECT algorithm, count(DISTINCT node) AS nodes, true AS good FROM x, (VALUES ('
 GROUP BY 1""", *_names))
 def community_quality(spark, folder):
     """Every node is in one community, and modularity reaches what the links of this graph give."""
-    edges, rows = _edges(spark, folder), None
+    edges, rows = Scratch(spark, "quality").save(undirected(_edges(spark, folder))), None  # read by all three
+    graph = communities.prepared(edges)
     for algorithm, least in (("louvain", 0.5), ("label_propagation", 0.3), ("greedy_modularity", 0.4)):
-        found = Scratch(spark, "quality").save(communities.communities(edges, algorithm), "found")
+        found = Scratch(spark, "quality").save(communities.communities_of(graph, algorithm), "found")
         good = communities.modularity(edges, found) >= least
         row = found.agg(F.countDistinct("node").alias("nodes")).select(F.lit(algorithm).alias("algorithm"), "nodes", F.lit(good).alias("good"))
         rows = row if rows is None else rows.unionByName(row)

@@ -114,6 +114,30 @@ def test_communities(edges, algorithm, least):
     assert sizes == sorted(sizes, reverse=True)
 
 
+def test_leaves_are_folded_into_their_hosts(spark):
+    """A pair keeps its smaller node, a node with a loop is no leaf, and no weight is lost; one numbering serves all."""
+    pairs = [(1, 2), (1, 3), (1, 4), (4, 5), (4, 6), (5, 6), (8, 9), (6, 7)]
+    rows = [(a, b, 1.0) for a, b in pairs] + [(b, a, 1.0) for a, b in pairs] + [(7, 7, 2.0)]
+    folded, leaves = communities._folded(spark.createDataFrame(rows, "u long, v long, w double"), Scratch(spark, "test"))
+    assert {tuple(r) for r in leaves.collect()} == {(2, 1), (3, 1), (9, 8)}
+    got = {(r["u"], r["v"]): r["w"] for r in folded.collect()}
+    assert got[1, 1] == 4.0 and got[8, 8] == got[7, 7] == 2.0 and sum(got.values()) == sum(w for *_, w in rows)
+
+
+def test_greedy_merging_of_stars_settles(spark, monkeypatch):
+    """Hubs take all that gain by it in a round, not one member each; leaves stay with what they hang on."""
+    rounds, measured = [], Scratch.measured
+    monkeypatch.setattr(Scratch, "measured", lambda self, df, name, **k: (rounds.append(name), measured(self, df, name, **k))[1])
+    links = [(f"c{h}_{c}", f"z{h}") for h in range(3) for c in range(50)] + [("z0", "z1"), ("z1", "z2"), ("y", "x")]
+    links += [(f"d{h}_{c}_{o}", f"c{h}_{c}") for h in range(3) for c in range(50) for o in range(2)]
+    df = spark.createDataFrame(links, "src string, dst string")
+    found = communities.communities(df, "greedy_modularity")
+    rows = {r["node"]: r for r in found.collect()}
+    assert len(rows) == 455 and all(r["converged"] for r in rows.values())
+    assert all(rows[a]["community"] == rows[b]["community"] for a, b in links if a[0] in "dy")
+    assert communities.modularity(df, found) > 0.6 and rounds.count("choice") <= 8
+
+
 def test_health_and_layers(hr):
     rows = {r["type"].rsplit("#")[-1]: (r["instances"], r["relation_predicates"], r["flag"]) for r in analytics.health(hr.graph).collect()}
     assert rows == {"Employee": (4, 3, None), "Department": (2, 0, "flat")}
