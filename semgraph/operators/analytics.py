@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import FEW as BROADCAST_ROWS
@@ -200,8 +200,9 @@ def clustering(edges: DataFrame) -> DataFrame:
 
     Links point from the rarer to the more frequent end, so a hub keeps few outgoing links (at most the
     square root of twice the number of links). Two links out of one node make a wedge; it is a triangle if its ends are
-    linked, which one join tells. Each triangle is found once, at its rarest node, and stays a row: no neighbour
-    list is ever made.
+    linked. Each node has a mark of where its own links lead, 64 bits; wedges that a mark shows to be open are never
+    moved, of the others one join tells. Each triangle is found once, at its rarest node, and stays a row: no neighbour
+    list is ever made. What a step has used up is deleted.
     """
     g = hashed(edges, "clustering", directed=False)
     single = g.links.where("u != v")
@@ -209,15 +210,27 @@ def clustering(edges: DataFrame) -> DataFrame:
     # places in the order of degrees tell the rarer end
     place = positions(degrees.select("id", F.struct("degree", "id").alias("_by")).orderBy("_by"), "id", "place", g.scratch)
     place = g.scratch.save(place, "place")
+    g.scratch.forget("placed")
     left = g.hashable(place.select(F.col("id").alias("u"), F.col("place").alias("_a")))
     right = g.hashable(place.select(F.col("id").alias("v"), F.col("place").alias("_b")))
-    turned = single.join(left, "u").join(right, "v").select(F.least("_a", "_b").alias("at"), F.greatest("_a", "_b").alias("to"))
-    turned = g.scratch.save(turned, "turned", sort=("at",), hint=False)
-    wedges = turned.select("at", F.col("to").alias("u")).join(turned.select("at", F.col("to").alias("v")), "at").where("u < v")
+    half = g.scratch.save(single.join(left, "u").select("_a", "v"), "half", hint=False)
+    g.scratch.forget("links")
+    turned = half.join(right, "v").select(F.least("_a", "_b").alias("at"), F.greatest("_a", "_b").alias("to"))
+    turned = g.scratch.save(turned, "turned", hint=False)
+    g.scratch.forget("half")
+
+    def bit(place: str) -> Column:
+        return F.expr(f"shiftleft(1L, cast(pmod(xxhash64({place}), 64) AS int))")
+
+    marks = g.hashable(turned.groupBy(F.col("at").alias("u")).agg(F.bit_or(bit("to")).alias("_mark")))
+    marked = g.scratch.save(turned.select("at", F.col("to").alias("u")).join(marks, "u"), "marked", hint=False)
+    wedges = marked.join(turned.select("at", F.col("to").alias("v")), "at").where("u < v")
+    wedges = wedges.where(F.col("_mark").bitwiseAND(bit("v")) != 0).select("at", "u", "v")
     closing = turned.select(F.col("at").alias("u"), F.col("to").alias("v"))
     triangles = wedges.join(closing.hint("shuffle_hash"), ["u", "v"])
     credit = triangles.select(F.explode(F.array("at", "u", "v")).alias("place")).groupBy("place").agg(F.count("*").alias("triangles"))
-    credit = place.join(credit, "place").select("id", "triangles")
+    credit = g.scratch.save(place.join(credit, "place").select("id", "triangles"), "credit")
+    g.scratch.forget("turned", "marked", "place")
     found = g.nodes.join(degrees, "id", "left").join(credit, "id", "left")
     triangles = F.coalesce("triangles", F.lit(0))
     ratio = F.try_divide(2.0 * triangles, F.col("degree") * (F.col("degree") - 1))
