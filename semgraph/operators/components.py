@@ -28,22 +28,23 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
 
 def rooted(g: Numbered) -> DataFrame:
-    """(id, root) for every node of a numbered graph; the root is a node of its component.
+    """(id, root) for every node of a numbered graph of undirected links, each once; the root is a node of its component.
 
     First each node is taken into the smallest of itself and its neighbours. That leaves a small part of the nodes and
-    links for the rounds; what they find is handed back.
+    links for the rounds; what they find is handed back. The links of ``g`` are used up: no copy of them is left.
     """
     scratch = g.scratch
-    links = scratch.save(_ordered(g.links), "stars", hint=False)
+    links = g.links.where("u != v")
     taken = []
     for _ in range(CONTRACTIONS):
         least = _least(links, scratch, "taken")
         taken.append(least.select(F.col("u").alias("id"), F.col("m").alias("root")))
         for end in ("u", "v"):
             to = least.select(F.col("u").alias(end), F.col("m").alias("_to"))
-            links = links.join(g.hashable(to), end).withColumn(end, F.col("_to")).drop("_to")
-        links = scratch.save(_ordered(links), "stars", hint=False)
-        scratch.forget("stars", keep=1)
+            links = links.join(g.hashable(to), end).select(*[F.col("_to" if c == end else c).alias(c) for c in ("u", "v")])
+            links = scratch.save(_ordered(links) if end == "v" else links, "stars", hint=False)
+            scratch.forget("links")
+            scratch.forget("stars", keep=1)
     roots = _starred(links, scratch)
     for earlier in reversed(taken):
         onward = roots.select(F.col("id").alias("root"), F.col("root").alias("_to"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from semgraph.functions.scratch import FEW, Scratch
@@ -17,6 +17,8 @@ class Numbered:
     nodes: DataFrame
     links: DataFrame
     scratch: Scratch
+    #: Different directed links that undirected ones stand for, where they were counted.
+    stated: int | None = None
 
     @staticmethod
     def hashable(per_node: DataFrame) -> DataFrame:
@@ -72,12 +74,18 @@ def hashed(edges: DataFrame, job: str, *, directed: bool = True, bits: int = 64)
     def number(name: str):
         return F.xxhash64(name) if bits == 64 else F.pmod(F.xxhash64(name), F.lit(1 << bits))
 
-    links = edges.select(number("src").alias("u"), number("dst").alias("v"))
-    if not directed:
-        links = links.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    links, seen_links = edges.select(number("src").alias("u"), number("dst").alias("v")), Observation()
+    if directed:
+        links = links.distinct()
+    else:  # one bit for each way that a link is stated
+        ways = F.bit_or(F.when(F.col("u") <= F.col("v"), 1).otherwise(2)).alias("ways")
+        links = links.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(ways)
+        links = links.observe(seen_links, F.coalesce(F.sum(F.bit_count("ways")), F.lit(0)).alias("stated")).select("u", "v")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node"))
     found = ends.groupBy(number("node").alias("id")).agg(F.min("node").alias("node"), F.max("node").alias("_other"))
     nodes, seen = scratch.measured(found, "nodes", shared=F.count_if(F.col("node") != F.col("_other")))
     if seen["shared"]:
-        return numbered(edges.distinct(), job, directed=directed)
-    return Numbered(nodes.drop("_other"), scratch.save(links.distinct(), "links", hint=False), scratch)
+        g = numbered(edges.distinct(), job, directed=directed)
+        return replace(g, stated=edges.select("src", "dst").distinct().count())
+    links = scratch.save(links, "links", hint=False)
+    return Numbered(nodes.drop("_other"), links, scratch, None if directed else seen_links.get["stated"])
