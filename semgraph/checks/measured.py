@@ -151,9 +151,7 @@ def degree_histogram(spark, folder):
 @query("top_entities")
 def top_entities(spark, folder):
     found = shop_graph(spark, folder, "name")
-    edges = _edges(spark, folder, *LINK_NAMES)
-    measured = analytics.degree(edges).select("node", F.col("centrality").alias("degree")).join(
-        analytics.pagerank(edges), "node")
+    measured = analytics.best_ranked(_edges(spark, folder, *LINK_NAMES), 20)
     return analytics.top_entities(measured, found, 20)
 
 

@@ -273,6 +273,23 @@ def histograms(measured: DataFrame, metrics: Sequence[str]) -> DataFrame:
     return bins.join(bounds.drop("_n"), "metric").join(at, "metric")
 
 
+def best_ranked(edges: DataFrame, count: int) -> DataFrame:
+    """(node, degree, pagerank) of the ``count`` nodes of highest rank and of all that tie with the last of them.
+
+    Names and degrees, as of ``degree``, are looked up for these nodes only.
+    """
+    g = hashed(edges, "best")
+    found = ranks(g)
+    least = found.select("pagerank").orderBy(F.desc("pagerank")).limit(count).agg(F.min("pagerank").alias("least")).first()["least"]
+    best = g.scratch.save(found.where(F.col("pagerank") >= F.lit(least).cast("double")), "best")
+    ids = best.select("id")
+    near = [g.links.join(ids, g.links[end] == ids.id, "left_semi") for end in ("u", "v")]
+    near = near[0].unionByName(near[1]).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    degrees = _ends(near).groupBy("id").agg(F.count("*").alias("degree"))
+    share = (F.col("degree") / max(g.nodes.count() - 1, 1)).alias("degree")
+    return g.named(best.join(degrees, "id").select("id", share, "pagerank"))
+
+
 def top_entities(measured: DataFrame, triples: DataFrame, count: int = 20) -> DataFrame:
     """Best ranked nodes with labels and all measures to six digits."""
     best = measured.orderBy(F.desc("pagerank"), "node").limit(count)
