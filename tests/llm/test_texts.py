@@ -160,6 +160,22 @@ def test_model_beats_unigrams_and_sums_to_one(spark, monkeypatch):
     assert gain / tokens > 0.3  # four tongues: at best log10(4)
 
 
+def test_rare_words_have_contexts(spark, monkeypatch):
+    """Words without numbers of their own are learnt after their contexts too, not only counted."""
+    monkeypatch.setattr(language_model, "OWN", 41)
+    r = random.Random(1)
+    tongues = [[f"{p}{i}" for i in range(60)] for p in "abcd"]
+    often = [w for t in tongues for w in t[:10]]
+    texts = [" ".join(r.choices(r.choice(tongues), [4] * 10 + [1] * 50, k=60)) for _ in range(300)]
+    seen, table = {}, language_model.context_counts
+    monkeypatch.setattr(language_model, "context_counts", lambda df, classes, end: (
+        seen.update(end=end, ids={x for row in df.select("ids").collect() for x in np.frombuffer(row["ids"], "<u2").tolist()}), table(df, classes, end))[1])
+    got = language_model.model_scores(spark, spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()
+    assert len(often) + 1 == 41 and language_model.VOCABULARY not in seen["ids"] and len(seen["ids"]) > 230
+    held = [row for row in got if row["held_out"]]
+    assert sum(row["score"] - row["base_score"] for row in held) / sum(row["n_tokens"] for row in held) > 0.3
+
+
 def test_softmaxes_are_distributions():
     size = 50
     r = np.random.default_rng(0)
